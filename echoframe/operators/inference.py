@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from echoframe.functions import constants as C
 from echoframe.functions import text as T
@@ -85,7 +86,8 @@ def complete(prompts: DataFrame, provider: Provider | str, prompt: str = "prompt
     factory = _PROVIDERS[provider] if isinstance(provider, str) and provider in _PROVIDERS else None
     if factory is None and isinstance(provider, str):
         resolve_provider(provider)
-    schema = prompts.schema.add("raw", "string").add("status", "string")
+    extra = [StructField("raw", StringType()), StructField("status", StringType())]
+    schema = StructType([*prompts.schema.fields, *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active = factory() if factory is not None else provider  # once per task, not per batch

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from echoframe.functions import constants as C
 from echoframe.operators.inference import Provider
@@ -23,6 +24,7 @@ from echoframe.sources.tables import POSITIONS, table_exists
 BUCKETS = ("av", "ar", "rl")
 LABELLED = ("av", "ar")
 CURSOR = "corpus_next_start"
+POOL = StructType([*POSITIONS.fields, StructField("bucket", StringType())])
 
 CorpusWindow = Callable[[int, int], DataFrame]
 
@@ -35,7 +37,7 @@ def pool_positions(spark: SparkSession, pool: str) -> DataFrame | None:
     path = f"{pool}/positions"
     if not table_exists(spark, path):
         return None
-    return spark.read.schema(POSITIONS.add("bucket", "string")).parquet(path)
+    return spark.read.schema(POOL).parquet(path)
 
 
 def pool_counts(spark: SparkSession, pool: str) -> dict[str, int]:

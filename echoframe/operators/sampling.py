@@ -11,7 +11,6 @@ downsampling a table therefore moves no row of it.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from echoframe.functions import constants as C
 from echoframe.functions.text import ColumnLike, _col, candidate_positions, let
+from echoframe.session import materialize
 
 PREFIX_DIGITS = 3
 SETTLE_ROWS = 2048
@@ -171,10 +171,13 @@ def half_of_documents(df: DataFrame, seed: int = C.SEED, key: str = "doc_id") ->
     return sample_documents(df, lambda n: n // 2, seed, key)
 
 
-def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = C.SEED) -> DataFrame:
+def sample_rows(
+    df: DataFrame, n: int | Callable[[int], int], keys: Sequence[str], seed: int = C.SEED
+) -> DataFrame:
     """``n`` rows of a table that ``keys`` identify; the same rows under any partitioning."""
     hashes = df.select(seeded_hash(seed, *keys).alias("h"))
-    _, (cut,) = hash_cuts(hashes, lambda _: [n])
+    rank = n if callable(n) else (lambda _: n)
+    _, (cut,) = hash_cuts(hashes, lambda total: [rank(total)])
     return df.filter(seeded_hash(seed, *keys) < cut)
 
 
@@ -224,74 +227,58 @@ def sample_positions(
 # ---- ranks ------------------------------------------------------------------
 
 
-def _rank_in_buckets(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """0-based rank over ordered buckets in column ``_bucket``.
+def seeded_rank(df: DataFrame, keys: Sequence[str], seed: int | str = C.SEED, name: str = "rank") -> DataFrame:
+    """Exact 0-based rank in hash order, without moving all rows to one task.
 
-    The bucket table has one row per bucket, a number fixed by the caller, so
-    its running sum and its broadcast stay small at any table size.
+    4096 buckets by hash prefix are ranked side by side; at 10^10 keys one holds
+    about 2.4 million. The bucket table has 4096 rows at any size, so its running
+    sum and its broadcast stay small.
     """
+    hashed = df.withColumn("_h", seeded_hash(seed, *keys)).withColumn(
+        "_bucket", F.substring("_h", 1, PREFIX_DIGITS)
+    )
     offsets = (
-        df.groupBy("_bucket")
+        hashed.groupBy("_bucket")
         .count()
-        .select(
-            "_bucket",
-            (F.sum("count").over(W.orderBy("_bucket")) - F.col("count")).alias("_offset"),
-        )
+        .select("_bucket", (F.sum("count").over(W.orderBy("_bucket")) - F.col("count")).alias("_offset"))
     )
-    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(*order)) - 1
+    inside = F.row_number().over(W.partitionBy("_bucket").orderBy("_h")) - 1
     return (
-        df.withColumn("_inside", inside)
+        hashed.withColumn("_inside", inside)
         .join(F.broadcast(offsets), "_bucket")
         .withColumn(name, (F.col("_offset") + F.col("_inside")).cast("bigint"))
-        .drop("_bucket", "_offset", "_inside")
+        .drop("_bucket", "_h", "_offset", "_inside")
     )
 
 
-def seeded_rank(df: DataFrame, keys: Sequence[str], seed: int | str = C.SEED, name: str = "rank") -> DataFrame:
-    """Exact 0-based rank in hash order, without moving all rows to one task.
+def natural_rank(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:
+    """Exact 0-based rank by ``keys``, which should identify the rows.
 
-    4096 buckets by hash prefix; at 10^10 keys a bucket holds about 2.4 million.
+    Rows are range-partitioned and sorted once and written with their place
+    (partition number and row number in it). The rows before a partition are
+    summed over one count per partition, so the rank needs neither a global
+    sort in one task nor a second shuffle. Writing pins the range bounds, which
+    Spark samples anew on every evaluation.
     """
-    hashed = df.withColumn("_h", seeded_hash(seed, *keys))
-    bucketed = hashed.withColumn("_bucket", F.substring("_h", 1, PREFIX_DIGITS))
-    return _rank_in_buckets(bucketed, [F.col("_h")], name).drop("_h")
-
-
-def natural_rank(df: DataFrame, keys: Sequence[str], name: str = "rank", buckets: int = 1024) -> DataFrame:
-    """Exact 0-based rank by ``keys``, which must identify the rows and hold no NULL.
-
-    Range buckets come from ``buckets`` probe keys; the probe decides only how
-    even the buckets are, never the rank.
-    """
-    key = F.struct(*[F.col(k) for k in keys])
-    probe = [
-        tuple(r["k"])
-        for r in df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(buckets - 1).distinct().orderBy("k").collect()
-    ]
-    types = [df.schema[k].dataType for k in keys]
-
-    def literal(values: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(values, types, keys)])
-
-    if not probe:
-        return _rank_in_buckets(df.withColumn("_bucket", F.lit(0)), [F.col(k) for k in keys], name)
-    group = math.isqrt(len(probe)) + 1
-    coarse = probe[group - 1 :: group]
-    fine = [probe[start : start + group - 1] for start in range(0, len(probe), group)]
-    while len(fine) <= len(coarse):
-        fine.append([])
-    kind = f"array<struct<{','.join(f'`{k}`:{t.simpleString()}' for k, t in zip(keys, types))}>>"
-
-    def below(splits: Column) -> Column:
-        return F.size(F.filter(splits, lambda s: s <= key))
-
-    def array(rows: list[tuple]) -> Column:
-        return F.array(*[literal(r) for r in rows]).cast(kind) if rows else F.array().cast(kind)
-
-    bucketed = df.withColumn("_coarse", below(array(coarse)))
-    inner = F.get(F.array(*[array(rows) for rows in fine]), F.col("_coarse"))
-    bucketed = bucketed.withColumn("_bucket", F.col("_coarse") * group + below(inner)).drop("_coarse")
-    return _rank_in_buckets(bucketed, [F.col(k) for k in keys], name)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = (
+        df.repartitionByRange(parts, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    stored = materialize(placed, "ranked").withColumn("_part", F.shiftright("_at", 33))
+    offsets = (
+        stored.groupBy("_part")
+        .count()
+        .select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_offset"))
+    )
+    row = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        stored.join(F.broadcast(offsets), "_part")  # one row per partition
+        .withColumn(name, F.col("_offset") + row)
+        .drop("_at", "_part", "_offset")
+    )
 
 
 def range_shards(df: DataFrame, num_shards: int, key: str = "doc_id") -> DataFrame:

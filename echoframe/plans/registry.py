@@ -1,4 +1,4 @@
 """Imports every plan module so that its queries are registered."""
 
-from echoframe.plans import position_plans  # noqa: F401
+from echoframe.plans import label_plans, position_plans, sampling_plans, vector_plans  # noqa: F401
 from echoframe.plans.catalog import ORACLES, PLANS  # noqa: F401
