@@ -97,7 +97,8 @@ def mse(pred: ColumnLike, gold: ColumnLike, scale: Scale = SQRT_D) -> Column:
     total = (
         squared_norm(p) * fp * fp - F.lit(2.0) * dot(p, g) * fp * fg + squared_norm(g) * fg * fg
     )
-    return F.greatest(total, F.lit(0.0)) / size
+    # Rounding may leave a tiny negative; greatest() would turn a NULL into 0.
+    return F.when(total < 0, F.lit(0.0)).otherwise(total) / size
 
 
 def cosine(a: ColumnLike, b: ColumnLike) -> Column:
