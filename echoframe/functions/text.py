@@ -75,6 +75,38 @@ def prefix_text(tokens: ColumnLike, position: Column, specials: Sequence[str] =
     return F.array_join(head, "")
 
 
+PREFIX_ROWS = "array<struct<n_raw_tokens:bigint,detokenized_text_truncated:string>>"
+
+
+def prefixes(tokens: Column, positions: Column, specials: Sequence[str] = ()) -> Column:
+    """Token count and prefix text at each of the ascending 0-based ``positions``.
+
+    Every prefix extends the one before it, so the tokens are joined once per
+    document and not once per position.
+    """
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("done"), F.lit("").alias("text"), F.array().cast(PREFIX_ROWS).alias("rows")
+    )
+
+    def extend(acc: Column, p: Column) -> Column:
+        piece = F.slice(tokens, (acc["done"] + 1).cast("int"), (p + 1 - acc["done"]).cast("int"))
+        if specials:
+            piece = F.filter(piece, lambda t: ~t.isin(list(specials)))
+        return let(
+            F.concat(acc["text"], F.array_join(piece, "")),
+            lambda text: F.struct(
+                (p + 1).alias("done"),
+                text.alias("text"),
+                F.array_append(
+                    acc["rows"],
+                    F.struct((p + 1).alias("n_raw_tokens"), text.alias("detokenized_text_truncated")),
+                ).alias("rows"),
+            ),
+        )
+
+    return F.aggregate(positions, start, extend, lambda acc: acc["rows"])
+
+
 def tail_matches(tokens: ColumnLike, suffix: Sequence[str]) -> Column:
     """True when the last tokens equal ``suffix``."""
     tokens = _col(tokens)

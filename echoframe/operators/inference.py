@@ -81,26 +81,41 @@ def resolve_provider(name: str, **options) -> Provider:
     return _PROVIDERS[name](**options)
 
 
-def complete(prompts: DataFrame, provider: Provider | str, prompt: str = "prompt", chunk_rows: int = C.CHUNK_ROWS) -> DataFrame:
-    """Add ``raw`` and ``status``. The provider sees at most ``chunk_rows`` prompts per call."""
-    factory = _PROVIDERS[provider] if isinstance(provider, str) and provider in _PROVIDERS else None
-    if factory is None and isinstance(provider, str):
-        resolve_provider(provider)
-    extra = [StructField("raw", StringType()), StructField("status", StringType())]
-    schema = StructType([*prompts.schema.fields, *extra])
+def complete(
+    prompts: DataFrame, provider: Provider | str, prompt: str = "prompt", chunk_rows: int = C.CHUNK_ROWS
+) -> DataFrame:
+    """Replace ``prompt`` by ``raw`` and ``status``.
+
+    The provider sees at most ``chunk_rows`` prompts per call. A NULL prompt is
+    not sent; its row passes through with a NULL status.
+    """
+    if isinstance(provider, str):
+        resolve_provider(provider)  # an unknown name fails here, not in a task
+        make = _PROVIDERS[provider]
+    else:
+        make = lambda: provider
+    kept = [f for f in prompts.schema.fields if f.name != prompt]
+    schema = StructType([*kept, StructField("raw", StringType()), StructField("status", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active = factory() if factory is not None else provider  # once per task, not per batch
+        active = make()  # once per task, not per batch
         for batch in batches:
             for start in range(0, batch.num_rows, chunk_rows):
                 part = batch.slice(start, chunk_rows)
-                asked = part.column(prompt).to_pylist()
-                answers = active.outcomes(asked)
+                texts = part.column(prompt).to_pylist()
+                asked = [t for t in texts if t is not None]
+                answers = active.outcomes(asked) if asked else []
                 if len(answers) != len(asked):
                     raise DataCheckError(f"provider returned {len(answers)} completions for {len(asked)} prompts")
+                rest = iter(answers)
+                rows = [next(rest) if t is not None else (None, None) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([a for a, _ in answers], pa.string()), pa.array([s for _, s in answers], pa.string())],
-                    names=[*part.schema.names, "raw", "status"],
+                    [
+                        *[part.column(f.name) for f in kept],
+                        pa.array([r for r, _ in rows], pa.string()),
+                        pa.array([s for _, s in rows], pa.string()),
+                    ],
+                    names=schema.names,
                 )
 
     return prompts.mapInArrow(run, schema)

@@ -16,6 +16,7 @@ from echoframe.sources.tables import read_table, table_exists
 
 KEYS = ("doc_id", "n_raw_tokens")
 TEXT = "detokenized_text_truncated"
+CACHED = "cached"
 
 
 def skip_finished(positions: DataFrame, *finished: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -43,35 +44,27 @@ def attempt_labels(
     pattern: str = C.ANALYSIS_PATTERN,
     chunk_rows: int = C.CHUNK_ROWS,
 ) -> DataFrame:
-    """Labels per distinct text: ``text_sha256, text, cached, raw, status, extracted``.
+    """Labels per distinct text: ``text_sha256, raw, status, extracted``.
 
-    Only cache misses reach the provider, each text once. The result is written
-    once, so nothing downstream can call the provider again.
+    Only cache misses reach the provider, each text once; hits pass by it with
+    status ``cached``. The result is written once, without the texts, so nothing
+    downstream can call the provider again.
     """
     texts = distinct_texts(positions)
-    looked = (
-        cache_lookup(texts, cache)
-        if cache is not None
-        else texts.withColumn("cached", F.lit(None).cast("string"))
+    looked = texts.withColumn("cached", F.lit(None).cast("string")) if cache is None else cache_lookup(texts, cache)
+    prompts = looked.select(
+        "text_sha256",
+        "cached",
+        F.when(F.col("cached").isNull(), T.instruction_prompt("text", template)).alias("prompt"),
     )
-    if cache is not None:
-        looked = materialize(looked, "label-lookup")  # read twice below: hits and misses
-    misses = looked.filter(F.col("cached").isNull()).drop("cached").withColumn(
-        "prompt", T.instruction_prompt("text", template)
-    )
-    asked = materialize(complete(misses, provider, "prompt", chunk_rows).drop("prompt"), "label-attempts")
+    asked = materialize(complete(prompts, provider, "prompt", chunk_rows), "label-attempts")
     cleaned = T.clean_list_markers(T.extract_answer("raw", pattern))
-    fresh = asked.withColumn("cached", F.lit(None).cast("string")).withColumn("extracted", cleaned)
-    columns = ["text_sha256", "text", "cached", "raw", "status", "extracted"]
-    if cache is None:
-        return fresh.select(*columns)
-    hits = (
-        looked.filter(F.col("cached").isNotNull())
-        .withColumn("raw", F.lit(None).cast("string"))
-        .withColumn("status", F.lit("cached"))
-        .withColumn("extracted", F.col("cached"))
+    return asked.select(
+        "text_sha256",
+        "raw",
+        F.coalesce("status", F.lit(CACHED)).alias("status"),
+        F.coalesce("cached", cleaned).alias("extracted"),
     )
-    return fresh.select(*columns).unionByName(hits.select(*columns))
 
 
 def attach_labels(
@@ -92,7 +85,7 @@ def attach_labels(
 def audit(positions: DataFrame, attempts: DataFrame, min_features: int = C.MIN_FEATURES) -> DataFrame:
     """One record per position that was sent to the provider, with the reason if it was dropped."""
     reason = T.drop_reason("raw", "extracted", min_features)
-    tried = attempts.filter(F.col("status") != "cached").select(
+    tried = attempts.filter(F.col("status") != CACHED).select(
         "text_sha256", "raw", "status", "extracted", reason.alias("drop_reason")
     )
     keyed = positions.select(*KEYS, F.col(TEXT).alias("text"), T.text_key(TEXT).alias("text_sha256"))

@@ -67,13 +67,8 @@ def extract_positions(
         check_token_absent(docs, pad_token)
 
     def sampled(toks: Column) -> Column:
-        return F.transform(
-            sample_positions(toks, "doc_id", positions_per_doc, seed, min_position, specials),
-            lambda p: F.struct(
-                (p + 1).alias("n_raw_tokens"),
-                T.prefix_text(toks, p, specials).alias("detokenized_text_truncated"),
-            ),
-        )
+        picks = sample_positions(toks, "doc_id", positions_per_doc, seed, min_position, specials)
+        return T.prefixes(toks, picks, specials)
 
     rows = docs.select("doc_id", F.explode(T.let(F.col("tokens"), sampled)).alias("r"))
     return rows.select("doc_id", "r.n_raw_tokens", "r.detokenized_text_truncated")

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from echoframe.functions import constants as C
 from echoframe.operators.positions import extract_positions
 from echoframe.plans.catalog import table
-from echoframe.sources.corpus import read_corpus
+from echoframe.sources.corpus import read_corpus, spread
 
 # ---- corpus and positions -----------------------------------------------------
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_corpus(spark, f"{sf_dir}/documents.parquet", "documents", index="doc_id")
+    return spread(read_corpus(spark, f"{sf_dir}/documents.parquet", "documents", index="doc_id"), "corpus_index")
 
 
 def positions(spark: SparkSession, sf_dir: str, per_doc: int = C.POSITIONS_PER_DOC) -> DataFrame:

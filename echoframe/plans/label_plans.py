@@ -399,7 +399,7 @@ def raw_attempts(spark, sf):
     number = F.substring_index("doc_id", ":", -1).cast("bigint")
     raws = raw_completions(spark, sf).withColumnRenamed("doc_id", "number")
     # One attempt per text, as labelling makes it: the completion of the last document that has the text.
-    chosen = rows.groupBy(T.text_key("detokenized_text_truncated").alias("text_sha256")).agg(F.max(number).alias("number"))
+    chosen = rows.groupBy(T.text_key(L.TEXT).alias("text_sha256")).agg(F.max(number).alias("number"))
     tried = chosen.join(raws, "number").drop("number")
     status = F.when(F.col("raw").isNull(), F.lit(I.EXHAUSTED)).otherwise(F.lit(I.OK))
     return rows, tried.withColumn("status", status).withColumn("extracted", T.clean_list_markers(T.extract_answer("raw")))
@@ -538,7 +538,8 @@ def u3_report(spark, sf):
 @query("j1_join_vectors", with_ctes(*SQL_EXPLAINED, SQL_ENCODED, select="""
     SELECT doc_id, n_raw_tokens, api_explanation, bag FROM explained JOIN vectors USING (doc_id, n_raw_tokens)"""))
 def j1(spark, sf):
-    joined = J.join_vectors(explained(spark, sf), encoded(spark, sf))
+    rows, vectors = materialize(explained(spark, sf), "explained"), materialize(encoded(spark, sf), "vectors")
+    joined = J.join_vectors(rows, vectors)
     return joined.select("doc_id", "n_raw_tokens", "api_explanation", bag_text("activation_vector").alias("bag"))
 
 

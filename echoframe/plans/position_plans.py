@@ -67,17 +67,13 @@ def t2(spark, sf):
 
 
 @query("t3_prefix_text", with_ctes(inputs.SQL_TOKENS, select="""
-    SELECT doc_id, least(60, len(toks)) AS n_raw_tokens,
-           array_to_string(list_filter(toks[1:60], lambda t: t NOT IN (' la', ' the')), '') AS prefix
+    SELECT doc_id, (len(toks) + 1) // 2 AS n_raw_tokens,
+           array_to_string(list_filter(toks[1:(len(toks) + 1) // 2], lambda t: t NOT IN (' la', ' the')), '') AS prefix
     FROM tokens"""))
 def t3(spark, sf):
-    """Prefix of the first sixty tokens (a position, not a row cap) without specials."""
-    docs = P.with_tokens(inputs.corpus(spark, sf))
-    return docs.select(
-        "doc_id",
-        F.least(F.lit(60), F.size("tokens")).cast("bigint").alias("n_raw_tokens"),
-        T.prefix_text("tokens", F.lit(59), [" la", " the"]).alias("prefix"),
-    )
+    """Text up to the middle token of each document, without specials."""
+    docs = P.with_tokens(inputs.corpus(spark, sf)).select("doc_id", "tokens", F.expr("(size(tokens) + 1) div 2").alias("n_raw_tokens"))
+    return docs.select("doc_id", "n_raw_tokens", T.prefix_text("tokens", F.col("n_raw_tokens") - 1, [" la", " the"]).alias("prefix"))
 
 
 @query("t4_pad_token_check", with_ctes(inputs.SQL_TOKENS, select="""

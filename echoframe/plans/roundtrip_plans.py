@@ -8,6 +8,7 @@ from echoframe.functions import text as T
 from echoframe.operators import evaluation as E
 from echoframe.operators import inference as I
 from echoframe.operators import joins as J
+from echoframe.operators import labelling as L
 from echoframe.operators import pool as PL
 from echoframe.operators.sampling import bucket_needs
 from echoframe.plans import inputs
@@ -71,7 +72,7 @@ def one_per_document(spark, sf):
     """Positions (one per document), their vectors and the codebook over their labels."""
     rows = materialize(inputs.positions(spark, sf, 1), "positions")
     vectors = materialize(I.encode(rows, D), "vectors")
-    labelled = J.join_vectors(explained(spark, sf, 1), vectors, check=False)
+    labelled = materialize(J.join_vectors(L.label(rows), vectors, check=False), "labelled")
     book = I.fit_codebook(labelled, ["doc_id", "n_raw_tokens"], size=ANCHORS)
     return rows, vectors, book
 

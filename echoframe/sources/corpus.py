@@ -52,6 +52,17 @@ def read_corpus(
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hand the rows of a small input to every core.
+
+    A table whose scan has fewer splits than there are cores is redistributed
+    before costly per-row work; a large one already has its splits and is left
+    where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def first_rows(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """First ``n`` rows in key order: a per-partition top-n, then one merge of n rows each."""
     return df.orderBy(*keys).limit(n)
