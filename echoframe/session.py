@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Arrow functions travel to the executors with the helpers they use, so the
+# package needs to be installed on the driver only.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 # Runtime settings only: they can be applied to a session somebody else built.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
