@@ -12,15 +12,25 @@ from echoframe.operators.sampling import natural_rank
 def marker_sites(tokens: DataFrame, marker: int, left: int, right: int) -> DataFrame:
     """``seq_id, pos`` where the marker stands between its two neighbours.
 
-    Only marker and neighbour tokens take part: the three filters run at the
-    scan, and the semi-joins on (seq_id, pos) shuffle just those rows. A first
-    or last position lacks a neighbour and never matches.
+    One scan that keeps only marker and neighbour tokens. Each votes for the
+    site it would belong to, and a site needs all three votes; votes of one
+    place combine map-side and no sequence is gathered. A first or last position
+    lacks a neighbour and never wins.
     """
-    place = ["seq_id", "pos"]
-    here = tokens.filter(F.col("token_id") == marker).select(*place)
-    before = tokens.filter(F.col("token_id") == left).select("seq_id", (F.col("pos") + 1).alias("pos"))
-    after = tokens.filter(F.col("token_id") == right).select("seq_id", (F.col("pos") - 1).alias("pos"))
-    return here.join(before, place, "left_semi").join(after, place, "left_semi")
+    here = F.col("pos").cast("bigint")
+    votes = F.array(
+        F.when(F.col("token_id") == marker, F.struct(here.alias("site"), F.lit(1).alias("vote"))),
+        F.when(F.col("token_id") == left, F.struct((here + 1).alias("site"), F.lit(2).alias("vote"))),
+        F.when(F.col("token_id") == right, F.struct((here - 1).alias("site"), F.lit(4).alias("vote"))),
+    )
+    return (
+        tokens.filter(F.col("token_id").isin(marker, left, right))
+        .select("seq_id", F.explode(F.array_compact(votes)).alias("v"))
+        .groupBy("seq_id", F.col("v.site").alias("pos"))
+        .agg(F.bit_or("v.vote").alias("votes"))
+        .filter("votes = 7")
+        .select("seq_id", "pos")
+    )
 
 
 def sites_in_array(ids: Column | str, marker: int, left: int, right: int) -> Column:

@@ -47,8 +47,8 @@ def attempt_labels(
     """Labels per distinct text: ``text_sha256, raw, status, extracted``.
 
     Only cache misses reach the provider, each text once; hits pass by it with
-    status ``cached``. The result is written once, without the texts, so nothing
-    downstream can call the provider again.
+    status ``cached``. The cleaned result is written once, without the texts, so
+    nothing downstream can call the provider again.
     """
     texts = distinct_texts(positions)
     looked = texts.withColumn("cached", F.lit(None).cast("string")) if cache is None else cache_lookup(texts, cache)
@@ -57,14 +57,14 @@ def attempt_labels(
         "cached",
         F.when(F.col("cached").isNull(), T.instruction_prompt("text", template)).alias("prompt"),
     )
-    asked = materialize(complete(prompts, provider, "prompt", chunk_rows), "label-attempts")
     cleaned = T.clean_list_markers(T.extract_answer("raw", pattern))
-    return asked.select(
+    asked = complete(prompts, provider, "prompt", chunk_rows).select(
         "text_sha256",
         "raw",
         F.coalesce("status", F.lit(CACHED)).alias("status"),
         F.coalesce("cached", cleaned).alias("extracted"),
     )
+    return materialize(asked, "label-attempts")
 
 
 def attach_labels(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from echoframe.functions import constants as C
 from echoframe.functions.vectors import SQRT_D, Scale, score
 from echoframe.operators.sampling import natural_rank
+from echoframe.session import materialize
 
 
 def add_rewards(
@@ -98,15 +99,15 @@ def grpo_report(
     """Per step: mean reward, failed share, policy loss, critic loss.
 
     ``rollouts``: ``step, prompt_id, seq_id, pred, gold``; ``tokens``: ``seq_id,
-    pos, logp, ref_logp``. Vectors are dropped as soon as they are scored, so the
-    joins move numbers only.
+    pos, logp, ref_logp``. Vectors are read and scored once; the scores are
+    written, and the group statistics and joins work on those few numbers.
     """
     error = score("pred", "gold", scale, width)["mse"]
     scored = rollouts.select("step", "prompt_id", "seq_id", error.alias("mse")).withColumn(
         "reward", F.coalesce(-F.col("mse"), F.lit(C.FAILED_EXTRACTION_REWARD))
     )
     terms = sequence_terms(tokens, kl, response_only)
-    full = add_advantages(scored).join(terms, "seq_id")
+    full = add_advantages(materialize(scored, "scored-rollouts")).join(terms, "seq_id")
     return full.groupBy("step").agg(
         F.count(F.lit(1)).alias("n_rollouts"),
         F.avg("reward").alias("mean_reward"),

@@ -260,10 +260,8 @@ def natural_rank(df: DataFrame, keys: Sequence[str], name: str = "rank") -> Data
     sort in one task nor a second shuffle. Writing pins the range bounds, which
     Spark samples anew on every evaluation.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = (
-        df.repartitionByRange(parts, *keys)
+        df.repartitionByRange(*keys)  # no number: adaptive execution merges small neighbours
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
     )

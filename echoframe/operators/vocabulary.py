@@ -9,6 +9,7 @@ from echoframe.operators.positions import DataCheckError
 from echoframe.operators.sampling import natural_rank
 from echoframe.sources.sidecar import read_json, write_json
 
+TEXT = "detokenized_text_truncated"
 META_FINGERPRINT = "tokenizer_fingerprint"
 META_NAME = "tokenizer_name"
 
@@ -60,6 +61,16 @@ def check_fingerprint(spark: SparkSession, meta_path: str, fingerprint: str, nam
     return False
 
 
+def tag_fingerprint(positions: DataFrame, fingerprint: str, name: str = "") -> DataFrame:
+    """Record the tokenizer on the prefix column; the tag survives parquet and every later join."""
+    return positions.withMetadata(TEXT, {META_FINGERPRINT: fingerprint, META_NAME: name})
+
+
+def table_fingerprint(df: DataFrame) -> dict:
+    """The tag of a positions or explained table, empty when there is none."""
+    return dict(df.schema[TEXT].metadata)
+
+
 def require_fingerprint(meta: dict, fingerprint: str) -> bool:
     """True when a table's metadata carries this fingerprint; missing metadata is an error."""
     stored = meta.get(META_FINGERPRINT)

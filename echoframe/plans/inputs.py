@@ -17,8 +17,14 @@ from echoframe.sources.corpus import read_corpus, spread
 # ---- corpus and positions -----------------------------------------------------
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as read, for queries that need little more than its keys."""
+    return read_corpus(spark, f"{sf_dir}/documents.parquet", "documents", index="doc_id")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_corpus(spark, f"{sf_dir}/documents.parquet", "documents", index="doc_id"), "corpus_index")
+    """The corpus ready for per-document text work on every core."""
+    return spread(documents(spark, sf_dir), "corpus_index")
 
 
 def positions(spark: SparkSession, sf_dir: str, per_doc: int = C.POSITIONS_PER_DOC) -> DataFrame:

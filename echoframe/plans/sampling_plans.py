@@ -34,12 +34,12 @@ SQL_POSITIONS = (inputs.SQL_TOKENS, inputs.sql_positions())
 
 @query("r0_seeded_rank", with_ctes(SQL_CORPUS, sql_ranked("corpus"), select="SELECT doc_id, rank FROM ranked"))
 def r0(spark, sf):
-    return S.seeded_rank(inputs.corpus(spark, sf).select("doc_id"), ["doc_id"])
+    return S.seeded_rank(inputs.documents(spark, sf).select("doc_id"), ["doc_id"])
 
 
 @query("r2_split_documents", with_ctes(SQL_CORPUS, sql_ranked("corpus"), SQL_SPLIT, select="SELECT doc_id, split FROM split_docs"))
 def r2(spark, sf):
-    return S.split_documents(inputs.corpus(spark, sf).select("doc_id"))
+    return S.split_documents(inputs.documents(spark, sf).select("doc_id"))
 
 
 @query("r3_assign_by_deficit", with_ctes(SQL_CORPUS, sql_ranked("corpus"), """
@@ -50,7 +50,7 @@ def r2(spark, sf):
     FROM ranked, bounds"""))
 def r3(spark, sf):
     """New documents against the needs of a pool that already holds a few."""
-    docs = inputs.corpus(spark, sf).select("doc_id")
+    docs = inputs.documents(spark, sf).select("doc_id")
     needs = S.bucket_needs(docs.count() // 2)
     return S.assign_by_deficit(docs, S.deficits(needs, {"av": 10, "ar": 20}))
 
@@ -72,7 +72,7 @@ def r5(spark, sf):
     sorted AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM corpus)""", select="""
     SELECT doc_id, (SELECT min(s) FROM range(7) t(s) WHERE (s + 1) * n // 7 > r)::INTEGER AS shard_id FROM sorted"""))
 def r7(spark, sf):
-    return S.range_shards(inputs.corpus(spark, sf).select("doc_id"), 7)
+    return S.range_shards(inputs.documents(spark, sf).select("doc_id"), 7)
 
 
 @query("r8_sample_rows", """
@@ -151,7 +151,7 @@ def l3(spark, sf):
     SELECT split, count(*) AS n_docs FROM split_docs GROUP BY split"""))
 def s13(spark, sf):
     """One sink for all splits, read back per split directory."""
-    docs = S.split_documents(inputs.corpus(spark, sf).select("doc_id"))
+    docs = S.split_documents(inputs.documents(spark, sf).select("doc_id"))
     written = TB.write_splits(docs, new_table_path(spark, "split-sink"))
     return written.groupBy("split").agg(F.count(F.lit(1)).alias("n_docs"))
 
@@ -179,7 +179,7 @@ def s5(spark, sf):
 @query("s10_merge_shards", with_ctes(SQL_CORPUS, select="SELECT doc_id, sha256(text) AS text_sha256 FROM corpus"))
 def s10(spark, sf):
     """Four shard tables, merged again with a row-count check."""
-    docs = S.range_shards(inputs.corpus(spark, sf).select("doc_id", F.sha2("text", 256).alias("text_sha256")), 4)
+    docs = S.range_shards(inputs.documents(spark, sf).select("doc_id", F.sha2("text", 256).alias("text_sha256")), 4)
     base = new_table_path(spark, "shards")
     docs.write.partitionBy("shard_id").parquet(base)
     parts = [spark.read.parquet(f"{base}/shard_id={i}") for i in range(4)]
@@ -189,7 +189,7 @@ def s10(spark, sf):
 @query("o1_append_rows", with_ctes(SQL_CORPUS, select="SELECT doc_id FROM corpus"))
 def o1(spark, sf):
     """Half of the rows, then all of them: the second append adds only what is new."""
-    docs = inputs.corpus(spark, sf).select("doc_id")
+    docs = inputs.documents(spark, sf).select("doc_id")
     path = new_table_path(spark, "appended")
     TB.append_rows(spark, S.half_of_documents(docs), path, ["doc_id"])
     return TB.append_rows(spark, docs, path, ["doc_id"])

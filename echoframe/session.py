@@ -20,6 +20,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split hot join keys even when that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Per-document aggregates hold a few numbers and one text: keep more of them
+    # in the hash map before falling back to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "2048",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def provenance_id(corpus: str, split: str, index: Column) -> Column:
-    return F.format_string(f"{corpus}:{split}:%d".replace("%d", "%s"), index.cast("string"))
+    return F.concat(F.lit(f"{corpus}:{split}:"), index.cast("string"))
 
 
 def read_corpus(
@@ -44,10 +44,11 @@ def read_corpus(
         rows = located.join(offsets, "_file").select(
             (F.col("_offset") + F.col("_row")).alias("corpus_index"), "text"
         )
-    window = F.col("corpus_index") >= start
+    if start:
+        rows = rows.filter(F.col("corpus_index") >= start)
     if length is not None:
-        window &= F.col("corpus_index") < start + length
-    return rows.filter(window).select(
+        rows = rows.filter(F.col("corpus_index") < start + length)
+    return rows.select(
         provenance_id(corpus, split, F.col("corpus_index")).alias("doc_id"), "text", "corpus_index"
     )
 

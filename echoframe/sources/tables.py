@@ -29,7 +29,10 @@ LABEL_CACHE = Ty.StructType(
 
 
 def read_table(spark: SparkSession, path: str, schema: Ty.StructType | None = None) -> DataFrame:
-    """Parquet scan; a declared schema saves footer reads and fixes the types."""
+    """Parquet scan; a declared schema saves footer reads and fixes the types.
+
+    Column tags are part of the stored schema: leave ``schema`` out to see them.
+    """
     return spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
 
 

@@ -148,3 +148,15 @@ def test_fingerprints(spark):
     with pytest.raises(DataCheckError):
         VOC.require_fingerprint({}, "one")
     assert VOC.require_fingerprint({VOC.META_FINGERPRINT: "one"}, "two") is False
+
+
+def test_fingerprint_tag_survives_parquet_and_labelling(spark):
+    path = new_table_path(spark, "test-tagged")
+    VOC.tag_fingerprint(positions(spark, "good 1"), "f1", "blanks").write.parquet(path)
+    rows = spark.read.parquet(path)
+    explained_path = new_table_path(spark, "test-tagged")
+    L.label(rows, Scripted()).write.parquet(explained_path)
+    tag = VOC.table_fingerprint(spark.read.parquet(explained_path))
+    assert tag == {VOC.META_FINGERPRINT: "f1", VOC.META_NAME: "blanks"}
+    assert VOC.require_fingerprint(tag, "f1")
+    assert VOC.table_fingerprint(positions(spark, "good 1")) == {}

@@ -1,6 +1,9 @@
-from pyspark.sql import functions as F
+import pytest
 
+from echoframe.operators import joins as J
 from echoframe.operators import pool as PL
+from echoframe.operators.generation import generate
+from echoframe.operators.positions import DataCheckError
 from echoframe.operators.sampling import bucket_needs
 from echoframe.session import new_table_path
 from echoframe.sources.corpus import read_corpus
@@ -64,3 +67,22 @@ def test_stream_over_two_deliveries(spark, sf):
     again = new_table_path(spark, "test-checkpoint")  # a lost checkpoint replays everything
     jobs.ingest_corpus(spark, source, docs.schema, pool, needs, again, positions_per_doc=1).awaitTermination()
     assert buckets(spark, pool) == seen[1]
+
+
+def test_generation_end_to_end_and_again(spark, sf):
+    pool, out = new_table_path(spark, "test-pool"), new_table_path(spark, "test-out")
+    settings = dict(corpus=window(spark, sf), num_docs=60, fingerprint="f1", tokenizer_name="blanks", positions_per_doc=2)
+    paths = generate(spark, pool, out, **settings)
+    for bucket, path in paths.items():
+        rows, vectors = spark.read.parquet(path), spark.read.parquet(f"{path}_vectors")
+        assert rows.count() == vectors.count() > 0
+        assert ("api_explanation" in rows.columns) == (bucket != "rl")
+        assert J.check_keys(rows, vectors)["n_missing"] == 0
+    before = {b: spark.read.parquet(p).select("doc_id", "n_raw_tokens").collect() for b, p in paths.items()}
+    generate(spark, pool, out, stages=["explain", "output"], **settings)
+    for b, p in paths.items():
+        assert sorted(spark.read.parquet(p).select("doc_id", "n_raw_tokens").collect()) == sorted(before[b])
+    with pytest.raises(DataCheckError):
+        generate(spark, pool, out, **{**settings, "fingerprint": "f2"})
+    with pytest.raises(ValueError):
+        generate(spark, pool, out, stages=["train"], **settings)
