@@ -103,14 +103,18 @@ def check_fractions(fractions: Sequence[float]) -> None:
         raise ValueError(f"fractions must sum to 1.0, got {sum(fractions)}")
 
 
-def split_documents(
+def split_rule(
     df: DataFrame,
     fractions: Sequence[float] = C.SPLIT_FRACTIONS,
     seed: int = C.SEED,
     key: str = "doc_id",
     names: Sequence[str] = SPLITS,
-) -> DataFrame:
-    """Add ``split``: whole documents, floor counts, the last split takes the rest."""
+) -> Column:
+    """The split as a column of ``key`` alone: whole documents, floor counts, the last split takes the rest.
+
+    The cuts come from the documents of ``df``. The rule can be applied to any
+    table with the same documents, say their vectors, without joining them.
+    """
     check_fractions(fractions)
 
     def bounds(n: int) -> list[int]:
@@ -125,7 +129,18 @@ def split_documents(
     split = F.lit(names[-1])
     for cut, name in reversed(list(zip(cuts, names))):
         split = F.when(h < cut, F.lit(name)).otherwise(split)
-    return df.withColumn("split", split)
+    return split
+
+
+def split_documents(
+    df: DataFrame,
+    fractions: Sequence[float] = C.SPLIT_FRACTIONS,
+    seed: int = C.SEED,
+    key: str = "doc_id",
+    names: Sequence[str] = SPLITS,
+) -> DataFrame:
+    """Add ``split`` by :func:`split_rule`."""
+    return df.withColumn("split", split_rule(df, fractions, seed, key, names))
 
 
 def assign_by_deficit(

@@ -16,7 +16,7 @@ from echoframe.operators import training_tables as TT
 from echoframe.operators import vocabulary as VOC
 from echoframe.operators.aggregates import extraction_rate
 from echoframe.operators.positions import extract_positions, with_tokens
-from echoframe.operators.sampling import SPLITS, split_documents
+from echoframe.operators.sampling import SPLITS, split_documents, split_rule
 from echoframe.plans import inputs
 from echoframe.plans.catalog import query, table, with_ctes
 from echoframe.plans.sampling_plans import SQL_POSITIONS, SQL_SPLIT, sql_ranked
@@ -115,7 +115,13 @@ def sql_labels(source: str = "positions", name: str = "explained") -> str:
 
 
 def explained(spark, sf, per_doc=C.POSITIONS_PER_DOC):
-    return L.label(inputs.positions(spark, sf, per_doc))
+    return L.label(materialize(inputs.positions(spark, sf, per_doc), "positions"))
+
+
+def explained_and_vectors(spark, sf, per_doc=C.POSITIONS_PER_DOC):
+    """Explained rows and vectors of one stored positions table."""
+    rows = materialize(inputs.positions(spark, sf, per_doc), "positions")
+    return L.label(rows), I.encode(rows)
 
 
 SQL_EXPLAINED = (*SQL_POSITIONS, sql_labels())
@@ -538,7 +544,7 @@ def u3_report(spark, sf):
 @query("j1_join_vectors", with_ctes(*SQL_EXPLAINED, SQL_ENCODED, select="""
     SELECT doc_id, n_raw_tokens, api_explanation, bag FROM explained JOIN vectors USING (doc_id, n_raw_tokens)"""))
 def j1(spark, sf):
-    rows, vectors = materialize(explained(spark, sf), "explained"), materialize(encoded(spark, sf), "vectors")
+    rows, vectors = (materialize(t, "join-side") for t in explained_and_vectors(spark, sf))
     joined = J.join_vectors(rows, vectors)
     return joined.select("doc_id", "n_raw_tokens", "api_explanation", bag_text("activation_vector").alias("bag"))
 
@@ -581,13 +587,20 @@ training AS (
 
 
 def built_tables(spark, sf, base):
-    """Split the explained rows, attach the vectors, write the three training tables."""
-    rows = materialize(split_documents(explained(spark, sf)), "explained-splits")
-    vectors = materialize(encoded(spark, sf), "vectors")
+    """Split the explained rows, attach the vectors, write the three training tables.
+
+    Both tables are split by the same rule and stored by split, so each build
+    opens only its own part.
+    """
+    rows, vectors = explained_and_vectors(spark, sf)
+    rows = materialize(rows, "explained")
+    rule = split_rule(rows)
+    stored = TB.write_splits(rows.withColumn("split", rule), f"{base}/explained")
+    stored_vectors = TB.write_splits(vectors.withColumn("split", rule), f"{base}/vectors")
     metas = {}
     for split in SPLITS:
-        part = rows.filter(F.col("split") == split).drop("split")
-        metas[split] = TT.build_training(part, J.split_vectors(vectors, rows, split), split, f"{base}/{split}")
+        part, vecs = (t.filter(F.col("split") == split).drop("split") for t in (stored, stored_vectors))
+        metas[split] = TT.build_training(part, vecs, split, f"{base}/{split}")
     return metas
 
 

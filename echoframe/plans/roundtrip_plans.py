@@ -13,7 +13,7 @@ from echoframe.operators import pool as PL
 from echoframe.operators.sampling import bucket_needs
 from echoframe.plans import inputs
 from echoframe.plans.catalog import query, table, with_ctes
-from echoframe.plans.label_plans import SQL_ENCODED, SQL_EXPLAINED, bag_text, encoded, explained, sql_labels
+from echoframe.plans.label_plans import SQL_ENCODED, SQL_EXPLAINED, bag_text, explained_and_vectors, sql_labels
 from echoframe.plans.sampling_plans import SQL_CORPUS, SQL_POSITIONS, sql_ranked
 from echoframe.plans.vector_plans import r6
 from echoframe.session import materialize, new_table_path
@@ -109,7 +109,7 @@ def u5(spark, sf):
     )""", select="""
     SELECT w.b * 73 + o.j AS cell, sum(w.x * o.y)::DOUBLE AS value FROM words w JOIN both_sides o USING (doc_id, n_raw_tokens) GROUP BY ALL"""))
 def u5_fit(spark, sf):
-    labelled = J.join_vectors(explained(spark, sf), encoded(spark, sf), check=False)
+    labelled = J.join_vectors(*explained_and_vectors(spark, sf), check=False)
     sums = I.gram_sums(labelled, "api_explanation", "activation_vector", 8, D)
     cells = sums.select(F.posexplode("gram").alias("cell", "value"))
     return cells.filter("value <> 0").select(F.col("cell").cast("bigint").alias("cell"), "value")
@@ -118,7 +118,7 @@ def u5_fit(spark, sf):
 @query("u5_fit_ridge")
 def u5_ridge(spark, sf):
     """Trained reconstruction of every labelled vector; solved outside SQL."""
-    labelled = materialize(J.join_vectors(explained(spark, sf, 2), encoded(spark, sf, 2), check=False), "labelled")
+    labelled = materialize(J.join_vectors(*explained_and_vectors(spark, sf, 2), check=False), "labelled")
     model = I.fit_ridge(labelled, features=64, d_model=D)
     return labelled.select("doc_id", "n_raw_tokens", model.predict("api_explanation").alias("predicted"))
 

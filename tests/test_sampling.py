@@ -141,3 +141,10 @@ def test_running_mean_matches_brute_force(spark):
 def test_bucket_needs():
     assert S.bucket_needs(10) == {"av": 2, "ar": 2, "rl": 6}
     assert S.deficits({"av": 5, "ar": 1}, {"av": 2, "ar": 4}) == {"av": 3, "ar": 0}
+
+
+def test_split_rule_fits_every_table_with_the_documents(spark):
+    rows = docs(spark, 40, copies=2)
+    rule = S.split_rule(rows)
+    other = docs(spark, 40, copies=5).withColumn("split", rule).distinct().collect()
+    assert {tuple(r) for r in other} == {tuple(r) for r in S.split_documents(rows).distinct().collect()}
