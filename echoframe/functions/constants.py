@@ -29,6 +29,11 @@ EXPLANATION_CLOSE = "</explanation>"
 ANALYSIS_OPEN = "<analysis>"
 ANALYSIS_CLOSE = "</analysis>"
 
+# ---- fixed values: reasons a label attempt is dropped ------------------------
+DROP_NO_COMPLETION = "provider returned None (retries exhausted)"
+DROP_NO_MATCH = "extract pattern did not match"
+DROP_TOO_FEW = "too few features ({count} < {minimum})"
+
 # ---- fixed values: prompt templates -----------------------------------------
 ACTOR_TEMPLATE = (
     "You are a meticulous AI researcher conducting an important investigation "

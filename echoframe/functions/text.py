@@ -191,13 +191,11 @@ def drop_reason(
     """Why a label attempt is dropped, NULL when it is kept."""
     raw, extracted = _col(raw), _col(extracted)
     count = feature_count(extracted)
+    too_few = _fill(C.DROP_TOO_FEW.replace("{minimum}", str(min_features)), "{count}", count.cast("string"))
     return (
-        F.when(raw.isNull(), F.lit("provider returned None (retries exhausted)"))
-        .when(extracted.isNull(), F.lit("extract pattern did not match"))
-        .when(
-            count < min_features,
-            F.concat(F.lit("too few features ("), count.cast("string"), F.lit(f" < {min_features})")),
-        )
+        F.when(raw.isNull(), F.lit(C.DROP_NO_COMPLETION))
+        .when(extracted.isNull(), F.lit(C.DROP_NO_MATCH))
+        .when(count < min_features, too_few)
     )
 
 

@@ -25,6 +25,7 @@ from echoframe.functions.vectors import (
 )
 from echoframe.operators.inference import Codebook, reconstruct_bag, verbalise
 from echoframe.operators.joins import join_vectors
+from echoframe.operators.positions import DataCheckError
 from echoframe.operators.sampling import natural_rank, running_mean, sample_rows
 
 Reconstructor = Callable[[Column], Column]
@@ -107,6 +108,12 @@ def fve_report(
     )
 
 
+def check_some_evaluated(report: DataFrame) -> None:
+    row = report.first()
+    if not row["n_evaluated"]:
+        raise DataCheckError(f"all {row['n_failed']} samples failed extraction")
+
+
 def running_score(scored: DataFrame, index: str = "idx", every: int = 50) -> DataFrame:
     """Mean error so far at every ``every``-th sample, each prediction paired with its own gold row."""
     return running_mean(scored, index, "mse", every).select(index, "n_valid", F.col("running_mean").alias("running_mse"))

@@ -25,6 +25,7 @@ from echoframe.operators.positions import DataCheckError
 from echoframe.operators.sampling import sample_rows, seeded_hash
 
 BROADCAST_LIMIT_BYTES = 64 << 20
+DOCS_PER_BATCH = 256  # bounds an output batch of wide vectors
 
 # ---- labelling providers --------------------------------------------------------
 
@@ -194,23 +195,24 @@ def encode(
         buckets = token_buckets(T.tokenize("longest_text", max_length), d_model)
         source = docs.select("doc_id", "positions", buckets.alias("content"))
 
+    def at(content: pa.Scalar, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bag = content.values.to_numpy(zero_copy_only=False)
+        kept = places if clamp else places[places <= len(bag)]
+        rows = [np.bincount(bag[:end], minlength=d_model) for end in kept]
+        return kept, np.array(rows).reshape(len(kept), d_model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            wanted = [np.asarray(p, np.int64) for p in batch.column(1).to_pylist()]
-            if encoder is not None:
-                pairs = encoder.encode(batch.column(2).to_pylist(), wanted)
-                if len(pairs) != len(ids):
-                    raise DataCheckError(f"encoder returned {len(pairs)} results for {len(ids)} documents")
-                kept, mats = [k for k, _ in pairs], [m for _, m in pairs]
-            else:
-                kept, mats = [], []
-                for content, places in zip(batch.column(2), wanted):
-                    bag = content.values.to_numpy(zero_copy_only=False)
-                    ends = np.minimum(places, len(bag)) if clamp else places[places <= len(bag)]
-                    kept.append(places if clamp else ends)
-                    mats.append(np.array([np.bincount(bag[:e], minlength=d_model) for e in ends]).reshape(len(ends), d_model))
-            yield _vector_batch(ids, kept, mats, layer)
+            for start in range(0, batch.num_rows, DOCS_PER_BATCH):
+                part = batch.slice(start, DOCS_PER_BATCH)
+                ids, wanted = part.column(0).to_pylist(), [np.asarray(p, np.int64) for p in part.column(1).to_pylist()]
+                if encoder is None:
+                    pairs = [at(content, places) for content, places in zip(part.column(2), wanted)]
+                else:
+                    pairs = encoder.encode(part.column(2).to_pylist(), wanted)
+                    if len(pairs) != len(ids):
+                        raise DataCheckError(f"encoder returned {len(pairs)} results for {len(ids)} documents")
+                yield _vector_batch(ids, [k for k, _ in pairs], [m for _, m in pairs], layer)
 
     return source.mapInArrow(run, VECTOR_ROWS)
 

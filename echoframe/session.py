@@ -25,6 +25,8 @@ RUNTIME_CONF = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "2048",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Wide vectors: bound a batch by bytes, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 

@@ -1,6 +1,8 @@
-import numpy as np
+import hashlib
+import re
 import sys
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -133,6 +135,12 @@ def test_fve_against_numpy(spark, scope):
     assert wide["fve_nrm"] == pytest.approx(row["fve_nrm"])
 
 
+def test_all_failed_is_an_error(spark):
+    df = spark.createDataFrame([([1.0, 0.0], None)] * 3, "gold array<double>, pred array<double>")
+    with pytest.raises(DataCheckError, match="all 3 samples"):
+        E.check_some_evaluated(E.fve_report(df))
+
+
 def test_predicting_the_mean_explains_nothing(spark):
     rng = np.random.default_rng(3)
     g = unit(rng.normal(2, 1, size=(50, 4)), 2.0)
@@ -148,9 +156,6 @@ def test_ridge_matches_numpy_on_the_same_features(spark):
     y = rng.normal(size=(60, 3))
     df = spark.createDataFrame([(t, v.tolist()) for t, v in zip(texts, y)], "api_explanation string, activation_vector array<double>")
     model = I.fit_ridge(df.repartition(7), features=16, d_model=3, penalty=0.5)
-    import hashlib
-    import re
-
     x = np.zeros((60, 17))
     x[:, -1] = 1
     for i, t in enumerate(texts):
