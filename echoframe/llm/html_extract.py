@@ -180,9 +180,24 @@ def main_text(page: str | None) -> str:
                 found.append((block.path, text, block.linked))
     if not found:
         return ""
+    chosen = content_paths(found)
+    return "\n".join(t for p, t, _ in found if p in chosen)
+
+
+def content_paths(found: list[tuple[tuple, str, int]]) -> set[tuple]:
+    """Paths whose ratio reaches the threshold, and with them, where one lies in an article or main
+    element, the other paths of such elements that are not mostly links."""
     ratios = path_ratios(found)
-    mean = sum(ratios[p] * len(t) for p, t, _ in found) / sum(len(t) for _, t, _ in found)
-    return "\n".join(t for p, t, _ in found if ratios[p] >= SHARE * mean and ratios[p] > 0)
+    need = SHARE * sum(ratios[p] * len(t) for p, t, _ in found) / sum(len(t) for _, t, _ in found)
+    chosen = {p for p, r in ratios.items() if r > 0 and r >= need}
+    if any(CONTENT_TAGS.intersection(p) for p in chosen):
+        length: dict[tuple, list[int]] = {}
+        for p, t, linked in found:
+            n = length.setdefault(p, [0, 0])
+            n[0] += len(t)
+            n[1] += linked
+        chosen |= {p for p, (n, linked) in length.items() if CONTENT_TAGS.intersection(p) and 2 * linked <= n}
+    return chosen
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,9 @@ from echoframe.session import materialize
 
 #: Settings of the fit.
 MAX_TERMS = 20_000
-MIN_ROWS, MIN_CLUSTERS, MIN_CHANCE = 3, 3, 0.35
+MIN_ROWS, MIN_CHANCE, LEVEL = 3, 0.5, 0.05
+#: Weight, in rows, of what misspellings of terms of one length are in general.
+PRIOR_ROWS = 3.0
 STEMS = (4, 5, 6)
 FUZZY_LENGTH = 5
 BASE = 0.02
@@ -181,32 +184,50 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def tail(hits: int, n: int, rate: float) -> float:
+    """Logarithm of the chance of at least ``hits`` of ``n`` at this rate, bounded from above."""
+    share = hits / n
+    if share <= rate:
+        return 0.0
+    if share == 1.0:
+        return n * math.log(rate)
+    return -n * (share * math.log(share / rate) + (1 - share) * math.log((1 - share) / (1 - rate)))
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> list[Term]:
     """At most ``MAX_TERMS`` terms from at most ``limit`` labelled rows of the training fold.
 
-    A term's chance is a lower bound of the share of toxic rows among the rows
-    that have it; it must occur in ``MIN_ROWS`` toxic rows of ``MIN_CLUSTERS``
-    classes of similar texts, so that the words of one copied text don't count.
-    The chance of a misspelling falls with the clean rows that hold words one
-    edit away from the term. Without labelled rows the lexicon is empty.
+    A term counts once per class of similar texts, so that the words of one
+    copied text don't pass for evidence. It must be met in toxic rows more often
+    than chance allows for any of all terms tried, at ``LEVEL``; its chance is a
+    lower bound of the share of toxic rows. The chance of a misspelling follows
+    the rows that hold words one edit away. Without labelled rows, or with rows
+    of one label alone, the lexicon is empty.
     """
     sample = labelled_sample(docs, labels, label, limit)
     counts = materialize(
         sample.select("text", "y").mapInArrow(_count, "term string, t long, c long, classes long")
-        .groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("classes").alias("classes")),
+        .groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_count(F.bit_or("classes")).cast("long").alias("k")),
         "toxic-terms",
     )
+    total = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).agg(
+        F.avg(F.col(label)).alias("rate")
+    ).first()["rate"]
+    if not total or total >= 1.0:
+        return []
+    tried = counts.filter(F.col("t") + F.col("c") >= MIN_ROWS).count()
     rows = (
-        counts.filter((F.col("t") >= MIN_ROWS) & (F.bit_count("classes") >= MIN_CLUSTERS) & (F.col("t") > F.col("c")))
-        .orderBy((F.col("t") - F.col("c")).desc(), "term").limit(MAX_TERMS).collect()
+        counts.filter((F.col("k") >= MIN_ROWS) & (F.col("k") > F.col("c")))
+        .orderBy((F.col("k") - F.col("c")).desc(), "term").limit(MAX_TERMS).collect()
     )
-    chance = {r["term"]: lower_bound(r["t"], r["c"]) for r in rows}
+    limit_log = math.log(LEVEL / max(1, tried))
+    chance = {r["term"]: lower_bound(r["k"], r["c"]) for r in rows if tail(r["k"], r["k"] + r["c"], total) < limit_log}
     terms = [Term(k.rstrip("*"), k.endswith("*"), v, v if len(k) >= FUZZY_LENGTH else 0.0) for k, v in sorted(chance.items()) if v >= MIN_CHANCE]
     return _weigh_misspellings(counts, terms)
 
 
 def _weigh_misspellings(counts: DataFrame, terms: list[Term]) -> list[Term]:
-    """Lower the chance of a term's misspellings by the clean rows with words one edit away."""
+    """The chance of a term's misspellings from the rows with words one edit away, and from terms of its length in general."""
     fuzzy = [t for t in terms if not t.stem and t.fuzzy]
     if not fuzzy:
         return terms
@@ -243,11 +264,21 @@ def _weigh_misspellings(counts: DataFrame, terms: list[Term]) -> list[Term]:
         for r in counts.filter((~F.col("term").endswith("*")) & F.length("term").between(FUZZY_LENGTH - 1, longest))
         .select("term", "t", "c").mapInArrow(near, "i long, t long, c long").groupBy("i").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
     }
+    by_length: dict[int, list[int]] = {}
+    for i, (t, c) in seen.items():
+        v = by_length.setdefault(min(len(fuzzy[i].text), 10), [0, 0])
+        v[0] += t
+        v[1] += c
     index = {t.text: i for i, t in enumerate(fuzzy)}
     out = []
     for term in terms:
-        t, c = seen.get(index.get(term.text, -1), (0, 0)) if not term.stem else (0, 0)
-        out.append(Term(term.text, term.stem, term.exact, 0.0 if term.stem else term.fuzzy * (t + 1) / (t + c + 1)))
+        weight = 0.0
+        if term.text in index and not term.stem:
+            t, c = seen.get(index[term.text], (0, 0))
+            T, C = by_length.get(min(len(term.text), 10), (0, 0))
+            general = (T + 1) / (T + C + 2)
+            weight = term.fuzzy * (t + PRIOR_ROWS * general) / (t + c + PRIOR_ROWS)
+        out.append(Term(term.text, term.stem, term.exact, weight))
     return out
 
 
