@@ -1,12 +1,15 @@
 """Self-join of documents by Jaccard similarity of word shingles, with a token-group matrix.
 
 1. Equal shingle sets are one class. Only classes are compared.
-2. In one global order, frequent shingles last, a link needs a shingle within
-   the first fifth of both sets; only such shingles that two classes share are kept.
+2. In one global order, frequent shingles last, the first n - ceil(0.8 n) + l
+   shingles of two linked sets have at least l in common. With l a tenth of the
+   set, only shingles of these prefixes that two classes share are kept, and
+   only classes that keep enough of them are candidates.
 3. Classes with the same min-hash and about the same size form a group. The
-   token-group matrix says which groups share a kept shingle; a class is held
-   against a group only if the group's token union covers four fifths of it, and
-   only groups with such classes are opened for exact comparison.
+   token-group matrix counts the kept shingles that two groups share; with
+   fewer than l no class of the one can link to one of the other. Groups that
+   pass are held class by class against each other's whole token union, of which
+   a class needs four fifths, and classes that pass are compared exactly.
 4. First every group is compared with itself and with one group per shingle.
    What that connects needs no further comparison, so in the second round only
    groups of different components meet, and large groups of near copies stay
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoframe.llm.components import components, roots
@@ -34,6 +37,8 @@ MAX_FREQUENT = 200_000
 LOCAL_MIN = 3
 #: A group holds at most so many shingles or classes, or one class.
 GROUP_TOKENS, GROUP_CLASSES = 32_768, 256
+#: Shingles that prefixes of linked sets must share: one in so many of the smaller set, and one at least.
+SHARE = 10
 
 _WORD = byte_class(separators=[0x20, *range(0x09, 0x0E)])
 _U = np.uint64
@@ -112,8 +117,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles in the global order: rare ones by hash, then frequent ones by rank."""
-    size = len(s) - -(-PERCENT * len(s) // 100) + 1
+    """The first n - ceil(0.8 n) + l shingles in the global order: rare ones by hash, then frequent ones by rank."""
+    size = len(s) - -(-PERCENT * len(s) // 100) + max(1, len(s) // SHARE)
     if not len(frequent):
         return s[:size]
     i = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
@@ -240,6 +245,11 @@ def _compare(pairs: DataFrame, groups: DataFrame, sets: DataFrame, name: str) ->
     return materialize(rows.groupBy("g", "h").applyInArrow(_open, "a long, b long"), name)
 
 
+def least_shared(n: Column) -> Column:
+    """Prefix shingles that a set of at least ``n`` shares with any it links to."""
+    return F.greatest(F.lit(1), F.floor(n / SHARE))
+
+
 def _grouped(classes: DataFrame, *more: str) -> DataFrame:
     """``d1, group, n``: classes by min-hash, size class and ``more``, split where a group would be too large."""
     key = F.xxhash64("low", F.floor(F.log("n") / F.log(F.lit(1.25))), *more)
@@ -249,7 +259,14 @@ def _grouped(classes: DataFrame, *more: str) -> DataFrame:
         .select("key", F.ceil(F.greatest(F.col("t") / GROUP_TOKENS, F.col("c") / GROUP_CLASSES)).alias("splits")).filter("splits > 1")
     )
     part = F.pmod(F.xxhash64("d1", F.lit(3)), F.coalesce("splits", F.lit(1)))
-    return keyed.join(large, "key", "left").withColumn("group", F.xxhash64("key", part)).drop("key", "splits")
+    grouped = keyed.join(large, "key", "left").withColumn("group", F.xxhash64("key", part)).drop("key", "splits")
+    range_ = grouped.groupBy("group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return grouped.join(range_, "group")
+
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Group pairs ``g, h`` of a row per shared shingle that share enough of them."""
+    return pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).filter("c >= need").select("g", "h")
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -309,7 +326,11 @@ def join_documents(docs: DataFrame) -> DataFrame:
         rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low")),
         "ngram-classes",
     )
-    candidates = materialize(classes.join(shared.select("d1").distinct(), "d1", "left_semi"), "ngram-candidates")
+    # a partner has four fifths of the size at least
+    own_share = shared.groupBy("d1").agg(F.count(F.lit(1)).alias("c"))
+    candidates = materialize(
+        classes.join(own_share, "d1").filter(F.col("c") >= least_shared(F.ceil(F.col("n") * PERCENT / 100))).drop("c"), "ngram-candidates"
+    )
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -326,11 +347,14 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
     # first round: every group with itself, and with the first group of every token
     groups = materialize(_grouped(candidates), "ngram-groups")
-    matrix = materialize(shared.join(groups.select("d1", "group", "n"), "d1").groupBy("token", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "ngram-matrix")
-    hubs = matrix.groupBy("token").agg(F.min("group").alias("hub"), F.max("group").alias("other")).filter("hub <> other").select("token", "hub")
+    matrix = materialize(shared.join(groups.select("d1", "group", "lo", "hi"), "d1").select("token", "group", "lo", "hi").distinct(), "ngram-matrix")
+    first = F.struct("group", "lo", "hi")
+    hubs = matrix.groupBy("token").agg(F.min(first).alias("hub"), F.max(first).alias("other")).filter("hub.group <> other.group").select("token", "hub")
     own = groups.groupBy("group").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
-    star = matrix.join(hubs, "token").filter("group <> hub").select(F.col("hub").alias("g"), F.col("group").alias("h")).distinct()
-    links = _compare(own.union(star), groups, sets, "ngram-links")
+    star = matrix.join(hubs, "token").filter(
+        (F.col("group") != F.col("hub.group")) & (F.col("hi") * 100 >= F.col("hub.lo") * PERCENT) & (F.col("hub.hi") * 100 >= F.col("lo") * PERCENT)
+    ).select(F.col("hub.group").alias("g"), F.col("group").alias("h"), least_shared(F.least("lo", "hub.lo")).alias("need"))
+    links = _compare(own.union(_enough(star)), groups, sets, "ngram-links")
     connected = components(links)
 
     # second round: groups of one component each, where tokens join different components
@@ -338,9 +362,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
         candidates["*"], F.coalesce("component", candidates["d1"]).alias("component")
     )
     groups2 = materialize(_grouped(of, "component"), "ngram-groups")
-    cells = shared.join(groups2.select("d1", "group", "component", "n"), "d1").groupBy("token", "group").agg(
-        F.min("component").alias("component"), F.min("n").alias("lo"), F.max("n").alias("hi")
-    )
+    cells = shared.join(groups2.select("d1", "group", "component", "lo", "hi"), "d1").select("token", "group", "component", "lo", "hi").distinct()
     mixed = cells.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     cells = materialize(cells.join(mixed, "token"), "ngram-matrix")
     left, right = cells.alias("l"), cells.alias("r")
@@ -348,7 +370,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
         right,
         (F.col("l.token") == F.col("r.token")) & (F.col("l.group") < F.col("r.group")) & (F.col("l.component") != F.col("r.component"))
         & (F.col("l.hi") * 100 >= F.col("r.lo") * PERCENT) & (F.col("r.hi") * 100 >= F.col("l.lo") * PERCENT),
-    ).select(F.col("l.group").alias("g"), F.col("r.group").alias("h")).distinct()
+    ).select(F.col("l.group").alias("g"), F.col("r.group").alias("h"), least_shared(F.least("l.lo", "r.lo")).alias("need"))
+    apart = _enough(apart)
     later = _compare(apart, groups2, sets, "ngram-links")
 
     # links between classes as links between documents, and ids of several rows
