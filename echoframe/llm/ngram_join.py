@@ -10,10 +10,10 @@
    fewer than l no class of the one can link to one of the other. Groups that
    pass are held class by class against each other's whole token union, of which
    a class needs four fifths, and classes that pass are compared exactly.
-4. First every group is compared with itself and with one group per shingle.
-   What that connects needs no further comparison, so in the second round only
-   groups of different components meet, and large groups of near copies stay
-   linear.
+4. First every group is compared with itself, and every class with one class
+   per shingle. What that connects needs no further comparison: the second round
+   regroups by component, and only groups of different components meet, so
+   large groups of near copies stay linear.
 """
 
 from __future__ import annotations
@@ -34,9 +34,11 @@ SHINGLE = 5
 PERCENT = 80
 #: Frequent shingles whose order is fixed by count: a device of speed, results do not depend on it.
 MAX_FREQUENT = 200_000
-LOCAL_MIN = 3
+LOCAL_MIN, STRETCH = 3, 4 << 20
 #: A group holds at most so many shingles or classes, or one class.
 GROUP_TOKENS, GROUP_CLASSES = 32_768, 256
+#: Shingles of guests that a task holds against a host group, give or take one guest.
+GUEST_TOKENS = 1 << 20
 #: Shingles that prefixes of linked sets must share: one in so many of the smaller set, and one at least.
 SHARE = 10
 
@@ -88,32 +90,37 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _frequent(kept: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    """Shingles that several of these sets have, with their number."""
+    tokens, counts = np.unique(np.concatenate(list(kept.values())), return_counts=True) if kept else (np.zeros(0, _U), np.zeros(0, np.int64))
+    often = counts >= LOCAL_MIN
+    tokens, counts = tokens[often].view(np.int64), counts[often].astype(np.int64)
+    none = pa.nulls(len(tokens), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(tokens), pa.array(counts)], names=_SETS)
+
+
+_SETS = ["doc_id", "n", "d1", "d2", "low", "token", "count"]
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: size, digest and min-hash of its set; besides, shingles that are frequent in a piece."""
-    hasher = WordHasher()
+    """Per row: size, digest and min-hash of its set; besides, shingles that are frequent in a stretch of rows."""
+    hasher, kept, held = WordHasher(), {}, 0
     for batch in pieces(batches):
         data, offsets = raw_bytes(batch.column("text"))
         sets = shingle_sets(data, offsets, hasher)
         digests = [digest(s) for s in sets]
-        n = len(sets)
         low = [_signed(int(mix(s + _U(0x85EBCA77C2B2AE63)).min())) if len(s) else None for s in sets]
-        kept = {d: s for d, s in zip(digests, sets, strict=True) if len(s)}
-        tokens, counts = np.unique(np.concatenate(list(kept.values())), return_counts=True) if kept else (np.zeros(0, _U), np.zeros(0, np.int64))
-        often = counts >= LOCAL_MIN
-        tokens, counts = tokens[often].view(np.int64), counts[often]
-        m = len(tokens)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, pa.int64())]),
-                pa.array([len(s) for s in sets] + [None] * m, pa.int64()),
-                pa.array([d[0] for d in digests] + [None] * m, pa.int64()),
-                pa.array([d[1] for d in digests] + [None] * m, pa.int64()),
-                pa.array(low + [None] * m, pa.int64()),
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tokens)]),
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(counts.astype(np.int64))]),
-            ],
-            names=["doc_id", "n", "d1", "d2", "low", "token", "count"],
-        )
+        for d, s in zip(digests, sets, strict=True):
+            if len(s) and d not in kept:
+                kept[d] = s
+                held += len(s)
+        columns = [[len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests], low]
+        none = pa.nulls(len(sets), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), none, none], names=_SETS)
+        if held > STRETCH:
+            yield _frequent(kept)
+            kept, held = {}, 0
+    yield _frequent(kept)
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -201,48 +208,67 @@ def linked(a: Members, b: Members, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of linked classes, as a spanning forest."""
     none = np.zeros(0, np.int64)
     if not same:
-        x, y = a.pick(bounded(a, np.unique(b.tokens))), b.pick(bounded(b, np.unique(a.tokens)))
+        y = b.pick(bounded(b, np.unique(a.tokens)))
+        x = a.pick(bounded(a, np.unique(y.tokens))) if y is not None else None
         if x is None or y is None:
             return none, none
         a, b = x, y
     elif len(a.ids) < 2:
         return none, none
     inter = overlaps(a, b)
-    link = inter * 100 >= PERCENT * (a.size[:, None] + b.size[None, :] - inter)
-    i, j = np.nonzero(link)
+    i, j = np.nonzero(inter * 100 >= PERCENT * (a.size[:, None] + b.size[None, :] - inter))
     u, v = a.ids[i], b.ids[j]
-    u, v = u[u != v] if len(u) else u, v[u != v] if len(u) else v
-    if not len(u):
+    apart = u != v
+    if not apart.any():
         return none, none
-    nodes, low = roots(u, v)
+    nodes, low = roots(u[apart], v[apart])
     return nodes[nodes != low], low[nodes != low]
 
 
 def _open(table: pa.Table) -> pa.Table:
-    """One pair of groups, opened: linked classes."""
+    """A host group, opened, and the classes of its guest groups: linked classes. Without guests it meets itself."""
     if table.num_rows == 0:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    side = np.asarray(table.column("side"))
+    guest = np.asarray(table.column("guest"))
     ids = np.asarray(table.column("d1"))
     sets = [np.frombuffer(x, _U) for x in table.column("tokens").to_pylist()]
-    same = not (side == 1).any()
 
-    def members(k: int) -> Members:
-        at = np.flatnonzero(side == k)
+    def members(flag: bool) -> Members:
+        at = np.flatnonzero(guest == flag)
         at = at[np.unique(ids[at], return_index=True)[1]]
         return Members(ids[at], [sets[i] for i in at])
 
-    a = members(0)
-    u, v = linked(a, a if same else members(1), same)
+    if not (~guest).any():
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    a, same = members(False), not guest.any()
+    u, v = linked(a, a if same else members(True), same)
     return pa.table({"a": u, "b": v})
 
 
 def _compare(pairs: DataFrame, groups: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Links ``a, b`` between classes of the group pairs ``g, h``; g = h compares a group with itself."""
-    sides = pairs.select("g", "h", F.explode(F.when(F.col("g") == F.col("h"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    wanted = sides.withColumn("group", F.when(F.col("side") == 0, F.col("g")).otherwise(F.col("h")))
-    rows = wanted.join(groups.select("group", "d1"), "group").join(sets, "d1").select("g", "h", "side", "d1", "tokens")
-    return materialize(rows.groupBy("g", "h").applyInArrow(_open, "a long, b long"), name)
+    """Links ``a, b`` between classes of the group pairs ``g, h``; g = h compares a group with itself.
+
+    The larger group of a pair is the host: its sets are sent once, those of
+    every guest are sent to it. A host with many guests is opened in several
+    tasks, each with a bounded share of them.
+    """
+    size = groups.groupBy("group").agg(F.sum("n").alias("t"))
+    both = pairs.join(size.select(F.col("group").alias("g"), F.col("t").alias("tg")), "g").join(size.select(F.col("group").alias("h"), F.col("t").alias("th")), "h")
+    swap = (F.col("tg") < F.col("th")) | ((F.col("tg") == F.col("th")) & (F.col("g") > F.col("h")))
+    hosted = materialize(
+        both.select(
+            F.when(swap, F.col("h")).otherwise(F.col("g")).alias("host"), F.when(swap, F.col("g")).otherwise(F.col("h")).alias("visitor"),
+            F.least("tg", "th").alias("t"),
+        ).distinct(),
+        name + "-pairs",
+    )
+    parts = hosted.groupBy("host").agg(F.ceil(F.sum("t") / GUEST_TOKENS).alias("parts"))
+    dealt = hosted.join(parts, "host").select("host", "visitor", F.pmod(F.xxhash64("visitor"), F.col("parts")).alias("part"))
+    rows = dealt.select("host", "part", F.col("host").alias("group"), F.lit(False).alias("guest")).distinct().union(
+        dealt.filter("host <> visitor").select("host", "part", F.col("visitor").alias("group"), F.lit(True))
+    )
+    rows = rows.join(groups.select("group", "d1"), "group").join(sets, "d1").select("host", "part", "guest", "d1", "tokens")
+    return materialize(rows.groupBy("host", "part").applyInArrow(_open, "a long, b long"), name)
 
 
 def least_shared(n: Column) -> Column:
@@ -250,10 +276,9 @@ def least_shared(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(n / SHARE))
 
 
-def _grouped(classes: DataFrame, *more: str) -> DataFrame:
-    """``d1, group, n``: classes by min-hash, size class and ``more``, split where a group would be too large."""
-    key = F.xxhash64("low", F.floor(F.log("n") / F.log(F.lit(1.25))), *more)
-    keyed = classes.withColumn("key", key)
+def _grouped(classes: DataFrame, *by: str) -> DataFrame:
+    """``classes`` with ``group, lo, hi``: grouped by ``by`` and size class, split where a group would be too large."""
+    keyed = classes.withColumn("key", F.xxhash64(F.floor(F.log("n") / F.log(F.lit(1.25))), *by))
     large = (
         keyed.groupBy("key").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c"))
         .select("key", F.ceil(F.greatest(F.col("t") / GROUP_TOKENS, F.col("c") / GROUP_CLASSES)).alias("splits")).filter("splits > 1")
@@ -345,16 +370,16 @@ def join_documents(docs: DataFrame) -> DataFrame:
         "ngram-full",
     )
 
-    # first round: every group with itself, and with the first group of every token
-    groups = materialize(_grouped(candidates), "ngram-groups")
-    matrix = materialize(shared.join(groups.select("d1", "group", "lo", "hi"), "d1").select("token", "group", "lo", "hi").distinct(), "ngram-matrix")
-    first = F.struct("group", "lo", "hi")
-    hubs = matrix.groupBy("token").agg(F.min(first).alias("hub"), F.max(first).alias("other")).filter("hub.group <> other.group").select("token", "hub")
+    # first round: groups of one min-hash each with itself, and every class with the first class of its tokens
+    groups = materialize(_grouped(candidates, "low"), "ngram-groups")
     own = groups.groupBy("group").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
-    star = matrix.join(hubs, "token").filter(
-        (F.col("group") != F.col("hub.group")) & (F.col("hi") * 100 >= F.col("hub.lo") * PERCENT) & (F.col("hub.hi") * 100 >= F.col("lo") * PERCENT)
-    ).select(F.col("hub.group").alias("g"), F.col("group").alias("h"), least_shared(F.least("lo", "hub.lo")).alias("need"))
-    links = _compare(own.union(_enough(star)), groups, sets, "ngram-links")
+    kept = materialize(shared.join(candidates.select("d1", "n"), "d1"), "ngram-kept")
+    hubs = kept.groupBy("token").agg(F.min(F.struct("d1", "n")).alias("hub"))
+    star = kept.join(hubs, "token").filter(
+        (F.col("d1") != F.col("hub.d1")) & (F.col("n") * 100 >= F.col("hub.n") * PERCENT) & (F.col("hub.n") * 100 >= F.col("n") * PERCENT)
+    ).select(F.col("hub.d1").alias("g"), F.col("d1").alias("h"), least_shared(F.least("n", "hub.n")).alias("need"))
+    single = candidates.select(F.col("d1").alias("group"), "d1", "n")
+    links = _compare(own, groups, sets, "ngram-links").union(_compare(_enough(star), single, sets, "ngram-links"))
     connected = components(links)
 
     # second round: groups of one component each, where tokens join different components
@@ -362,7 +387,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
         candidates["*"], F.coalesce("component", candidates["d1"]).alias("component")
     )
     groups2 = materialize(_grouped(of, "component"), "ngram-groups")
-    cells = shared.join(groups2.select("d1", "group", "component", "lo", "hi"), "d1").select("token", "group", "component", "lo", "hi").distinct()
+    cells = kept.join(groups2.select("d1", "group", "component", "lo", "hi"), "d1").select("token", "group", "component", "lo", "hi").distinct()
     mixed = cells.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     cells = materialize(cells.join(mixed, "token"), "ngram-matrix")
     left, right = cells.alias("l"), cells.alias("r")
