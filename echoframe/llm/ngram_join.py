@@ -12,8 +12,9 @@
    a class needs four fifths, and classes that pass are compared exactly.
 4. First every group is compared with itself, and every class with one class
    per shingle. What that connects needs no further comparison: the second round
-   regroups by component, and only groups of different components meet, so
-   large groups of near copies stay linear.
+   regroups linked classes by component and leaves the others by min-hash, and
+   groups of one component don't meet, so large groups of near copies stay
+   linear.
 """
 
 from __future__ import annotations
@@ -366,7 +367,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["d1", "tokens"])
 
     sets = materialize(
-        texts.join(candidates.select(F.col("rep").alias("doc_id"), "d1", "d2"), "doc_id").mapInArrow(full, "d1 long, tokens binary"),
+        texts.join(candidates.select(F.col("rep").alias("doc_id"), "d1", "d2").hint("merge"), "doc_id").mapInArrow(full, "d1 long, tokens binary"),
         "ngram-full",
     )
 
@@ -382,11 +383,11 @@ def join_documents(docs: DataFrame) -> DataFrame:
     links = _compare(own, groups, sets, "ngram-links").union(_compare(_enough(star), single, sets, "ngram-links"))
     connected = components(links)
 
-    # second round: groups of one component each, where tokens join different components
-    of = candidates.join(connected, candidates["d1"] == connected["node"], "left").select(
-        candidates["*"], F.coalesce("component", candidates["d1"]).alias("component")
-    )
-    groups2 = materialize(_grouped(of, "component"), "ngram-groups")
+    # second round: linked classes by component, the others by min-hash again; tokens join what may not be connected
+    of = candidates.join(connected, candidates["d1"] == connected["node"], "left").select(candidates["*"], "component")
+    of = of.withColumn("alone", F.col("component").isNull()).withColumn("by", F.coalesce("component", "low"))
+    groups2 = materialize(_grouped(of, "alone", "by").withColumn("component", F.coalesce("component", "group")), "ngram-groups")
+    again = groups2.filter("alone").groupBy("group").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
     cells = kept.join(groups2.select("d1", "group", "component", "lo", "hi"), "d1").select("token", "group", "component", "lo", "hi").distinct()
     mixed = cells.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     cells = materialize(cells.join(mixed, "token"), "ngram-matrix")
@@ -396,7 +397,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
         (F.col("l.token") == F.col("r.token")) & (F.col("l.group") < F.col("r.group")) & (F.col("l.component") != F.col("r.component"))
         & (F.col("l.hi") * 100 >= F.col("r.lo") * PERCENT) & (F.col("r.hi") * 100 >= F.col("l.lo") * PERCENT),
     ).select(F.col("l.group").alias("g"), F.col("r.group").alias("h"), least_shared(F.least("l.lo", "r.lo")).alias("need"))
-    apart = _enough(apart)
+    apart = again.union(_enough(apart))
     later = _compare(apart, groups2, sets, "ngram-links")
 
     # links between classes as links between documents, and ids of several rows
