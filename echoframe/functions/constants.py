@@ -49,7 +49,7 @@ ACTOR_TEMPLATE = (
 )
 CRITIC_TEMPLATE = "Summary of the following text: <text>{explanation}</text> <summary>"
 INSTRUCTION_TEMPLATE = """A language model needs to predict what text comes next after a snippet which will be presented to you shortly. Identify the 2-3 most important features it would use for this prediction.
-Focus on what the language model must be "thinking about" at the point where the provided text ends. You should not need to reference the fact that the text is truncated/incomplete/a prefix: the language model is causal,
+Focus on what the language model must be "thinking about" at the point where the provided text ends. You should not need to reference the fact that the text is truncated/incomplete/a prefix: the language model is causal, so only sees the prefix to what it predicts and this is implicit.
 Order features by what is most important for predicting the next tokens. Each feature should consist of a concise ~10-20 word description. Feel free to include specific textual examples inline.
 
 Feature types to consider (as inspiration, not a rigid checklist):

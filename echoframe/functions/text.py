@@ -121,12 +121,11 @@ def template_suffix_tokens(template: str, placeholder: str) -> list[str]:
     """Tokens after the placeholder without the first, which may merge with inserted text."""
     import re
 
-    if placeholder not in template:
-        raise ValueError(f"template must contain {placeholder}: {template!r}")
-    tokens = re.findall(C.TOKEN_PATTERN, template.split(placeholder)[-1])
-    if len(tokens) < 2:
-        raise ValueError(f"the text after {placeholder} needs at least two tokens, got {tokens}")
-    return tokens[1:]
+    _, found, tail = template.rpartition(placeholder)
+    stable = re.sub(C.TOKEN_PATTERN, "", tail, count=1).rstrip() if found else ""
+    if not stable:
+        raise ValueError(f"{template!r} needs {placeholder} and two tokens after it")
+    return re.findall(C.TOKEN_PATTERN, stable)
 
 
 def response_slice(ids: ColumnLike, prompt_len: ColumnLike) -> Column:

@@ -26,13 +26,17 @@ SQRT_D = "sqrt_d_model"
 Scale = float | int | str | None
 
 
-def resolve_scale(scale: Scale, d_model: int) -> float | None:
-    """Turn a scale setting into a number; None means vectors stay raw."""
-    if scale is None or scale in ("raw", "none"):
+RAW = (None, "raw", "none")
+
+
+def scale_for(scale: Scale, width, root=math.sqrt):
+    """The norm that a scale setting asks of vectors of this width; None leaves them raw.
+
+    The one rule for numbers and columns: a column width comes with a column root.
+    """
+    if scale in RAW:
         return None
-    if scale == SQRT_D:
-        return math.sqrt(d_model)
-    return float(scale)
+    return root(width) if scale == SQRT_D else float(scale)
 
 
 def default_injection_scale(d_model: int) -> float:
@@ -58,11 +62,8 @@ def l2_norm(v: ColumnLike) -> Column:
 
 
 def _scale_column(v: Column, scale: Scale) -> Column | None:
-    if scale is None or scale in ("raw", "none"):
-        return None
-    if scale == SQRT_D:
-        return F.sqrt(F.size(v).cast("double"))
-    return F.lit(float(scale))
+    target = scale_for(scale, F.size(v).cast("double"), F.sqrt)
+    return F.lit(target) if isinstance(target, float) else target
 
 
 def normalize(v: ColumnLike, scale: Scale = SQRT_D) -> Column:
@@ -80,6 +81,12 @@ def normalize(v: ColumnLike, scale: Scale = SQRT_D) -> Column:
     return let(factor, lambda f: F.transform(doubles, lambda x: x / f))
 
 
+def same_length(a: Column, b: Column, value: Column) -> Column:
+    """``value``, or an error where two vectors differ in length; NULL vectors pass."""
+    message = F.concat(F.lit("vector lengths differ: "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"))
+    return F.when(F.size(a) != F.size(b), F.raise_error(message).cast("double")).otherwise(value)
+
+
 def mse(pred: ColumnLike, gold: ColumnLike, scale: Scale = SQRT_D) -> Column:
     """Mean squared difference of the two normalised vectors.
 
@@ -91,20 +98,19 @@ def mse(pred: ColumnLike, gold: ColumnLike, scale: Scale = SQRT_D) -> Column:
     target = _scale_column(g, scale)
     if target is None:
         diff = F.zip_with(p, g, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0)))
-        return _sum(diff) / size
+        return same_length(p, g, _sum(diff) / size)
     np_, ng = F.greatest(l2_norm(p), F.lit(C.NORM_FLOOR)), F.greatest(l2_norm(g), F.lit(C.NORM_FLOOR))
     fp, fg = target / np_, target / ng
     total = (
         squared_norm(p) * fp * fp - F.lit(2.0) * dot(p, g) * fp * fg + squared_norm(g) * fg * fg
     )
     # Rounding may leave a tiny negative; greatest() would turn a NULL into 0.
-    return F.when(total < 0, F.lit(0.0)).otherwise(total) / size
+    return same_length(p, g, F.when(total < 0, F.lit(0.0)).otherwise(total) / size)
 
 
 def cosine(a: ColumnLike, b: ColumnLike) -> Column:
-    return dot(a, b) / (
-        F.greatest(l2_norm(a), F.lit(C.NORM_FLOOR)) * F.greatest(l2_norm(b), F.lit(C.NORM_FLOOR))
-    )
+    norms = F.greatest(l2_norm(a), F.lit(C.NORM_FLOOR)) * F.greatest(l2_norm(b), F.lit(C.NORM_FLOOR))
+    return same_length(_col(a), _col(b), dot(a, b) / norms)
 
 
 def value_at_last_valid(values: ColumnLike, mask: ColumnLike) -> Column:
@@ -155,7 +161,7 @@ def score_arrow(scale: Scale = SQRT_D):
         if both.any():
             _, p = as_matrix(pred.filter(pa.array(both)))
             _, g = as_matrix(gold.filter(pa.array(both)))
-            target = resolve_scale(scale, g.shape[1])
+            target = scale_for(scale, g.shape[1])
             out_mse[both] = ((scale_rows(p, target) - scale_rows(g, target)) ** 2).mean(axis=1)
             norms = np.maximum(np.linalg.norm(p, axis=1), C.NORM_FLOOR) * np.maximum(
                 np.linalg.norm(g, axis=1), C.NORM_FLOOR
@@ -176,7 +182,7 @@ def normalize_arrow(scale: Scale = SQRT_D):
     def normalize_batch(v: pa.Array) -> pa.Array:
         present, m = as_matrix(v)
         width = m.shape[1]
-        rows = scale_rows(m, resolve_scale(scale, width)) if len(m) else m
+        rows = scale_rows(m, scale_for(scale, width)) if len(m) else m
         offsets = np.concatenate([[0], np.cumsum(np.where(present, width, 0))]).astype(np.int32)
         return pa.ListArray.from_arrays(
             pa.array(offsets), pa.array(rows.reshape(-1)), mask=pa.array(~present)

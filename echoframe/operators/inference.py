@@ -52,7 +52,7 @@ class OfflineProvider(Provider):
     def outcomes(self, prompts: Sequence[str]) -> list[tuple[str | None, str]]:
         out: list[tuple[str | None, str]] = []
         for prompt in prompts:
-            text = prompt.split("<begin_text>")[-1].rsplit("<end_text>", 1)[0].replace("\n", " ")
+            text = prompt.split("<begin_text>", 1)[-1].rsplit("<end_text>", 1)[0].replace("\n", " ")
             if not text.strip(" "):
                 out.append((None, REFUSED))
                 continue

@@ -53,9 +53,14 @@ def inject_vectors(
     """
     sites = marker_sites(tokens, marker, left, right)
     if check:
-        n_sites, n_vectors = sites.count(), vectors.count()
-        if n_sites != n_vectors:
-            raise DataCheckError(f"found {n_sites} sites with the right neighbours, expected {n_vectors}")
+        n_sites = sites.count()
+        seen = vectors.agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("vec_idx").alias("ids"), F.min("vec_idx").alias("low"), F.max("vec_idx").alias("high")
+        ).first()
+        if n_sites != seen["n"]:
+            raise DataCheckError(f"found {n_sites} sites with the right neighbours, expected {seen['n']}")
+        if seen["n"] and (seen["ids"], seen["low"], seen["high"]) != (seen["n"], 0, seen["n"] - 1):
+            raise DataCheckError(f"vec_idx must be 0 to {seen['n'] - 1}, each once; got {seen['ids']} values from {seen['low']} to {seen['high']}")
     numbered = natural_rank(sites, ["seq_id", "pos"], "vec_idx")
     placed = numbered.join(vectors.select("vec_idx", "vector"), "vec_idx").select("seq_id", "pos", "vector")
     return tokens.join(placed, ["seq_id", "pos"], "left").select(

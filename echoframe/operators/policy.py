@@ -37,6 +37,7 @@ def add_advantages(rewards: DataFrame, group: str = "prompt_id") -> DataFrame:
     any size is never gathered in one task. A group of one has no deviation and
     is an error.
     """
+    rewards = materialize(rewards, "rewards")  # statistics and rows both need the scores
     stats = group_statistics(rewards, group)
     single = F.raise_error(F.lit("group-relative advantages need at least two samples per group"))
     spread = F.greatest("std_reward", F.lit(C.ADVANTAGE_STD_FLOOR))
@@ -125,12 +126,14 @@ def equal_shards(df: DataFrame, shard: str, num_shards: int, keys: Sequence[str]
     """
     counts = {r[shard]: r["count"] for r in df.groupBy(shard).count().collect()}
     smallest = min(counts.get(s, 0) for s in range(num_shards))
-    offset, before = F.lit(0), 0
+    offsets, before = [], 0
     for s in sorted(counts):
-        offset = F.when(F.col(shard) == s, F.lit(before)).otherwise(offset)
+        offsets.append((s, before))
         before += counts[s]
-    ranked = natural_rank(df, [shard, *keys], "_rank")
-    return ranked.filter(F.col("_rank") - offset < smallest).drop("_rank")
+    kind = dict(df.dtypes)[shard]
+    table = df.sparkSession.createDataFrame(offsets, f"`{shard}` {kind}, _before bigint")  # one row per shard
+    ranked = natural_rank(df, [shard, *keys], "_rank").join(F.broadcast(table), shard)
+    return ranked.filter(F.col("_rank") - F.col("_before") < smallest).select(*df.columns)
 
 
 def identical_share(left: DataFrame, right: DataFrame, key: str | Sequence[str], value: str) -> DataFrame:

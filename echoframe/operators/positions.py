@@ -9,23 +9,22 @@ from pyspark.sql import functions as F
 
 from echoframe.functions import constants as C
 from echoframe.functions import text as T
-from echoframe.operators.sampling import sample_positions
+from echoframe.operators.sampling import DataCheckError, sample_positions  # noqa: F401
 
 Tokenizer = Callable[[Column], Column]
 
 
-class DataCheckError(ValueError):
-    """A table breaks a rule the next step counts on."""
-
-
 def with_tokens(
     corpus: DataFrame,
     text: str = "text",
-    max_length: int = C.MAX_LENGTH,
+    max_length: int | None = C.MAX_LENGTH,
     tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
-    """Add ``tokens``. A plug-in tokenizer is a column function from text to ``array<string>``."""
-    tokens = T.tokenize(text, max_length) if tokenizer is None else F.slice(tokenizer(F.col(text)), 1, max_length)
+    """Add ``tokens``, all of them without a ``max_length``. A plug-in tokenizer is a column function from text to ``array<string>``."""
+    if tokenizer is None:
+        tokens = T.tokenize(text, max_length)
+    else:
+        tokens = tokenizer(F.col(text)) if max_length is None else F.slice(tokenizer(F.col(text)), 1, max_length)
     return corpus.withColumn("tokens", tokens)
 
 

@@ -21,8 +21,14 @@ from echoframe.functions import constants as C
 from echoframe.functions.text import ColumnLike, _col, candidate_positions, let
 from echoframe.session import materialize
 
+
+class DataCheckError(ValueError):
+    """A table breaks a rule the next step counts on."""
+
+
 PREFIX_DIGITS = 3
 SETTLE_ROWS = 2048
+HASH_DIGITS = 64
 LOWEST, HIGHEST = "", "g"  # below and above every hexadecimal string
 SPLITS = ("av_sft", "ar_sft", "rl")
 
@@ -39,9 +45,10 @@ def hash_cuts(hashes: DataFrame, ranks: Callable[[int], Sequence[int]]) -> tuple
 
     ``hashes`` has one column; ``ranks`` maps the number of hashes to the wanted
     ranks. Returns that number and one cut per rank: exactly ``rank`` hashes are
-    smaller than its cut.
+    smaller than its cut. Repeated hashes at a cut are an error.
     """
     name = hashes.columns[0]
+    hashes = materialize(hashes, "hashes")  # narrow; the input behind it is evaluated once
 
     def counts(frame: DataFrame, digits: int) -> dict[str, int]:
         grouped = frame.groupBy(F.substring(name, 1, digits).alias("p")).count()
@@ -68,8 +75,13 @@ def hash_cuts(hashes: DataFrame, ranks: Callable[[int], Sequence[int]]) -> tuple
             for row in rows:
                 by_prefix.setdefault(row[0][:digits], []).append(row[0])
             for r, (prefix, inner, _) in small.items():
-                cuts[r] = sorted(by_prefix[prefix])[inner]
+                ordered = sorted(by_prefix[prefix])
+                if inner and ordered[inner - 1] == ordered[inner]:
+                    raise DataCheckError("keys repeat: no cut separates rows of equal hash")
+                cuts[r] = ordered[inner]
         if large:
+            if digits >= HASH_DIGITS:
+                raise DataCheckError("keys repeat: no cut separates rows of equal hash")
             prefixes = {v[0] for v in large.values()}
             deeper = counts(
                 hashes.filter(F.substring(name, 1, digits).isin(list(prefixes))),
@@ -273,8 +285,10 @@ def natural_rank(df: DataFrame, keys: Sequence[str], name: str = "rank") -> Data
     (partition number and row number in it). The rows before a partition are
     summed over one count per partition, so the rank needs neither a global
     sort in one task nor a second shuffle. Writing pins the range bounds, which
-    Spark samples anew on every evaluation.
+    Spark samples anew on every evaluation; the input is written first, because
+    bounds and rows would each evaluate it.
     """
+    df = materialize(df, "to-rank")
     placed = (
         df.repartitionByRange(*keys)  # no number: adaptive execution merges small neighbours
         .sortWithinPartitions(*keys)
@@ -306,13 +320,19 @@ def range_shards(df: DataFrame, num_shards: int, key: str = "doc_id") -> DataFra
     n = docs.count()
     starts = [s * n // num_shards for s in range(1, num_shards)]
     ranked = natural_rank(docs, [key])
-    first = {r["rank"]: r[key] for r in ranked.filter(F.col("rank").isin(starts)).collect()} if starts else {}
-    shard = F.lit(0)
-    for start in starts:
-        # A start equal to n names no document: that shard and the later ones are empty.
-        if start in first:
-            shard = shard + (F.col(key) >= F.lit(first[start])).cast("int")
-    return df.withColumn("shard_id", shard)
+    wanted = df.sparkSession.createDataFrame([(s,) for s in sorted(set(starts))], "rank bigint") if starts else None
+    first = {r["rank"]: r[key] for r in ranked.join(F.broadcast(wanted), "rank").collect()} if starts else {}
+    # A start equal to n names no document: that shard and the later ones are empty.
+    keys = [first[s] for s in starts if s in first]
+
+    def search(low: int, high: int) -> Column:
+        """Number of start keys at or below the row's, among keys[low:high] and all before: a balanced tree of tests."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(key) >= F.lit(keys[middle]), search(middle + 1, high)).otherwise(search(low, middle))
+
+    return df.withColumn("shard_id", search(0, len(keys)))
 
 
 def chunk_starts(df: DataFrame, keys: Sequence[str], chunk_rows: int = C.CHUNK_ROWS) -> DataFrame:

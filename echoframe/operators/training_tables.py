@@ -55,6 +55,7 @@ def build_training(
     strict: bool = True,
     marker: dict | None = None,
     injection_scale: float | str | None = None,
+    corpus: str | None = None,
     **templates: str,
 ) -> dict:
     """Write a training table and its sidecar; returns the sidecar.
@@ -86,22 +87,26 @@ def build_training(
     if m["bad_tails"]:
         raise DataCheckError(f"{m['bad_tails']} prompts do not end with {suffix}")
     return write_sidecar(
-        spark, path, split, m["rows"], m["wide"] or 0, marker=marker, injection_scale=injection_scale, critic_suffix=suffix
+        spark, path, split, m["rows"], m["wide"] or 0, marker=marker, injection_scale=injection_scale, critic_suffix=suffix, corpus=corpus, **templates
     )
 
 
 def conversation_rows(messages: DataFrame) -> DataFrame:
-    """Prompt and response pairs: each assistant turn after the turn before it.
+    """Prompt and response pairs: each assistant turn with all turns before it, the system message included.
 
-    A self-join on (conversation, turn), whose keys are unique, so a very long
-    conversation is spread like any other rows.
+    A row is as long as its history, whatever the plan. Answers meet earlier
+    turns in a join that adaptive execution splits, and are gathered per answer,
+    so a very long conversation is not one task. An answer without earlier
+    turns has an empty prompt.
     """
-    before = messages.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("p_role"), F.col("text").alias("p_text"))
     answers = messages.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("response"))
-    return answers.join(before, ["conv_id", "turn"]).select(
+    turn = F.struct(F.col("turn").alias("at"), "role", F.col("text").alias("content"))
+    before = messages.select(F.col("conv_id").alias("p_conv"), turn.alias("said"))
+    pairs = answers.join(before, (F.col("conv_id") == F.col("p_conv")) & (F.col("said.at") < F.col("turn")), "left")
+    return pairs.groupBy("conv_id", "turn", "response").agg(F.array_sort(F.collect_list("said")).alias("said")).select(
         "conv_id",
         "turn",
-        F.array(F.struct(F.col("p_role").alias("role"), F.col("p_text").alias("content"))).alias("prompt"),
+        F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("prompt"),
         "response",
     )
 
@@ -109,6 +114,6 @@ def conversation_rows(messages: DataFrame) -> DataFrame:
 def training_text(rows: DataFrame, max_length: int = C.MAX_LENGTH) -> DataFrame:
     """Add ``tokens`` of the rendered prompt plus response and ``prompt_len`` in tokens."""
     rendered = T.render_chat("prompt")
-    return rows.withColumn("tokens", T.tokenize(F.concat(rendered, F.lit(" "), "response"), max_length)).withColumn(
+    return rows.withColumn("tokens", T.tokenize(F.concat(rendered, "response"), max_length)).withColumn(
         "prompt_len", F.size(T.tokenize(rendered, max_length)).cast("bigint")
     )

@@ -246,16 +246,16 @@ def t20(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.preview("text").alias("head"), T.tail("text").alias("tail"))
 
 
-SQL_VOCAB = """
+SQL_VOCAB = r"""
 vocab AS (
   SELECT token, count(*) AS n, row_number() OVER (ORDER BY token) - 1 AS token_id
-  FROM (SELECT unnest(toks) AS token FROM tokens) GROUP BY token
+  FROM (SELECT unnest(regexp_extract_all(text, '[ \n\t\r]*[^ \n\t\r]+')) AS token FROM documents) GROUP BY token
 )"""
 
 
-@query("t21_vocabulary", with_ctes(inputs.SQL_TOKENS, SQL_VOCAB, select="SELECT token, n, token_id FROM vocab"))
+@query("t21_vocabulary", with_ctes(SQL_VOCAB, select="SELECT token, n, token_id FROM vocab"))
 def t21(spark, sf):
-    return VOC.vocabulary(with_tokens(inputs.corpus(spark, sf)))
+    return VOC.vocabulary(with_tokens(inputs.corpus(spark, sf), max_length=None))
 
 
 SQL_FINGERPRINT = """
@@ -265,13 +265,13 @@ coarse AS (SELECT substr(g, 1, 3) AS g, sha256(string_agg(h, '' ORDER BY g)) AS
 fingerprint AS (SELECT sha256(string_agg(h, '' ORDER BY g) || '|<pad>') AS fingerprint FROM coarse)"""
 
 
-@query("t21_vocabulary_fingerprint", with_ctes(inputs.SQL_TOKENS, SQL_VOCAB, SQL_FINGERPRINT, select="SELECT fingerprint FROM fingerprint"))
+@query("t21_vocabulary_fingerprint", with_ctes(SQL_VOCAB, SQL_FINGERPRINT, select="SELECT fingerprint FROM fingerprint"))
 def t21_fingerprint(spark, sf):
-    vocab = with_tokens(inputs.corpus(spark, sf)).select(F.explode("tokens").alias("token")).distinct()
+    vocab = with_tokens(inputs.corpus(spark, sf), max_length=None).select(F.explode("tokens").alias("token")).distinct()
     return VOC.vocabulary_fingerprint(vocab, ("<pad>",))
 
 
-@query("t22_fingerprint_check", with_ctes(inputs.SQL_TOKENS, SQL_VOCAB, SQL_FINGERPRINT, select="""
+@query("t22_fingerprint_check", with_ctes(SQL_VOCAB, SQL_FINGERPRINT, select="""
     SELECT fingerprint, true AS first_run, false AS second_run FROM fingerprint"""))
 def t22(spark, sf):
     """Recorded on the first run, compared on the second."""
@@ -285,11 +285,13 @@ def t22(spark, sf):
 
 SQL_PAIRS = r"""
 turns AS (
-  SELECT a.conv_id, a.turn, '<|' || p.role || '|>' || chr(10) || p.text || chr(10) || '<|assistant|>' || chr(10) AS rendered, a.text AS response
-  FROM conversations a JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1 WHERE a.role = 'assistant'
+  SELECT a.conv_id, a.turn, a.text AS response,
+         coalesce(string_agg('<|' || p.role || '|>' || chr(10) || p.text || chr(10), '' ORDER BY p.turn), '') || '<|assistant|>' || chr(10) AS rendered
+  FROM conversations a LEFT JOIN conversations p ON p.conv_id = a.conv_id AND p.turn < a.turn WHERE a.role = 'assistant'
+  GROUP BY a.conv_id, a.turn, a.text
 ),
 chat AS (
-  SELECT conv_id, turn, regexp_extract_all(rendered || ' ' || response, '[ \n\t\r]*[^ \n\t\r]+')[1:2048] AS toks,
+  SELECT conv_id, turn, regexp_extract_all(rendered || response, '[ \n\t\r]*[^ \n\t\r]+')[1:2048] AS toks,
          len(regexp_extract_all(rendered, '[ \n\t\r]*[^ \n\t\r]+')[1:2048]) AS prompt_len
   FROM turns
 )"""

@@ -233,8 +233,8 @@ def a13(spark, sf):
 
 SQL_LOGITS = r"""
 message_tokens AS (
-  SELECT conv_id * 1000 + turn AS seq_id, unnest(toks) AS token, unnest(range(len(toks))) AS pos
-  FROM (SELECT conv_id, turn, (regexp_extract_all(text, '[ \n\t\r]*[^ \n\t\r]+'))[1:2048] AS toks FROM conversations)
+  SELECT conv_id * 1000000 + turn AS seq_id, unnest(toks) AS token, unnest(range(len(toks))) AS pos
+  FROM (SELECT conv_id, turn, (regexp_extract_all(text, '[ \n\t\r]*[^ \n\t\r]+')) AS toks FROM conversations)
 ),
 logits AS (
   SELECT seq_id, pos, list_transform(range(5), lambda i: ((seq_id * 7 + pos * 3 + i * 5) % 11) / 4.0::DOUBLE) AS logits,
@@ -252,7 +252,7 @@ shifted AS (
 def message_tokens(spark, sf):
     messages = table(spark, sf, "conversations")
     return messages.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq_id"), F.posexplode(T.tokenize("text")).alias("pos", "token")
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("seq_id"), F.posexplode(T.tokenize("text", None)).alias("pos", "token")
     )
 
 
@@ -314,8 +314,8 @@ def r11(spark, sf):
 @query("r11_marker_sites_in_arrays", with_ctes(SQL_SITES, select="SELECT seq_id, pos FROM sites"))
 def r11_arrays(spark, sf):
     """The same with one row per sequence: no shuffle."""
-    ids = F.transform(T.tokenize("text"), lambda t: F.char_length(t))
-    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq_id"), ids.alias("ids"))
+    ids = F.transform(T.tokenize("text", None), lambda t: F.char_length(t))
+    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("seq_id"), ids.alias("ids"))
     sites = T.let(F.col("ids"), lambda i: N.sites_in_array(i, 5, 4, 6))
     return rows.select("seq_id", F.explode(sites).alias("pos")).select("seq_id", F.col("pos").cast("bigint").alias("pos"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+MAX_BROADCAST_FILES = 200_000
+
 
 def provenance_id(corpus: str, split: str, index: Column) -> Column:
     return F.concat(F.lit(f"{corpus}:{split}:"), index.cast("string"))
@@ -41,7 +43,9 @@ def read_corpus(
         offsets = files.select(
             "_file", (F.sum("count").over(W.orderBy("_file")) - F.col("count")).alias("_offset")
         )
-        rows = located.join(offsets, "_file").select(
+        # one short row per file; checked, so that a scan of very many files falls back to a join
+        small = offsets if files.count() > MAX_BROADCAST_FILES else F.broadcast(offsets)
+        rows = located.join(small, "_file").select(
             (F.col("_offset") + F.col("_row")).alias("corpus_index"), "text"
         )
     if start:

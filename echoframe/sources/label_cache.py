@@ -19,6 +19,9 @@ from echoframe.sources.tables import LABEL_CACHE
 KEY_PATTERN = "^[0-9a-f]{64}$"
 ENTRY_PATTERN = r'^\s*("[0-9a-f]{64}"\s*:\s*".*")\s*,?\s*$'
 
+#: Lines of an exported object that hold no entry: braces, blanks, and fields whose name is no key.
+PASSED_PATTERN = r'^\s*([{}\[\]]*\s*,?|"(?![0-9a-f]{64}")[^"]*"\s*:.*)\s*$'
+
 
 def cache_from_explained(explained: DataFrame) -> DataFrame:
     return explained.select(
@@ -29,14 +32,18 @@ def cache_from_explained(explained: DataFrame) -> DataFrame:
 def cache_from_json(spark: SparkSession, path: str) -> DataFrame:
     """Read an exported cache: JSON lines, an indented object, or an object on one line.
 
-    Lines of ``_meta`` never look like an entry and are passed over.
+    Braces, blank lines and fields of ``_meta`` are passed over. Any other line
+    that is no entry, a cut-off one for instance, is an error: a cache that
+    shrinks unseen would have its texts labelled again.
     """
     lines = spark.read.text(path)
     entry = F.concat(F.lit("{"), F.regexp_extract("value", ENTRY_PATTERN, 1), F.lit("}"))
     as_map = F.from_json(
         F.when(F.col("value").rlike(ENTRY_PATTERN), entry).otherwise(F.col("value")), "map<string,string>"
     )
-    parsed = lines.select(as_map.alias("m")).filter(F.col("m").isNotNull())
+    known = F.col("value").rlike(PASSED_PATTERN) | F.col("value").rlike(ENTRY_PATTERN)
+    broken = F.raise_error(F.concat(F.lit("unreadable line in the label cache: "), F.substring("value", 1, 80))).cast("map<string,string>")
+    parsed = lines.select(F.when(as_map.isNull() & ~known, broken).otherwise(as_map).alias("m")).filter(F.col("m").isNotNull())
     pairs = parsed.select(
         F.explode(
             F.when(

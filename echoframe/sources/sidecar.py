@@ -73,12 +73,18 @@ def write_sidecar(
     mse_scale: float | str | None = "sqrt_d_model",
     critic_suffix: list[str] | None = None,
     extra: dict | None = None,
+    corpus: str | None = None,
+    actor_template: str = C.ACTOR_TEMPLATE,
+    critic_template: str = C.CRITIC_TEMPLATE,
 ) -> dict:
-    """Metadata of a training table: kind, split, rows, width, scales, marker and templates."""
+    """Metadata of a training table: kind, split, rows, width, scales, marker, corpus and the templates in use.
+
+    The keys are fixed values of the file contract.
+    """
     tokens = dict(marker or {})
-    templates = {"actor": C.ACTOR_TEMPLATE}
+    templates = {"actor": actor_template}
     if split == "ar_sft":
-        templates["critic"] = C.CRITIC_TEMPLATE
+        templates["critic"] = critic_template
     if critic_suffix is not None:
         tokens["critic_suffix"] = critic_suffix
     meta = {
@@ -89,6 +95,7 @@ def write_sidecar(
         "row_count": row_count,
         "extraction": {
             "d_model": d_model,
+            **({"corpus": corpus} if corpus is not None else {}),
             "injection_scale": injection_scale,
             "mse_scale": mse_scale,
             "norm": "none",

@@ -63,8 +63,8 @@ def test_mse_is_twice_one_minus_cos(spark, pairs):
 
 
 def test_scale_settings():
-    assert V.resolve_scale(None, 16) is None and V.resolve_scale("raw", 16) is None and V.resolve_scale("none", 4) is None
-    assert V.resolve_scale("sqrt_d_model", 16) == 4.0 and V.resolve_scale("2.5", 16) == 2.5
+    assert V.scale_for(None, 16) is None and V.scale_for("raw", 16) is None and V.scale_for("none", 4) is None
+    assert V.scale_for("sqrt_d_model", 16) == 4.0 and V.scale_for("2.5", 16) == 2.5
     assert V.default_injection_scale(16) == 10.0
 
 
