@@ -15,6 +15,7 @@ import json
 import mmap
 import os
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,11 +24,10 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoframe.llm.textbytes import pieces, worker_cache
+from echoframe.llm.textbytes import WordHasher, pieces, worker_cache
 from echoframe.session import new_table_path
 
 #: How byte-level tokenizers split a text before the merges: a fixed value of the file format.
@@ -54,6 +54,8 @@ class Tokenizer:
     merges: dict[int, tuple[int, int]]
     first: list[int]
     special: dict[str, int] = field(default_factory=dict)
+    #: The merges as sorted arrays, made on first use.
+    tables: tuple | None = None
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
@@ -119,6 +121,60 @@ class Tokenizer:
             push(k)
         return [i for i in ids if i >= 0]
 
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The same ids, as little-endian bytes, for many words: one merge in each of them at a step."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        if self.tables is None:
+            keys = np.fromiter(self.merges.keys(), np.int64, len(self.merges))
+            order = np.argsort(keys)
+            values = np.array(list(self.merges.values()), np.int32).reshape(-1, 2)[order]
+            joined = np.zeros(len(keys) and int(values[:, 0].max()) + 1, np.int32)
+            joined[values[:, 0]] = values[:, 1]
+            self.tables = keys[order], values, joined
+        keys, values, joined = self.tables
+        first, none = np.array(self.first, np.int32), np.int32(2**31 - 1)
+
+        def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            pair = a.astype(np.int64) << 32 | b
+            i = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+            return np.where((a >= 0) & (b >= 0) & (keys[i] == pair), values[i, 0], none)
+
+        low = 0
+        for cap in (4, 8, 12, 16, 24, 40, LONG):
+            rows = np.flatnonzero((size > low) & (size <= cap)) if len(keys) else np.zeros(0, np.int64)
+            low = cap
+            if not len(rows):
+                continue
+            ids = np.full((len(rows), cap + 1), -1, np.int32)
+            ids[:, :cap][np.arange(cap) < size[rows, None]] = first[np.frombuffer(b"".join([words[r] for r in rows]), np.uint8)]
+            rank = ranks(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                at = rank.argmin(axis=1)
+                pick = np.arange(len(rows))
+                best = rank[pick, at]
+                done = best == none
+                if done.any():
+                    count = (ids[done] >= 0).sum(axis=1)
+                    for r, n, row in zip(rows[done].tolist(), count.tolist(), ids[done].astype("<u4"), strict=True):
+                        out[r] = row[:n].tobytes()
+                    rows, ids, rank, at, best = rows[~done], ids[~done], rank[~done], at[~done], best[~done]
+                    pick = np.arange(len(rows))
+                    if not len(rows):
+                        break
+                column = np.arange(cap)
+                ids[:, :-1] = np.where(column > at[:, None], ids[:, 1:], ids[:, :-1])
+                ids[:, -1] = -1
+                ids[pick, at] = joined[best]
+                rank[:, :-1] = np.where(column[:-1] >= at[:, None], rank[:, 1:], rank[:, :-1])
+                rank[:, -1] = none
+                rank[pick, np.minimum(at, cap - 1)] = ranks(ids[pick, at], ids[pick, at + 1])
+                left = at > 0
+                rank[pick[left], at[left] - 1] = ranks(ids[pick[left], at[left] - 1], ids[pick[left], at[left]])
+        for r in np.flatnonzero((size > LONG) | (size > 0) & (len(keys) == 0)).tolist():
+            out[r] = np.array(self.merge(words[r]), "<u4").tobytes()
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -217,21 +273,92 @@ class Lexicon:
         return self.flat[self.ends[rank] : self.ends[rank + 1]].tobytes()
 
 
+LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
+
+
+def character_classes() -> np.ndarray:
+    """Class of every code point: letter, number, other, white space, and the space itself."""
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    for c in range(0x110000):
+        k = unicodedata.category(chr(c))[0]
+        if k == "L":
+            kinds[c] = LETTER
+        elif k == "N":
+            kinds[c] = NUMBER
+    blank = [*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    kinds[blank] = BLANK
+    kinds[0x20] = SPACE
+    return kinds
+
+
 class Splitter:
-    """Words of a text; special tokens are words of their own, found first."""
-
-    def __init__(self, special: dict[str, int]) -> None:
-        self.words = regex.compile(SPLIT).findall
-        names = sorted(special, key=len, reverse=True)
-        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-
-    def __call__(self, text: str) -> list[str]:
-        if self.special is None or not self.special.search(text):
-            return self.words(text)
-        out: list[str] = []
-        for k, part in enumerate(self.special.split(text)):
-            out += [part] if k % 2 else self.words(part)
-        return out
+    """Words of many texts at once: what ``SPLIT`` finds, from the classes of neighbouring characters."""
+
+    def __init__(self) -> None:
+        cache = worker_cache("characters", unicodedata.unidata_version)
+        if "classes" not in cache:
+            cache["classes"] = character_classes()
+        self.classes = cache["classes"]
+        self.hasher = WordHasher()
+
+    def starts(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Flags of the characters where a word begins; rows begin at the offsets."""
+        n = len(points)
+        kind = self.classes[points]
+        white = kind >= BLANK
+        kind = np.where(white, np.uint8(BLANK), kind)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        first = edge[:n].copy()  # first character of a run
+        first[1:] |= kind[1:] != kind[:-1]
+        last = edge[1:].copy()
+        last[:-1] |= kind[1:] != kind[:-1]
+        spaced = np.zeros(n, bool)  # a space of the same row stands before
+        spaced[1:] = (points[:-1] == 0x20) & ~edge[1:n]
+        # a run takes the space before it; of more white space the last sign stands apart, unless the row ends
+        begin = np.where(white, first | (last & ~edge[1:]), first & ~spaced)
+        # 's 't 'm 'd 're 've 'll, where the apostrophe is a run of its own without a space before
+        mark = np.flatnonzero((points == 0x27) & first & last & ~spaced & ~edge[1:])
+        if len(mark):
+            padded = np.append(points, [0, 0, 0])
+            a, b = padded[mark + 1], padded[mark + 2]
+            inside = mark + 2 <= n
+            two = inside & (mark + 2 < n) & ~edge[np.minimum(mark + 2, n)] & (
+                ((a == 0x72) & (b == 0x65)) | ((a == 0x76) & (b == 0x65)) | ((a == 0x6C) & (b == 0x6C))
+            )
+            one = np.isin(a, [0x73, 0x74, 0x6D, 0x64])
+            begin[mark[one | two] + 1] = False
+            after = np.concatenate([mark[one] + 2, mark[two] + 3])
+            after = after[after < n]
+            begin[after[kind[after] == LETTER]] = True
+        return begin
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words, the number of the word at every place, and the places where rows begin, one more at the end."""
+        whole = "".join(texts)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        if not len(points):
+            return [], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        begin = np.flatnonzero(self.starts(points, offsets))
+        end = np.append(begin[1:], len(points))
+        _, example, number = np.unique(self.hasher(points, begin, end), return_index=True, return_inverse=True)
+        words = [whole[a:b] for a, b in zip(begin[example].tolist(), end[example].tolist(), strict=True)]
+        return words, number, np.searchsorted(begin, offsets)
+
+
+def cut_special(texts: list[str], special: dict[str, int]) -> tuple[list[str], list[int], list[int | None]]:
+    """Texts cut at special tokens: the parts, the row of each, and the id where a part is a special token."""
+    names = sorted(special, key=len, reverse=True)
+    pattern = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+    parts, rows, ids = [], [], []
+    for row, text in enumerate(texts):
+        cut = pattern.split(text) if pattern is not None and any(name in text for name in names) else [text]
+        for k, part in enumerate(cut):
+            parts.append("" if k % 2 else part)
+            rows.append(row)
+            ids.append(special[part] if k % 2 else None)
+    return parts, rows, ids
 
 
 class Encoder:
@@ -239,39 +366,46 @@ class Encoder:
 
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon) -> None:
         self.tokenizer, self.lexicon = tokenizer, lexicon
-        self.split = Splitter(tokenizer.special)
+        self.split = Splitter()
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words: from memory, else the lexicon, else merged."""
         fresh = [w for w in words if w not in self.known]
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+            fresh = words
         raw = [w.encode("utf-8") for w in fresh]
-        for w, b, rank in zip(fresh, raw, self.lexicon.rank(raw).tolist(), strict=True):
-            if w in self.tokenizer.special:
-                self.known[w] = np.array([self.tokenizer.special[w]], "<u4").tobytes()
-            else:
-                self.known[w] = self.lexicon.ids(rank) if rank >= 0 else np.array(self.tokenizer.merge(b), "<u4").tobytes()
+        rank = self.lexicon.rank(raw)
+        absent = np.flatnonzero(rank < 0).tolist()
+        merged = dict(zip(absent, self.tokenizer.merge_many([raw[k] for k in absent]), strict=True))
+        for k, (w, r) in enumerate(zip(fresh, rank.tolist(), strict=True)):
+            self.known[w] = self.lexicon.ids(r) if r >= 0 else merged[k]
+        return [self.known[w] for w in words]
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        words = [self.split(t) for t in texts]
-        new: set[str] = set()
-        for w in words:
-            new.update(w)
-        missing = new - self.known.keys()
-        if missing:
-            # words of this piece that a clearing drops are learnt again with the rest
-            self._learn(missing if len(self.known) + len(missing) <= REMEMBERED else new)
-        get = self.known.__getitem__
-        for w in words:
-            yield np.frombuffer(b"".join(map(get, w)), "<u4")
+        parts, rows, special = cut_special(texts, self.tokenizer.special)
+        words, number, places = self.split(parts)
+        table = self.ids_of(words)
+        size = np.array([len(t) // 4 for t in table], np.int64)
+        flat = np.frombuffer(b"".join(table), "<u4")
+        begin = np.cumsum(size) - size
+        n = size[number]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        index = np.arange(ends[-1]) + np.repeat(begin[number] - ends[:-1], n)
+        ids, cut = flat[index], ends[places]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for k, (row, token) in enumerate(zip(rows, special, strict=True)):
+            out[row].append(ids[cut[k] : cut[k + 1]] if token is None else np.array([token], "<u4"))
+        for found in out:
+            yield found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def count_words(docs: DataFrame, special: dict[str, int]) -> DataFrame:
     """``word, n`` over the whole texts of all documents; counted per task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = Splitter(special), Counter()
+        split, counts = Splitter(), Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -279,9 +413,9 @@ def count_words(docs: DataFrame, special: dict[str, int]) -> DataFrame:
             return out
 
         for batch in pieces(batches):
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(split(text))
+            words, number, _ = split(cut_special([t or "" for t in batch.column(0).to_pylist()], special)[0])
+            for word, n in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
+                counts[word] += n
             if len(counts) > 500_000:
                 yield flush()
         if counts:
@@ -312,8 +446,6 @@ def build_lexicon(docs: DataFrame, tokenizer: Tokenizer, words: int = LEXICON_WO
     chosen: dict[bytes, list[int]] = {}
     size = 0
     for row in top:
-        if row["word"] in tokenizer.special:
-            continue
         raw = row["word"].encode("utf-8")
         ids = tokenizer.merge(raw)
         size += 12 * len(raw) + 4 * len(ids) + 4

@@ -81,6 +81,25 @@ def test_merges_equal_the_library(text):
     assert encoder.tokenizer.decode(ids) == reference.decode(ids.tolist(), skip_special_tokens=False)
 
 
+@given(st.text(alphabet=st.sampled_from(list("ab1 '\n\tsremtdlv!é²\u00a0\u2028\x1c\u3000")), max_size=40), st.text(alphabet="a 's\n", max_size=12))
+@settings(max_examples=400, deadline=None)
+def test_splitter_finds_what_the_pattern_finds(one, two):
+    import regex
+    find = regex.compile(bpe.SPLIT.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+    words, number, places = bpe.Splitter()([one, "", two])
+    got = [[words[k] for k in number[a:b]] for a, b in zip(places[:-1], places[1:], strict=True)]
+    assert got == [find(one), [], find(two)]
+
+
+@given(st.lists(st.binary(min_size=1, max_size=90), max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_many_merges_equal_single_ones(words):
+    t = bpe.Tokenizer.load(queries.tokenizer_path()) if not hasattr(test_many_merges_equal_single_ones, "t") else test_many_merges_equal_single_ones.t
+    test_many_merges_equal_single_ones.t = t
+    words = words + [b" the", b"tokenization", b"aaaaaaaaaaaaaaaa"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in t.merge_many(words)] == [t.merge(w) for w in words]
+
+
 # ---------------------------------------------------------------- licences
 
 def test_license_forms(spark):
