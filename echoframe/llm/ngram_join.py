@@ -10,8 +10,8 @@
    fewer than l no class of the one can link to one of the other. Groups that
    pass are held class by class against each other's whole token union, of which
    a class needs four fifths, and classes that pass are compared exactly.
-4. First every group is compared with itself, and every class with one class
-   per shingle. What that connects needs no further comparison: the second round
+4. First every group is compared with itself, and every class with the first
+   class of each shared shingle. What that connects needs no further comparison: the second round
    regroups linked classes by component and leaves the others by min-hash, and
    groups of one component don't meet, so large groups of near copies stay
    linear.
@@ -43,6 +43,9 @@ GUEST_TOKENS = 1 << 20
 #: Shingles that prefixes of linked sets must share: one in so many of the smaller set, and one at least.
 SHARE = 10
 
+#: Rows of 64 marks each, which tell what texts are opened.
+MARK_WORDS = 1 << 18
+
 _WORD = byte_class(separators=[0x20, *range(0x09, 0x0E)])
 _U = np.uint64
 
@@ -139,30 +142,33 @@ def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ordered by token and class: each once, and only those of tokens that two classes have.
+    """Of rows ordered by token and class: each once, only those of tokens that two classes have, with the token's first class.
 
-    Streams: of an open token only its first class is remembered.
+    Streams: of an open token only its first and last class are remembered.
     """
-    token, first, given = None, 0, False
+    token, hub, last, given = None, 0, 0, False
     for batch in batches:
         t, c = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         if not len(t):
             continue
-        if token is not None:  # go on with the open token: its first class stands in front again
-            t, c = np.append(token, t), np.append(first, c)
+        if token is not None:  # go on with the open token: its last class stands in front again
+            t, c = np.append(token, t), np.append(last, c)
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
-        # copies of the open token's first class cannot come later: rows are ordered by class
+        # copies of the open token's other classes cannot come later: rows are ordered by class
         t, c = t[new], c[new]
         begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         size = np.diff(np.append(begins, len(t)))
         out = np.repeat(size > 1, size)
+        hubs = c[begins]
+        if token is not None:
+            hubs[0] = hub
         if token is not None and given:
             out[0] = False  # it was given out with an earlier batch
             out[1 : size[0]] = True
         opened_before = token is not None and len(begins) == 1
         given = bool(size[-1] > 1) or (opened_before and given)
-        token, first = int(t[begins[-1]]), int(c[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(c[out])], names=["token", "d1"])
+        token, hub, last = int(t[begins[-1]]), int(hubs[-1]), int(c[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(c[out]), pa.array(np.repeat(hubs, size)[out])], names=["token", "d1", "hub"])
 
 
 class Members:
@@ -290,6 +296,20 @@ def _grouped(classes: DataFrame, *by: str) -> DataFrame:
     return grouped.join(range_, "group")
 
 
+def marked(texts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``texts`` whose key may be in ``wanted``, before a join that would move all of them.
+
+    The marks are one bit per hash slot in at most ``MARK_WORDS`` rows, whatever
+    the tables hold, so they are broadcast; with more keys than slots more rows
+    pass, and none that is wanted is lost.
+    """
+    h = F.xxhash64(key)
+    word = F.pmod(h, F.lit(MARK_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))
+    marks = wanted.select(word.alias("word_"), bit.alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_"))
+    return texts.join(F.broadcast(marks), (word == F.col("word_")) & (bit.bitwiseAND(F.col("bits_")) != 0), "left_semi")
+
+
 def _enough(pairs: DataFrame) -> DataFrame:
     """Group pairs ``g, h`` of a row per shared shingle that share enough of them."""
     return pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).filter("c >= need").select("g", "h")
@@ -345,7 +365,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
     shared = materialize(
         texts.mapInArrow(prefixes, "token long, d1 long").repartition("token").sortWithinPartitions("token", "d1")
-        .mapInArrow(shared_tokens, "token long, d1 long"),
+        .mapInArrow(shared_tokens, "token long, d1 long, hub long"),
         "ngram-shared",
     )
     classes = materialize(
@@ -366,21 +386,21 @@ def join_documents(docs: DataFrame) -> DataFrame:
             out = [(a, s.tobytes()) for s, a, b in zip(shingle_sets(data, offsets, hasher), want1, want2, strict=True) if digest(s) == (a, b)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["d1", "tokens"])
 
+    wanted = candidates.select(F.col("rep").alias("doc_id"), "d1", "d2")
     sets = materialize(
-        texts.join(candidates.select(F.col("rep").alias("doc_id"), "d1", "d2").hint("merge"), "doc_id").mapInArrow(full, "d1 long, tokens binary"),
-        "ngram-full",
+        marked(texts, wanted, "doc_id").join(wanted.hint("merge"), "doc_id").mapInArrow(full, "d1 long, tokens binary"), "ngram-full"
     )
 
     # first round: groups of one min-hash each with itself, and every class with the first class of its tokens
-    groups = materialize(_grouped(candidates, "low"), "ngram-groups")
-    own = groups.groupBy("group").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
-    kept = materialize(shared.join(candidates.select("d1", "n"), "d1"), "ngram-kept")
-    hubs = kept.groupBy("token").agg(F.min(F.struct("d1", "n")).alias("hub"))
-    star = kept.join(hubs, "token").filter(
-        (F.col("d1") != F.col("hub.d1")) & (F.col("n") * 100 >= F.col("hub.n") * PERCENT) & (F.col("hub.n") * 100 >= F.col("n") * PERCENT)
-    ).select(F.col("hub.d1").alias("g"), F.col("d1").alias("h"), least_shared(F.least("n", "hub.n")).alias("need"))
-    single = candidates.select(F.col("d1").alias("group"), "d1", "n")
-    links = _compare(own, groups, sets, "ngram-links").union(_compare(_enough(star), single, sets, "ngram-links"))
+    groups = _grouped(candidates, "low").select("group", "d1", "n")
+    every = materialize(groups.union(candidates.select(F.col("d1").alias("group"), "d1", "n")), "ngram-groups")
+    own = every.groupBy("group").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
+    star = shared.filter("d1 <> hub").groupBy("hub", "d1").agg(F.count(F.lit(1)).alias("c"))
+    star = star.join(candidates.select("d1", "n"), "d1").join(candidates.select(F.col("d1").alias("hub"), F.col("n").alias("m")), "hub")
+    star = star.filter(
+        (F.col("n") * 100 >= F.col("m") * PERCENT) & (F.col("m") * 100 >= F.col("n") * PERCENT) & (F.col("c") >= least_shared(F.least("n", "m")))
+    ).select(F.col("hub").alias("g"), F.col("d1").alias("h"))
+    links = _compare(own.union(star), every, sets, "ngram-links")
     connected = components(links)
 
     # second round: linked classes by component, the others by min-hash again; tokens join what may not be connected
@@ -388,7 +408,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     of = of.withColumn("alone", F.col("component").isNull()).withColumn("by", F.coalesce("component", "low"))
     groups2 = materialize(_grouped(of, "alone", "by").withColumn("component", F.coalesce("component", "group")), "ngram-groups")
     again = groups2.filter("alone").groupBy("group").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
-    cells = kept.join(groups2.select("d1", "group", "component", "lo", "hi"), "d1").select("token", "group", "component", "lo", "hi").distinct()
+    cells = shared.join(groups2.select("d1", "group", "component", "lo", "hi"), "d1").select("token", "group", "component", "lo", "hi").distinct()
     mixed = cells.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     cells = materialize(cells.join(mixed, "token"), "ngram-matrix")
     left, right = cells.alias("l"), cells.alias("r")

@@ -126,11 +126,20 @@ def test_shared_tokens_streams(pairs, size):
     pairs = sorted(pairs)
     batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in p], pa.int64()), pa.array([c for _, c in p], pa.int64())], names=["t", "c"])
                for p in (pairs[k : k + size] for k in range(0, len(pairs), size))]
-    got = [(t, c) for b in ngram_join.shared_tokens(iter(batches)) for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    got = [row for b in ngram_join.shared_tokens(iter(batches)) for row in zip(*(b.column(k).to_pylist() for k in range(3)))]
     of = {}
     for t, c in pairs:
         of.setdefault(t, set()).add(c)
-    assert sorted(got) == sorted((t, c) for t, cs in of.items() if len(cs) > 1 for c in cs)
+    assert sorted(got) == sorted((t, c, min(cs)) for t, cs in of.items() if len(cs) > 1 for c in cs)
+
+
+def test_marks_lose_nothing_that_is_wanted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MARK_WORDS", 64)
+    every = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    wanted = every.filter("doc_id % 97 = 0").select("doc_id")
+    passed = ngram_join.marked(every, wanted, "doc_id")
+    assert passed.join(wanted, "doc_id").count() == wanted.count()
+    assert passed.count() < 5_000
 
 
 # ---------------------------------------------------------------- embeddings
