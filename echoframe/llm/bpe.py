@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.llm.textbytes import WordHasher, pieces, worker_cache
-from echoframe.session import new_table_path
+from echoframe.session import materialize, new_table_path
 
 #: How byte-level tokenizers split a text before the merges: a fixed value of the file format.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 16 << 20
+#: Bins of the histogram of word counts per doubling.
+BINS = 32
 #: Words longer than this are merged with a heap.
 LONG = 64
 REMEMBERED = 250_000
@@ -439,10 +441,22 @@ def _store(spark: SparkSession, data: bytes, path: str) -> None:
 def build_lexicon(docs: DataFrame, tokenizer: Tokenizer, words: int = LEXICON_WORDS) -> tuple[str, bytes]:
     """Path of the stored transducer of the most frequent words, and its bytes, at most ``LEXICON_BYTES``.
 
-    Words over 255 bytes are left to the merges. The driver gets ``words`` rows.
+    Words over 255 bytes are left to the merges. The counts are written, and a
+    histogram of at most ``64 * BINS`` counts finds the least count that at most
+    ``words`` words reach, so the driver gets no more rows than that, however
+    many tasks there are.
     """
     spark = docs.sparkSession
-    top = count_words(docs, tokenizer.special).filter(F.octet_length("word") < 256).orderBy(F.col("n").desc(), "word").limit(words).collect()
+    counts = materialize(
+        count_words(docs, tokenizer.special).filter(F.octet_length("word") < 256).withColumn("bin", F.floor(F.log2("n") * BINS).cast("int")), "bpe-words"
+    )
+    least, reached = None, 0
+    for row in sorted(counts.groupBy("bin").count().collect(), reverse=True):
+        reached += row["count"]
+        if reached > words:
+            break
+        least = row["bin"]
+    top = [] if least is None else counts.filter(F.col("bin") >= least).orderBy(F.col("n").desc(), "word").collect()
     chosen: dict[bytes, list[int]] = {}
     size = 0
     for row in top:
