@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoframe.llm.textbytes import WordHasher, pieces, worker_cache
+from echoframe.llm.textbytes import WordHasher, pieces, release_worker, worker_cache
 from echoframe.session import materialize, new_table_path
 
 #: How byte-level tokenizers split a text before the merges: a fixed value of the file format.
@@ -407,6 +407,7 @@ def count_words(docs: DataFrame, special: dict[str, int]) -> DataFrame:
     """``word, n`` over the whole texts of all documents; counted per task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker("characters")
         split, counts = Splitter(), Counter()
 
         def flush() -> pa.RecordBatch:
@@ -502,6 +503,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WOR
     key = (tokenizer_path, zlib.crc32(data))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker("characters", "bpe")
         cache = worker_cache("bpe", key)
         if "encoder" not in cache:
             tokenizer, data = held.value

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoframe.llm.textbytes import LOWER, WordHasher, byte_class, pieces, raw_bytes, word_bounds
+from echoframe.llm.textbytes import LOWER, WordHasher, byte_class, pieces, raw_bytes, release_worker, word_bounds
 from echoframe.session import materialize
 
 WINDOW = 10
@@ -68,6 +68,7 @@ def build_index(docs: DataFrame, name: str = "positional-index") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         hasher, part, k = WordHasher(), TaskContext.get().partitionId(), 0
         for batch in pieces(batches, size=BLOCK_BYTES):
             data, offsets = raw_bytes(batch.column("text"))
@@ -184,6 +185,7 @@ def _search(index: DataFrame, wanted: Phrases, spans: bool) -> DataFrame:
     held = index.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         wanted = held.value
         for row in (r for batch in batches for r in batch.to_pylist()):
             b = Block(row)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoframe.llm.components import components, roots
-from echoframe.llm.textbytes import LOWER, WordHasher, byte_class, mix, pieces, raw_bytes, word_bounds
+from echoframe.llm.textbytes import LOWER, WordHasher, byte_class, mix, pieces, raw_bytes, release_worker, word_bounds
 from echoframe.session import materialize
 
 SHINGLE = 5
@@ -108,6 +108,7 @@ _SETS = ["doc_id", "n", "d1", "d2", "low", "token", "count"]
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per row: size, digest and min-hash of its set; besides, shingles that are frequent in a stretch of rows."""
+    release_worker()
     hasher, kept, held = WordHasher(), {}, 0
     for batch in pieces(batches):
         data, offsets = raw_bytes(batch.column("text"))

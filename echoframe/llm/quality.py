@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echoframe.llm.labelled import MAX_LABELLED, held_out, labelled_sample
-from echoframe.llm.textbytes import LOWER, WordHasher, byte_class, mix, pieces, raw_bytes, word_bounds
+from echoframe.llm.textbytes import LOWER, WordHasher, byte_class, mix, pieces, raw_bytes, release_worker, word_bounds
 
 _U = np.uint64
 _WORD = byte_class(separators=[0x20, *range(0x09, 0x0E)])
@@ -145,6 +145,7 @@ def score(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings(),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         w, features = held.value, Features(settings.bits)
         for batch in pieces(batches, "_text"):
             data, offsets = raw_bytes(batch.column("_text"))

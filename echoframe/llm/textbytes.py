@@ -6,6 +6,8 @@ so memory in a task is bounded by the piece or by the longest single document.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Iterable, Iterator
@@ -20,12 +22,32 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
 
+def _caches() -> dict:
+    return sys.modules.setdefault("_echoframe_worker_cache", types.ModuleType("_echoframe_worker_cache")).__dict__.setdefault("held", {})
+
+
+def release_worker(*keep: str) -> None:
+    """Give back what earlier tasks of other operators left in this reused Python worker, but for the named caches.
+
+    Called when a task begins, so that a job of several operators needs the
+    memory of one at a time.
+    """
+    caches = _caches()
+    for name in caches.keys() - set(keep):
+        del caches[name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def worker_cache(name: str, key: object) -> dict:
-    """A dict that lives as long as the Python worker; one per name, emptied when the key changes."""
-    module = sys.modules.setdefault("_echoframe_worker_cache", types.ModuleType("_echoframe_worker_cache"))
-    held = module.__dict__.get(name)
+    """A dict that lives until another operator's task begins in the Python worker; one per name, emptied when the key changes."""
+    caches = _caches()
+    held = caches.get(name)
     if held is None or held[0] != key:
-        held = module.__dict__[name] = (key, {})
+        held = caches[name] = (key, {})
     return held[1]
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echoframe.llm.labelled import MAX_LABELLED, held_out, labelled_sample
-from echoframe.llm.textbytes import worker_cache
+from echoframe.llm.textbytes import release_worker, worker_cache
 from echoframe.session import materialize
 
 #: Settings of the fit.
@@ -155,6 +155,7 @@ def lower_bound(hits: float, misses: float, z: float = 1.64) -> float:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with a term by label, and which of 62 classes of similar texts they are in."""
+    release_worker()
     found: dict[str, list[int]] = {}
 
     def flush() -> pa.RecordBatch:
@@ -348,6 +349,7 @@ def score(docs: DataFrame, terms: list[Term], threshold: float = 0.5, keep: list
     picked = docs.select(F.col("doc_id").cast("long").alias("_id"), held_out(F.col("doc_id")).alias("_held"), F.col("text").alias("_text"), *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker("toxicity")
         held = worker_cache("toxicity", key)
         if "scorer" not in held:
             held["scorer"] = Scorer(terms)
