@@ -25,7 +25,7 @@ from echoframe.llm.textbytes import LOWER, WordHasher, byte_class, pieces, raw_b
 from echoframe.session import materialize
 
 WINDOW = 10
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Test text searched for at once; a larger test set is searched for in several passes.
 PASS_BYTES = 8 << 20
 
