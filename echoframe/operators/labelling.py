@@ -124,13 +124,16 @@ def label_into(
     cache: DataFrame | None = None,
     slices: int = 1,
     retry_dropped: bool = False,
+    require_kept: bool = True,
     **options,
 ) -> dict[str, int]:
     """Resumable labelling into ``<path>/explained`` and ``<path>/audit``.
 
     Progress is a key, not a row count: labelled rows and recorded drops are
     skipped, new rows are not. Work is done in ``slices`` by text hash, so a
-    crash loses at most one slice and copies of a text stay together.
+    crash loses at most one slice and copies of a text stay together. A job that
+    drops everything and finds no earlier label raises, its audit records kept,
+    unless ``require_kept`` is off.
     """
     explained_path, audit_path = f"{path}/explained", f"{path}/audit"
     min_features = options.pop("min_features", C.MIN_FEATURES)
@@ -155,4 +158,6 @@ def label_into(
         records.write.mode("append").parquet(audit_path)
         written["explained"] += explained.count()
         written["dropped"] += records.filter("dropped").count()
+    if require_kept and written["dropped"] and not written["explained"]:
+        check_some_kept(read_table(spark, explained_path))
     return written

@@ -11,6 +11,7 @@ from echoframe.plans import inputs
 from echoframe.plans.catalog import query, table, with_ctes
 from echoframe.session import new_table_path
 from echoframe.sources import tables as TB
+from echoframe.sources.corpus import read_corpus
 
 SQL_CORPUS = "corpus AS (SELECT 'documents:train:' || doc_id AS doc_id, text FROM documents)"
 
@@ -157,10 +158,13 @@ def s13(spark, sf):
 
 
 @query("k1_sorted_output", with_ctes(*SQL_POSITIONS, select="""
-    SELECT doc_id, n_raw_tokens FROM positions"""))
+    SELECT doc_id, n_raw_tokens, row_number() OVER (ORDER BY doc_id, n_raw_tokens) - 1 AS place FROM positions"""))
 def k1(spark, sf):
-    rows = inputs.positions(spark, sf).select("doc_id", "n_raw_tokens")
-    return TB.sorted_by(rows, "doc_id", "n_raw_tokens")
+    """The place of every row in the written files, read in file order."""
+    rows, path = inputs.positions(spark, sf).select("doc_id", "n_raw_tokens"), new_table_path(spark, "sorted")
+    TB.sorted_by(rows, "doc_id", "n_raw_tokens").select(F.struct("doc_id", "n_raw_tokens").alias("row")).write.parquet(path)
+    back = read_corpus(spark, path, "sorted", text="row")
+    return back.select("text.doc_id", "text.n_raw_tokens", F.col("corpus_index").alias("place"))
 
 
 @query("s2_table_scan", "SELECT vec_id, label, embedding[1] AS first_value, len(embedding) AS width FROM embeddings")

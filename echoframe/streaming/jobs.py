@@ -63,7 +63,7 @@ def label_stream(
     rows = spark.readStream.schema(POSITIONS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def step(batch: DataFrame, _: int) -> None:
-        label_into(batch.sparkSession, batch, target, provider, **options)
+        label_into(batch.sparkSession, batch, target, provider, require_kept=False, **options)
 
     return (
         rows.writeStream.foreachBatch(step)

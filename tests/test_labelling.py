@@ -109,6 +109,15 @@ def test_labelling_twice_asks_nothing(spark):
     assert spark.read.parquet(f"{path}/explained").count() == 3
 
 
+def test_a_job_that_drops_everything_stops_and_keeps_its_audit(spark):
+    path = new_table_path(spark, "test-labels")
+    with pytest.raises(DataCheckError):
+        L.label_into(spark, positions(spark, "thin"), path, Scripted())
+    assert spark.read.parquet(f"{path}/audit").filter("dropped").count() == 1
+    other = new_table_path(spark, "test-labels")
+    assert L.label_into(spark, positions(spark, "thin"), other, Scripted(), require_kept=False) == {"explained": 0, "dropped": 1}
+
+
 @pytest.mark.parametrize("indent", [None, 2])
 def test_json_cache_without_meta(spark, tmp_path, indent):
     key, other = "a" * 64, "b" * 64
