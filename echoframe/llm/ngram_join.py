@@ -234,10 +234,10 @@ def linked(a: Members, b: Members, same: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _open(table: pa.Table) -> pa.Table:
-    """A host group, opened, and the classes of its guest groups: linked classes. Without guests it meets itself."""
-    if table.num_rows == 0:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    guest = np.asarray(table.column("guest"))
+    """A host group, opened, against the classes of its guest groups, and against itself where ``own`` says so: linked classes."""
+    none = np.zeros(0, np.int64)
+    found = [(none, none)]
+    guest, own = np.asarray(table.column("guest")), np.asarray(table.column("own"))
     ids = np.asarray(table.column("d1"))
     sets = [np.frombuffer(x, _U) for x in table.column("tokens").to_pylist()]
 
@@ -246,10 +246,13 @@ def _open(table: pa.Table) -> pa.Table:
         at = at[np.unique(ids[at], return_index=True)[1]]
         return Members(ids[at], [sets[i] for i in at])
 
-    if not (~guest).any():
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    a, same = members(False), not guest.any()
-    u, v = linked(a, a if same else members(True), same)
+    if (~guest).any():
+        a = members(False)
+        if own.any():
+            found.append(linked(a, a, True))
+        if guest.any():
+            found.append(linked(a, members(True), False))
+    u, v = (np.concatenate(x) for x in zip(*found, strict=True))
     return pa.table({"a": u, "b": v})
 
 
@@ -272,10 +275,11 @@ def _compare(pairs: DataFrame, groups: DataFrame, sets: DataFrame, name: str) ->
     )
     parts = hosted.groupBy("host").agg(F.ceil(F.sum("t") / GUEST_TOKENS).alias("parts"))
     dealt = hosted.join(parts, "host").select("host", "visitor", F.pmod(F.xxhash64("visitor"), F.col("parts")).alias("part"))
-    rows = dealt.select("host", "part", F.col("host").alias("group"), F.lit(False).alias("guest")).distinct().union(
-        dealt.filter("host <> visitor").select("host", "part", F.col("visitor").alias("group"), F.lit(True))
+    opened = dealt.groupBy("host", "part").agg(F.max(F.col("host") == F.col("visitor")).alias("own"))
+    rows = opened.select("host", "part", F.col("host").alias("group"), F.lit(False).alias("guest"), "own").union(
+        dealt.filter("host <> visitor").select("host", "part", F.col("visitor").alias("group"), F.lit(True), F.lit(False))
     )
-    rows = rows.join(groups.select("group", "d1"), "group").join(sets, "d1").select("host", "part", "guest", "d1", "tokens")
+    rows = rows.join(groups.select("group", "d1"), "group").join(sets, "d1").select("host", "part", "guest", "own", "d1", "tokens")
     return materialize(rows.groupBy("host", "part").applyInArrow(_open, "a long, b long"), name)
 
 

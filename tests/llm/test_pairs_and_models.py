@@ -121,6 +121,23 @@ def test_join_near_copies_chains_and_borders(spark, monkeypatch, tokens, classes
     assert rows(ngram_join.join_documents(frame)) == joined(docs)
 
 
+@pytest.mark.parametrize("tokens, classes", [(2_000, 256), (32_768, 8)])
+def test_join_links_inside_groups_that_host_others(spark, monkeypatch, tokens, classes):
+    """Variants of a template that share passages, each with a near copy: one min-hash, split in other parts in the second round."""
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", tokens)
+    monkeypatch.setattr(ngram_join, "GROUP_CLASSES", classes)
+    rng = np.random.default_rng(0)
+    docs = []
+    for k in range(60):
+        w = [f"t{j}" for j in range(60)] + [f"p{p}x{j}" for p in rng.choice(20, 8, replace=False) for j in range(10)]
+        docs.append((len(docs), " ".join(w)))
+        for at in rng.choice(70, 2, replace=False) + 65:
+            w[at] = f"m{k}x{at}"
+        docs.append((len(docs), " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert rows(ngram_join.join_documents(frame)) == joined(docs)
+
+
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3)), max_size=40), st.integers(1, 5))
 @settings(max_examples=150, deadline=None)
 def test_shared_tokens_streams(pairs, size):
