@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -153,32 +154,39 @@ def lower_bound(hits: float, misses: float, z: float = 1.64) -> float:
     return max(0.0, (p + z * z / (2 * n) - z * ((p * (1 - p) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n))
 
 
+def similar_class(words: list[str]) -> int:
+    """Min-hash over pairs of following words: the same for copies and mostly for near copies, for other texts another."""
+    pairs = {f"{a} {b}".encode("utf-8", "surrogatepass") for a, b in zip(words, words[1:])} or {words[0].encode("utf-8", "surrogatepass")}
+    low = min(pairs, key=lambda p: (zlib.crc32(p), p))
+    return int.from_bytes(blake2b(low, digest_size=8).digest(), "little", signed=True)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a term by label, and which of 62 classes of similar texts they are in."""
+    """Rows with a term by label and class of similar texts."""
     release_worker()
-    found: dict[str, list[int]] = {}
+    found: dict[tuple[str, int], list[int]] = {}
 
     def flush() -> pa.RecordBatch:
         keys, values = list(found), list(found.values())
         found.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), *(pa.array([v[k] for v in values], pa.int64()) for k in range(3))], names=["term", "t", "c", "classes"]
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
+             *(pa.array([v[k] for v in values], pa.int64()) for k in range(2))],
+            names=["term", "class", "t", "c"],
         )
 
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(_WORD.findall(text.lower()))
-            if not words:
+            in_order = _WORD.findall(text.lower())
+            if not in_order:
                 continue
-            bit = 1 << (min(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words) % 62)
+            words, own = set(in_order), similar_class(in_order)
             terms = words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
             for term in terms:
-                v = found.get(term)
+                v = found.get((term, own))
                 if v is None:
-                    v = found[term] = [0, 0, 0]
+                    v = found[term, own] = [0, 0]
                 v[1 - y] += 1
-                if y:
-                    v[2] |= bit
             if len(found) > 300_000:
                 yield flush()
     if found:
@@ -198,8 +206,9 @@ def tail(hits: int, n: int, rate: float) -> float:
 def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> list[Term]:
     """At most ``MAX_TERMS`` terms from at most ``limit`` labelled rows of the training fold.
 
-    A term counts once per class of similar texts, so that the words of one
-    copied text don't pass for evidence. It must be met in toxic rows more often
+    A term counts once per class of similar texts, toxic and clean alike and
+    without a ceiling, so that the words of one copied text don't pass for
+    evidence. It must be met in toxic rows more often
     than chance allows for any of all terms tried, at ``LEVEL``; its chance is a
     lower bound of the share of toxic rows. The chance of a misspelling follows
     the rows that hold words one edit away. Without labelled rows, or with rows
@@ -207,8 +216,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", limi
     """
     sample = labelled_sample(docs, labels, label, limit)
     counts = materialize(
-        sample.select("text", "y").mapInArrow(_count, "term string, t long, c long, classes long")
-        .groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_count(F.bit_or("classes")).cast("long").alias("k")),
+        sample.select("text", "y").mapInArrow(_count, "term string, class long, t long, c long")
+        .groupBy("term", "class").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        .groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count_if(F.col("t") > 0).alias("k"), F.count_if(F.col("c") > 0).alias("m")),
         "toxic-terms",
     )
     total = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).agg(
@@ -218,11 +228,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", limi
         return []
     tried = counts.filter(F.col("t") + F.col("c") >= MIN_ROWS).count()
     rows = (
-        counts.filter((F.col("k") >= MIN_ROWS) & (F.col("k") > F.col("c")))
-        .orderBy((F.col("k") - F.col("c")).desc(), "term").limit(MAX_TERMS).collect()
+        counts.filter((F.col("k") >= MIN_ROWS) & (F.col("k") > F.col("m")))
+        .orderBy((F.col("k") - F.col("m")).desc(), "term").limit(MAX_TERMS).collect()
     )
     limit_log = math.log(LEVEL / max(1, tried))
-    chance = {r["term"]: lower_bound(r["k"], r["c"]) for r in rows if tail(r["k"], r["k"] + r["c"], total) < limit_log}
+    chance = {r["term"]: lower_bound(r["k"], r["m"]) for r in rows if tail(r["k"], r["k"] + r["m"], total) < limit_log}
     terms = [Term(k.rstrip("*"), k.endswith("*"), v, v if len(k) >= FUZZY_LENGTH else 0.0) for k, v in sorted(chance.items()) if v >= MIN_CHANCE]
     return _weigh_misspellings(counts, terms)
 

@@ -290,6 +290,21 @@ def test_lexicon_is_learned_from_varied_texts(spark):
     assert score == {1: 1, 2: 1, 3: 0}
 
 
+def test_lexicon_counts_both_labels_in_one_unit(spark):
+    """A term of many toxic rows stays in the lexicon when some clean rows quote it; copies on either side count once."""
+    rng = np.random.default_rng(2)
+    filler = lambda: " ".join("".join(rng.choice(list("aeioulmnrst"), 6)) for _ in range(8))
+    copied = filler()
+    texts = [filler() + " blorgish" for _ in range(700)] + [filler() + " blorgish" for _ in range(80)] + [filler() for _ in range(1500)]
+    toxic = [1] * 700 + [0] * 1580
+    texts += [filler() + " quuxish" for _ in range(30)] + [copied + " quuxish"] * 90 + [copied + " zzcopyz"] * 90
+    toxic += [1] * 30 + [0] * 90 + [1] * 90
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    y = spark.createDataFrame([(k, 1, t) for k, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    chance = {t.text: t.exact for t in toxicity.learn_lexicon(d, y) if not t.stem}
+    assert 0.8 < chance["blorgish"] < 0.95 and chance["quuxish"] > 0.7 and "zzcopyz" not in chance
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark, sf, tables):
