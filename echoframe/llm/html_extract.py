@@ -23,6 +23,8 @@ INLINE = frozenset(
 )
 #: Elements whose content is no markup; read up to their end tag.
 RAW = frozenset("script style title textarea noscript template xmp iframe noembed noframes svg math canvas object".split())
+#: Those of them that may close themselves, and that hold nothing where they have no end tag.
+EMBEDDED = frozenset("svg math canvas object".split())
 #: Elements and class, id or role words that mark what is not the article.
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button select head audio video".split())
 BOILERPLATE_WORDS = frozenset(
@@ -31,7 +33,19 @@ BOILERPLATE_WORDS = frozenset(
     "related recommended share sharing social subscribe newsletter signup login search popup modal overlay widget pagination pager complementary contentinfo "
     "legal copyright skip".split()
 )
+#: Words for the texts of others; an article element in something named so is one of theirs.
+OTHERS_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus respond reply replies related recommended".split()
+)
+#: Words that are as often the subject of a part of the article: inside of it, and on sections, they bar nothing.
+TOPIC_WORDS = frozenset("legal copyright notice notices notification alert".split())
+#: What stands before or behind a word that tells of the page ("has-sidebar", "comments-open"), and before the header of an article.
+STATES, SWITCHES = frozenset("has with without no not".split()), frozenset("open closed enabled disabled".split())
+OF_ARTICLE = frozenset("entry post article story content section".split())
 CONTENT_TAGS = frozenset(("article", "main"))
+#: How far an element is barred. An article or main lifts LAYOUT; a main lifts NAMED and OTHERS too, and an article under
+#: NAMED counts where the page has no other.
+FREE, LAYOUT, NAMED, OTHERS, FIXED = range(5)
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav "
     "ol p pre section table ul".split()
@@ -59,19 +73,36 @@ class Block:
 
     __slots__ = ("path", "pieces", "linked", "barred")
 
-    def __init__(self, path: tuple, barred: bool) -> None:
+    def __init__(self, path: tuple, barred: int) -> None:
         self.path, self.barred = path, barred
         self.pieces: list[str] = []
         self.linked = 0
 
 
-def _names(attributes: str) -> set[str]:
-    return {w for m in _NAMES.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
+def _name_bar(attributes: str, tag: str, inside: bool) -> int:
+    """How far the class, id and role tokens of an element bar it."""
+    bar = FREE
+    for m in _NAMES.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = _WORDS.findall(token)
+            words = {
+                w for before, w, after in zip(["", *parts], parts, [*parts[1:], ""])
+                if w in BOILERPLATE_WORDS and before not in STATES and after not in SWITCHES
+            }
+            if inside or tag == "section":
+                words -= TOPIC_WORDS
+            if words and (inside or parts[0] in OF_ARTICLE):
+                words -= {"header"}
+            if words & OTHERS_WORDS:
+                bar = OTHERS
+            elif words:
+                bar = max(bar, NAMED if len(parts) == 1 else LAYOUT)
+    return bar
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks in page order. Tolerates unclosed and stray tags and pages cut off anywhere."""
-    stack: list[tuple[str, bool]] = []  # element, whether it bars what is in it
+    stack: list[tuple[str, int]] = []  # element, how far it bars what is in it
     out: list[Block] = []
     links, fresh = 0, True
 
@@ -82,7 +113,7 @@ def blocks(page: str) -> list[Block]:
         if fresh:
             if piece.isspace():
                 return
-            out.append(Block(tuple(t for t, _ in stack), bool(stack) and stack[-1][1]))
+            out.append(Block(tuple(t for t, _ in stack), stack[-1][1] if stack else FREE))
             fresh = False
         out[-1].pieces.append(piece)
         if links:
@@ -119,9 +150,11 @@ def blocks(page: str) -> list[Block]:
             if not fresh:
                 out[-1].pieces.append(" ")
             continue
+        if tag in EMBEDDED and m[3].endswith("/"):
+            continue
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = found.end() if found else end
+            at = found.end() if found else at if tag in EMBEDDED else end
             continue
         if tag in INLINE:
             links += tag == "a" and not links
@@ -135,9 +168,17 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or m[3].endswith("/") and tag not in CLOSES_P:
             continue
         inside = any(t in CONTENT_TAGS for t, _ in stack)
-        bars = bool(stack) and stack[-1][1] or tag in BOILERPLATE_TAGS or tag == "header" and not inside
-        if not bars and m[3] and tag not in CONTENT_TAGS and tag not in ("html", "body"):
-            bars = bool(_names(m[3]) & BOILERPLATE_WORDS) or bool(_HIDDEN.search(m[3]))
+        bars = stack[-1][1] if stack else FREE
+        if tag in BOILERPLATE_TAGS or tag == "header" and not inside:
+            bars = FIXED
+        elif tag in CONTENT_TAGS:
+            if bars == LAYOUT or tag == "main" and bars < FIXED:
+                bars = FREE
+        elif bars < FIXED and m[3] and tag not in ("html", "body"):
+            own = FIXED if _HIDDEN.search(m[3]) else _name_bar(m[3], tag, inside)
+            if own and any(t == "article" for t, _ in stack):
+                own = max(own, OTHERS)
+            bars = max(bars, own)
         stack.append((tag, bars))
     return out
 
@@ -173,8 +214,10 @@ def path_ratios(found: list[tuple[tuple, str, int]]) -> dict[tuple, float]:
 def main_text(page: str | None) -> str:
     """The article's blocks, one per line; empty where there is none."""
     found = []
-    for block in blocks(page or ""):
-        if not block.barred:
+    every = blocks(page or "")
+    free = any(not b.barred and CONTENT_TAGS.intersection(b.path) for b in every)
+    for block in every:
+        if not block.barred or not free and block.barred == NAMED and "article" in block.path:
             text = " ".join("".join(block.pieces).split())
             if text:
                 found.append((block.path, text, block.linked))

@@ -152,6 +152,33 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+BODY = "<p>The first paragraph, with some words.</p><p>The second one, with more words.</p>"
+TEXT = "The first paragraph, with some words.\nThe second one, with more words."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        *((f'<body><div class="{c}"><article>{BODY}</article></div></body>', TEXT)
+          for c in ("layout has-sidebar", "page with-comments", "layout--with-comments", "sidebar-right", "post comments-open", "header-fixed", "widget")),
+        *((f'<body><div class="{c}"><main>{BODY}</main></div></body>', TEXT) for c in ("overlay", "page with-comments", "layout related")),
+        (f'<article><div class="entry-header"><h1>The title</h1></div>{BODY}</article>', "The title\n" + TEXT),
+        (f'<article>{BODY}<section class="legal"><p>The law, as it stands.</p></section></article>', TEXT + "\nThe law, as it stands."),
+        *((f"<article><p>The first paragraph, with some words.</p>{e}<p>The second one, with more words.</p></article>", TEXT)
+          for e in ('<svg width="1" height="1"/>', "<canvas/>", "<math />", '<object data="a"/>', "<svg><text>no</text></svg>", "<canvas>")),
+        ("<article><p>The first paragraph, with some words.</p><svg/><p>The second one, with more words.</p><svg><text>no</text></svg></article>", TEXT),
+        # what is not the article stays out
+        (f'<article>{BODY}</article><div class="comments-area"><article class="comment"><p>I say, and say, and say.</p></article></div>', TEXT),
+        (f'<article>{BODY}</article><div class="sidebar"><article><p>A teaser, and more.</p></article></div><div class="site-header">Site, the</div>', TEXT),
+        (f'<article>{BODY}<div class="share-bar">Share this, and that.</div></article>', TEXT),
+        (f'<div class="widget"><article>{BODY}<div class="share">Share this, and that.</div></article></div>', TEXT),
+        (f'<div class="has-sidebar" style="display:none"><main><p>Not seen, not read.</p></main></div><article>{BODY}</article>', TEXT),
+    ],
+)
+def test_names_and_self_closed_elements_cut_no_article(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_pages_keep_article_and_nothing_else(tables):
     pages = tables("pages")
     got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
