@@ -66,7 +66,8 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Classifiers, connected components and BPE merges are beyond SQL; tests hold the stages against brute force.
+#: Classifiers, connected components and BPE merges are beyond SQL; tests hold the stages after
+#: quality against plain versions; quality has none.
 ORACLE_SQL = None
 
 

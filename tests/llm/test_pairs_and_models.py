@@ -326,6 +326,37 @@ def test_pipeline_stages(spark, sf, tables):
     assert rows(corpus_pipeline.run(spark, sf)) == rows(last)
 
 
+def test_pipeline_stages_against_plain_versions(spark, sf, tables, monkeypatch):
+    """Every stage after quality, on documents and template variants, keeps the ids that plain Python keeps."""
+    from test_text_operators import Reference, bpe_row, contaminated, queries
+    from echoframe.session import materialize
+    monkeypatch.setattr(ngram_join, "GROUP_CLASSES", 8)
+    rng = np.random.default_rng(0)
+    docs = [(r["doc_id"], r["text"]) for r in tables("documents").collect()]
+    for k in range(60):
+        w = [f"t{j}" for j in range(60)] + [f"p{p}x{j}" for p in rng.choice(20, 8, replace=False) for j in range(10)]
+        docs.append((10**6 + 2 * k, " ".join(w)))
+        for at in rng.choice(70, 2, replace=False) + 65:
+            w[at] = f"m{k}x{at}"
+        docs.append((10**6 + 2 * k + 1, " ".join(w)))
+    items = [(r["item_id"], r["text"]) for r in tables("benchmark").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    scorer = toxicity.Scorer(toxicity.learn_lexicon(tables("documents"), tables("labels")))
+    plain = {
+        "toxicity": lambda docs: {i for i, t in docs if scorer(t or "")[0] < 0.5},
+        "ngram_join": lambda docs: {i for i, _, c in joined(docs) if i == c},
+        "decontamination": lambda docs: {i for i, _, n, _ in contaminated(docs, items) if not n},
+    }
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for name, keep in plain.items():
+        frame = materialize(stages[name](spark, frame, sf), f"plain-{name}")
+        kept = keep(docs)
+        docs = [d for d in docs if d[0] in kept]
+        assert rows(frame) == sorted(docs, key=key), name
+    library = Reference.from_file(queries.tokenizer_path())
+    assert rows(stages["bpe"](spark, frame, sf)) == sorted((bpe_row(library, i, t) for i, t in docs), key=key)
+
+
 def test_pipeline_stages_on_edges(spark, sf, edge_docs, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, sf).collect() == []
