@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and SQL for those that SQL can express."""
+"""Registered queries of the thirteen operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -12,11 +12,14 @@ from echoframe.llm import (
     bpe,
     decontamination,
     embedding_dedup,
+    hard_negatives,
     html_extract,
     license_scan,
+    merkle,
     ngram_join,
     quality,
     sharding,
+    stream_dedup,
     toxicity,
     url_filter,
 )
@@ -95,6 +98,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup.deduplicate(configure(spark), f"{sf_dir}/documents.parquet", new_table_path(spark, "dedup-state"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaf = lambda text: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    claim = F.when(tampered, leaf(lower)).otherwise(leaf(F.col("text")))
+    return merkle.manifest_proofs(table(spark, sf_dir, "documents"), claim=claim)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
 def url_filter_sql(rules: tuple = RULES, default: str = "allow") -> str:
     """DuckDB SQL for the rules, longest first."""
     cut = "regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1)"
@@ -114,8 +135,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_bpe, op3_toxicity, op4_embedding_dedup, op5_html_extract, op6_ngram_join, op7_quality, op8_sharding, op9_url_filter,
-        op10_decontamination,
+        op10_decontamination, op11_stream_dedup, op12_merkle, op13_hard_negatives,
     )
 }
 
-ORACLES = {"op1_license_scan": license_scan.scan_sql(), "op9_url_filter": url_filter_sql()}
+ORACLES = {
+    "op1_license_scan": license_scan.scan_sql(),
+    "op9_url_filter": url_filter_sql(),
+    "op11_stream_dedup": stream_dedup.DEDUP_SQL,
+    "op12_merkle": merkle.proofs_sql(),
+    "op13_hard_negatives": hard_negatives.MINE_SQL,
+}
