@@ -17,26 +17,19 @@ Everything here is DataFrame and SQL functions; no Python runs in a task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.llm.ngram_join import marked
 from echoframe.session import materialize
+from echoframe.streaming.state import STATE_CONF, settings
 
 #: What equality ignores.
 BLANKS = r"[\x20\x09-\x0D]"
 FILES_PER_BATCH = 1000
 
-#: The disk-backed store; its memory is bounded per executor, whatever the number of keys or partitions.
-STATE_CONF = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-}
-
 Digest = Callable[[Column], Column]
 
 
@@ -44,22 +37,6 @@ def sha256(normal: Column) -> Column:
     return F.sha2(normal, 256)
 
 
-@contextmanager
-def _conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
-    """Settings that a stream started inside takes along; the session gets its own back."""
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def normal_text(text: str = "text") -> Column:
     """The text without blanks; null counts as empty."""
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), BLANKS, "")
@@ -95,8 +72,8 @@ def ingest(
     pattern = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
     groups = fingerprints(docs, digest).groupBy("digest").agg(F.max("place").alias("stays"), F.count(F.lit(1)).alias("rows"))
-    settings = STATE_CONF | ({"spark.sql.shuffle.partitions": str(state_partitions)} if state_partitions else {})
-    with _conf(spark, settings):
+    partitions = {"spark.sql.shuffle.partitions": str(state_partitions)} if state_partitions else {}
+    with settings(spark, STATE_CONF | partitions):
         stream = (
             groups.writeStream.outputMode("update").format("noop")  # the state itself is the result
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
