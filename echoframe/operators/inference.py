@@ -6,7 +6,8 @@ defaults need no network and no accelerator.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,11 @@ class Provider:
         """Completions with a status; providers that can refuse override this."""
         return [(c, OK if c is not None else EXHAUSTED) for c in self.complete(prompts)]
 
+    def stream(self, chunks: Iterable[Sequence[str]]) -> Iterator[list[tuple[str | None, str]]]:
+        """Outcomes of every chunk, in order. Providers that work ahead override this."""
+        for prompts in chunks:
+            yield self.outcomes(prompts) if prompts else []
+
 
 class OfflineProvider(Provider):
     """Deterministic labels from the prompt itself: how the text opens, ends and how long it is.
@@ -82,42 +88,53 @@ def resolve_provider(name: str, **options) -> Provider:
     return _PROVIDERS[name](**options)
 
 
+def provider_factory(provider: Provider | str) -> Callable[[], Provider]:
+    """What a task calls to get its provider; an unknown name fails here, not in a task."""
+    if isinstance(provider, str):
+        resolve_provider(provider)
+        return _PROVIDERS[provider]
+    return lambda: provider
+
+
 def complete(
     prompts: DataFrame, provider: Provider | str, prompt: str = "prompt", chunk_rows: int = C.CHUNK_ROWS
 ) -> DataFrame:
     """Replace ``prompt`` by ``raw`` and ``status``.
 
-    The provider sees at most ``chunk_rows`` prompts per call. A NULL prompt is
-    not sent; its row passes through with a NULL status.
+    The provider sees at most ``chunk_rows`` prompts at once, and as many chunks
+    ahead as it asks for. A NULL prompt is not sent; its row passes through with a NULL status.
     """
-    if isinstance(provider, str):
-        resolve_provider(provider)  # an unknown name fails here, not in a task
-        make = _PROVIDERS[provider]
-    else:
-        make = lambda: provider
+    make = provider_factory(provider)
     kept = [f for f in prompts.schema.fields if f.name != prompt]
     schema = StructType([*kept, StructField("raw", StringType()), StructField("status", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active = make()  # once per task, not per batch
-        for batch in batches:
-            for start in range(0, batch.num_rows, chunk_rows):
-                part = batch.slice(start, chunk_rows)
-                texts = part.column(prompt).to_pylist()
-                asked = [t for t in texts if t is not None]
-                answers = active.outcomes(asked) if asked else []
-                if len(answers) != len(asked):
-                    raise DataCheckError(f"provider returned {len(answers)} completions for {len(asked)} prompts")
-                rest = iter(answers)
-                rows = [next(rest) if t is not None else (None, None) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[part.column(f.name) for f in kept],
-                        pa.array([r for r, _ in rows], pa.string()),
-                        pa.array([s for _, s in rows], pa.string()),
-                    ],
-                    names=schema.names,
-                )
+        waiting: deque[tuple[pa.RecordBatch, list[str | None]]] = deque()
+
+        def chunks() -> Iterator[list[str]]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, chunk_rows):
+                    part = batch.slice(start, chunk_rows)
+                    texts = part.column(prompt).to_pylist()
+                    waiting.append((part, texts))
+                    yield [t for t in texts if t is not None]
+
+        for answers in active.stream(chunks()):
+            part, texts = waiting.popleft()
+            asked = sum(t is not None for t in texts)
+            if len(answers) != asked:
+                raise DataCheckError(f"provider returned {len(answers)} completions for {asked} prompts")
+            rest = iter(answers)
+            rows = [next(rest) if t is not None else (None, None) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[part.column(f.name) for f in kept],
+                    pa.array([r for r, _ in rows], pa.string()),
+                    pa.array([s for _, s in rows], pa.string()),
+                ],
+                names=schema.names,
+            )
 
     return prompts.mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ from echoframe.functions import text as T
 from echoframe.operators.inference import Provider, complete
 from echoframe.operators.positions import DataCheckError
 from echoframe.session import materialize
-from echoframe.sources.tables import read_table, table_exists
+from echoframe.sources.commits import commit, read_committed
 
 KEYS = ("doc_id", "n_raw_tokens")
 TEXT = "detokenized_text_truncated"
@@ -127,37 +127,45 @@ def label_into(
     require_kept: bool = True,
     **options,
 ) -> dict[str, int]:
-    """Resumable labelling into ``<path>/explained`` and ``<path>/audit``.
+    """Resumable labelling into ``explained`` and ``audit`` under ``path``.
 
     Progress is a key, not a row count: labelled rows and recorded drops are
-    skipped, new rows are not. Work is done in ``slices`` by text hash, so a
-    crash loses at most one slice and copies of a text stay together. A job that
-    drops everything and finds no earlier label raises, its audit records kept,
-    unless ``require_kept`` is off.
+    skipped, new rows are not. Work is done in ``slices`` by text hash; the
+    labels and the audit records of a slice are one committed batch
+    (``sources.commits``), so a crash loses at most one slice, whole, and copies
+    of a text stay together. ``labelled`` and ``audited`` read what is committed.
+    A job that drops everything and finds no earlier label raises, its audit
+    records kept, unless ``require_kept`` is off.
     """
-    explained_path, audit_path = f"{path}/explained", f"{path}/audit"
     min_features = options.pop("min_features", C.MIN_FEATURES)
     written = {"explained": 0, "dropped": 0}
     for part in range(slices):
-        done = []
-        if table_exists(spark, explained_path):
-            done.append(read_table(spark, explained_path).select(*KEYS))
-        if table_exists(spark, audit_path) and not retry_dropped:
-            done.append(read_table(spark, audit_path).filter("dropped").select(*KEYS))
-        todo = skip_finished(positions, *done)
+        finished = [labelled(spark, path)]
+        if not retry_dropped:
+            records = audited(spark, path)
+            finished.append(None if records is None else records.filter("dropped"))
+        todo = skip_finished(positions, *(t.select(*KEYS) for t in finished if t is not None))
         if slices > 1:
             todo = todo.filter(F.pmod(F.xxhash64(TEXT), F.lit(slices)) == part)
         todo = materialize(todo, "label-todo")
         if todo.limit(1).count() == 0:
             continue
         attempts = attempt_labels(todo, provider, cache, **options)
-        explained = materialize(attach_labels(todo, attempts, min_features), "label-explained")
         records = materialize(audit(todo, attempts, min_features), "label-audit")
-        # Labels first: a crash between the writes costs this slice's audit records, never a label.
-        explained.write.mode("append").parquet(explained_path)
-        records.write.mode("append").parquet(audit_path)
-        written["explained"] += explained.count()
-        written["dropped"] += records.filter("dropped").count()
+        dropped = records.filter("dropped").count()
+        record = commit(spark, path, {"explained": attach_labels(todo, attempts, min_features), "audit": records}, {"dropped": dropped})
+        written["explained"] += record["rows"]["explained"]
+        written["dropped"] += dropped
     if require_kept and written["dropped"] and not written["explained"]:
-        check_some_kept(read_table(spark, explained_path))
+        check_some_kept(labelled(spark, path))
     return written
+
+
+def labelled(spark: SparkSession, path: str) -> DataFrame | None:
+    """Committed explained rows of a labelling job, or None."""
+    return read_committed(spark, path, "explained")
+
+
+def audited(spark: SparkSession, path: str) -> DataFrame | None:
+    """Committed audit records of a labelling job, or None."""
+    return read_committed(spark, path, "audit")

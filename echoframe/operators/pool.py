@@ -1,7 +1,9 @@
 """Permanent pools of documents that grow on demand, and outputs drawn from them.
 
-Layout: ``<pool>/positions/bucket=<b>/``, ``<pool>/labels/<b>/explained`` and
-``<pool>/pool_meta.json``.
+Layout: ``<pool>/positions/batch=<n>/bucket=<b>/`` with a commit record a batch,
+``<pool>/labels/<b>/`` with the batches of a labelling job, and
+``<pool>/pool_meta.json``. The record holds the documents per bucket, the corpus
+cursor and the writers so far: they change with the rows, and counting reads no rows.
 """
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from echoframe.functions import constants as C
 from echoframe.operators.inference import Provider
-from echoframe.operators.labelling import label_into
+from echoframe.operators.labelling import label_into, labelled
 from echoframe.operators.positions import extract_positions
 from echoframe.operators.sampling import assign_by_deficit, deficits, sample_documents
 from echoframe.session import materialize
+from echoframe.sources.commits import commit, last_commit, read_committed
 from echoframe.sources.sidecar import read_json, write_json
-from echoframe.sources.tables import POSITIONS, table_exists
+from echoframe.sources.tables import POSITIONS
 
 BUCKETS = ("av", "ar", "rl")
 LABELLED = ("av", "ar")
@@ -34,38 +37,39 @@ def meta_path(pool: str) -> str:
 
 
 def pool_positions(spark: SparkSession, pool: str) -> DataFrame | None:
-    path = f"{pool}/positions"
-    if not table_exists(spark, path):
-        return None
-    return spark.read.schema(POOL).parquet(path)
+    return read_committed(spark, pool, "positions", POOL)
 
 
 def pool_counts(spark: SparkSession, pool: str) -> dict[str, int]:
     """Documents per bucket; zero for a bucket that does not exist."""
-    have = dict.fromkeys(BUCKETS, 0)
-    rows = pool_positions(spark, pool)
-    if rows is not None:
-        counted = rows.select("bucket", "doc_id").groupBy("bucket").agg(F.countDistinct("doc_id").alias("n"))
-        have.update({r["bucket"]: r["n"] for r in counted.collect()})
-    return have
+    return dict.fromkeys(BUCKETS, 0) | last_commit(spark, pool)["facts"].get("documents", {})
 
 
-def add_to_pool(spark: SparkSession, pool: str, positions: DataFrame, needs: dict[str, int], seed: int = C.SEED) -> int:
-    """Assign new documents to the buckets that lack them and append. Returns the rows added.
+def add_to_pool(
+    spark: SparkSession, pool: str, positions: DataFrame, needs: dict[str, int], seed: int = C.SEED, facts: dict | None = None, known_new: bool = False
+) -> int:
+    """Assign new documents to the buckets that lack them and commit them with ``facts``. Returns the rows added.
 
     A document already in the pool is left where it is, so a repeated call after
-    a crash adds nothing twice.
+    a crash adds nothing twice. Where the caller has stored the positions and
+    knows that all are new the pool is not read.
     """
-    known = pool_positions(spark, pool)
-    fresh = positions if known is None else positions.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
-    lacking = deficits(needs, pool_counts(spark, pool))
+    have = pool_counts(spark, pool)
+    lacking = deficits(needs, have)
     if not sum(lacking.values()):
+        if facts:
+            commit(spark, pool, {}, facts)
         return 0
-    fresh = materialize(fresh.select(*POSITIONS.names), "pool-batch")
-    assigned = assign_by_deficit(fresh, lacking, seed).filter(F.col("bucket").isNotNull())
-    rows = assigned.count()
-    assigned.write.mode("append").partitionBy("bucket").parquet(f"{pool}/positions")
-    return rows
+    fresh = positions
+    if not known_new:
+        known = pool_positions(spark, pool)
+        fresh = positions if known is None else positions.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
+        fresh = materialize(fresh.select(*POSITIONS.names), "pool-batch")
+    assigned = materialize(assign_by_deficit(fresh, lacking, seed).filter(F.col("bucket").isNotNull()), "pool-assigned")
+    added = {r["bucket"]: r["n"] for r in assigned.groupBy("bucket").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    documents = {b: have[b] + added.get(b, 0) for b in have}
+    record = commit(spark, pool, {"positions": assigned}, {**(facts or {}), "documents": documents}, {"positions": ["bucket"]})
+    return record["rows"]["positions"]
 
 
 def grow_pool(
@@ -81,16 +85,17 @@ def grow_pool(
 
     ``corpus(start, length)`` reads a window. Exactly as many documents as are
     lacking are read; documents too short to sample leave a rest for the next
-    run. The cursor moves after the rows are in place.
+    run. The cursor is committed with the rows and then noted in the meta file.
     """
     lacking = deficits(needs, pool_counts(spark, pool))
     total = sum(lacking.values())
     if total:
-        meta = read_json(spark, meta_path(pool))
-        begin = meta.get(CURSOR, start)
+        facts = last_commit(spark, pool)["facts"]
+        begin = facts.get(CURSOR, start)
         batch = extract_positions(corpus(begin, total), seed=seed, **extraction)
-        add_to_pool(spark, pool, batch, needs, seed)
-        write_json(spark, meta_path(pool), {**meta, CURSOR: begin + total})
+        writers = sorted({*facts.get("writers", []), "grow_pool"})
+        add_to_pool(spark, pool, batch, needs, seed, {CURSOR: begin + total, "writers": writers})
+        write_json(spark, meta_path(pool), {**read_json(spark, meta_path(pool)), CURSOR: begin + total})
     return pool_counts(spark, pool)
 
 
@@ -107,10 +112,8 @@ def label_pool(spark: SparkSession, pool: str, provider: Provider | str = "offli
 
 def model_output(spark: SparkSession, pool: str, bucket: str, need: int, seed: int = C.SEED) -> DataFrame:
     """Rows of ``need`` documents of a bucket: explained rows when there are any, else positions."""
-    explained = f"{pool}/labels/{bucket}/explained"
-    if table_exists(spark, explained):
-        rows = spark.read.parquet(explained)
-    else:
+    rows = labelled(spark, f"{pool}/labels/{bucket}")
+    if rows is None:
         everything = pool_positions(spark, pool)
         if everything is None:
             raise FileNotFoundError(f"no positions in pool {pool}")

@@ -6,6 +6,8 @@ expression, by the same closed-form rule. They read whole tables.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ from echoframe.operators.positions import extract_positions
 from echoframe.plans.catalog import table
 from echoframe.sources.corpus import read_corpus, spread
 
+def vocabulary_path() -> str:
+    """Ranked pieces for the lattice tokenizer; ``PIECE_VOCABULARY`` names another file."""
+    named = os.environ.get("PIECE_VOCABULARY")
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 # ---- corpus and positions -----------------------------------------------------
 
 

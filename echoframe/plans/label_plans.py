@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from echoframe.functions import constants as C
@@ -12,9 +11,11 @@ from echoframe.functions import text as T
 from echoframe.operators import inference as I
 from echoframe.operators import joins as J
 from echoframe.operators import labelling as L
+from echoframe.operators import lattice as LT
 from echoframe.operators import training_tables as TT
 from echoframe.operators import vocabulary as VOC
 from echoframe.operators.aggregates import extraction_rate
+from echoframe.operators.calls import Busy, CallProvider, Declined, Patience
 from echoframe.operators.positions import extract_positions, with_tokens
 from echoframe.operators.sampling import SPLITS, split_documents, split_rule
 from echoframe.plans import inputs
@@ -24,6 +25,7 @@ from echoframe.session import materialize, new_table_path
 from echoframe.sources import label_cache as LC
 from echoframe.sources import sidecar as SC
 from echoframe.sources import tables as TB
+from echoframe.sources.corpus import spread
 
 # ---- SQL building blocks -----------------------------------------------------------
 
@@ -340,18 +342,62 @@ def u1(spark, sf):
     return I.complete(texts, "offline").select("text_sha256", "raw", "status")
 
 
-@query("u2_plugin_tokenizer", with_ctes(inputs.SQL_TOKENS, inputs.sql_positions(2), select="""
+SQL_WORDS_FIRST = r"""
+tokens AS (
+  SELECT 'documents:train:' || doc_id AS doc_id, (regexp_extract_all(text, '[^ \n\t\r]+[ \n\t\r]*|[ \n\t\r]+'))[1:2048] AS toks FROM documents
+)"""
+
+
+@query("u2_plugin_tokenizer", with_ctes(SQL_WORDS_FIRST, inputs.sql_positions(2), select="""
     SELECT doc_id, n_raw_tokens, sha256(detokenized_text_truncated) AS text_sha256 FROM positions"""))
 def u2(spark, sf):
-    """Position extraction with a tokenizer given as an Arrow function."""
-    pattern = re.compile(C.TOKEN_PATTERN)
+    """Position extraction with another tokenizer, given as a column expression: blanks end a token."""
+    pattern = r"[^ \n\t\r]+[ \n\t\r]*|[ \n\t\r]+"
+    rows = extract_positions(
+        inputs.corpus(spark, sf), positions_per_doc=2, tokenizer=lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    )
+    return rows.select("doc_id", "n_raw_tokens", F.sha2("detokenized_text_truncated", 256).alias("text_sha256"))
 
-    @F.arrow_udf("array<string>")
-    def split(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else pattern.findall(t) for t in text.to_pylist()], pa.list_(pa.string()))
 
-    rows = extract_positions(inputs.corpus(spark, sf), positions_per_doc=2, tokenizer=split)
-    return rows.select("doc_id", "n_raw_tokens", F.sha2("detokenized_text_truncated", 256).alias("text_sha256"))
+def sql_lattice(path: str) -> tuple[str, ...]:
+    """Least sums over the edges of every distinct part, ends in order; the number of pieces is kept below the costs."""
+    return (
+        f"""
+vocab AS (
+  SELECT piece, round({LT.COST_UNIT} * ln(rank + 2))::BIGINT AS cost
+  FROM (SELECT TRY(decode(from_base64(piece))) AS piece, rank
+        FROM read_csv('{path}', delim = ' ', header = false, quote = '', escape = '', columns = {{'piece': 'VARCHAR', 'rank': 'BIGINT'}}))
+  WHERE piece IS NOT NULL AND piece <> ''
+)""",
+        r"""
+parts AS (SELECT doc_id, unnest(regexp_extract_all(text, '[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+\z')) AS part FROM documents)""",
+        f"""
+words AS (SELECT DISTINCT part, length(part) AS n FROM parts),
+starts AS (SELECT part, n, unnest(range(n)) AS s FROM words),
+spans AS (SELECT part, n, s, unnest(range(1, least(n - s, (SELECT max(length(piece)) FROM vocab)) + 1)) AS l FROM starts),
+edges AS (
+  SELECT part, s, s + l AS e, cost FROM spans JOIN vocab ON piece = substr(part, s + 1, l)
+  UNION ALL SELECT part, s, s + 1, (SELECT max(cost) FROM vocab) + {LT.COST_UNIT} FROM starts
+),
+solved AS (
+  SELECT part, list_reduce(
+    list_prepend(list_prepend(0::BIGINT, list_transform(range(n), lambda i: 1::BIGINT << 60)), list([s, e, cost * {LT.PIECE_UNIT} + 1] ORDER BY e, s)),
+    lambda best, x: list_transform(best, lambda v, i: CASE WHEN i = x[2] + 1 THEN least(v, best[x[1] + 1] + x[3]) ELSE v END)
+  )[n + 1] % {LT.PIECE_UNIT} AS pieces
+  FROM edges JOIN words USING (part) GROUP BY part, n
+)""",
+    )
+
+
+@query("u2_lattice_tokenizer", with_ctes(*sql_lattice(inputs.vocabulary_path()), select="""
+    SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_tokens, sha256(d.text) AS joined_sha256
+    FROM documents d LEFT JOIN (SELECT doc_id, sum(pieces) AS n FROM parts JOIN solved USING (part) GROUP BY doc_id) t USING (doc_id) WHERE d.text IS NOT NULL"""))
+def u2_lattice(spark, sf):
+    """Every document by the pieces of a vocabulary; joined they are the text."""
+    tokenizer = LT.lattice_tokenizer(spark, LT.read_ranked_pieces(spark, inputs.vocabulary_path()))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text").filter("text is not null"), "doc_id")
+    cut = with_tokens(docs, max_length=None, tokenizer=tokenizer)
+    return cut.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("tokens", ""), 256).alias("joined_sha256"))
 
 
 @query("l2_label", with_ctes(*SQL_EXPLAINED, select="""
@@ -450,6 +496,34 @@ def a20(spark, sf):
     return L.outcome_counts(raw_attempts(spark, sf)[1])
 
 
+class Rehearsal(CallProvider):
+    """A service with outages that the prompt's own hash decides: no answer for as many tries as its first digit, none ever
+    where the second is zero, and no patience for more than eight tries."""
+
+    in_flight = 8
+    patience = Patience(tries=8, first_wait=0.0)
+
+    def __init__(self) -> None:
+        self.tried: dict[str, int] = {}
+
+    def call(self, prompt: str) -> str:
+        digits = hashlib.sha256(prompt.encode()).hexdigest()
+        if digits[1] == "0":
+            raise Declined
+        tried = self.tried[digits] = self.tried.get(digits, 0) + 1
+        if tried <= int(digits[0], 16):
+            raise Busy(wait=0.0 if digits[2] < "8" else None)
+        return f"<analysis>\n- {digits}\n\n- tried {tried} times\n</analysis>"
+
+
+@query("a20_call_outcomes", with_ctes(*SQL_POSITIONS, select="""
+    SELECT CASE WHEN h[2] = '0' THEN 'refused' WHEN ('0x' || h[1])::INTEGER >= 8 THEN 'retries exhausted' ELSE 'ok' END AS status, count(*) AS n
+    FROM (SELECT DISTINCT sha256(detokenized_text_truncated) AS h FROM positions) GROUP BY 1"""))
+def a20_calls(spark, sf):
+    """Every distinct text through a window of calls that are tried again."""
+    return L.outcome_counts(L.attempt_labels(inputs.positions(spark, sf), Rehearsal(), template="{text}"))
+
+
 SQL_CACHES = """
 later AS (SELECT sha256(text) AS text_sha256, max('v2 ' || doc_id) AS explanation FROM documents WHERE doc_id % 2 = 0 GROUP BY 1),
 earlier AS (SELECT sha256(text) AS text_sha256, max('v1 ' || lang) AS explanation FROM documents GROUP BY 1),
@@ -500,7 +574,7 @@ def s9(spark, sf):
     path = new_table_path(spark, "labels")
     L.label_into(spark, rows.filter("n_raw_tokens % 3 = 0"), path)
     L.label_into(spark, rows, path, slices=2)
-    return spark.read.parquet(f"{path}/explained").select("doc_id", "n_raw_tokens", "api_explanation")
+    return L.labelled(spark, path).select("doc_id", "n_raw_tokens", "api_explanation")
 
 
 # ---- vectors at positions and training tables -------------------------------------------------

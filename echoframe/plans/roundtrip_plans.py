@@ -9,6 +9,7 @@ from echoframe.operators import evaluation as E
 from echoframe.operators import inference as I
 from echoframe.operators import joins as J
 from echoframe.operators import labelling as L
+from echoframe.operators import nearest as N
 from echoframe.operators import pool as PL
 from echoframe.operators.sampling import bucket_needs
 from echoframe.plans import inputs
@@ -17,8 +18,8 @@ from echoframe.plans.label_plans import SQL_ENCODED, SQL_EXPLAINED, bag_text, ex
 from echoframe.plans.sampling_plans import SQL_CORPUS, SQL_POSITIONS, sql_ranked
 from echoframe.plans.vector_plans import r6
 from echoframe.session import materialize, new_table_path
+from echoframe.sources.commits import last_commit
 from echoframe.sources.corpus import read_corpus
-from echoframe.sources.sidecar import read_json
 from echoframe.streaming import jobs
 
 ANCHORS = 32
@@ -84,6 +85,29 @@ def u4(spark, sf):
     return I.verbalise(vectors, book, samples=3).select("doc_id", "n_raw_tokens", "sample_id", "response")
 
 
+@query("u4_nearest_label", with_ctes(*SQL_ONE[:4], """
+    vec_norm AS (SELECT doc_id, n_raw_tokens, sqrt(sum(c * c)) AS norm FROM counts GROUP BY ALL),
+    pairs AS (
+      SELECT q.doc_id, q.n_raw_tokens, l.doc_id AS near_doc_id, l.n_raw_tokens AS near_n_raw_tokens, sum(q.c * l.c) AS dot
+      FROM counts q JOIN (SELECT * FROM counts SEMI JOIN explained USING (doc_id, n_raw_tokens)) l USING (b) GROUP BY ALL
+    ),
+    scored AS (
+      SELECT p.*, round(dot / a.norm / b.norm, 9) AS similarity FROM pairs p JOIN vec_norm a USING (doc_id, n_raw_tokens)
+      JOIN vec_norm b ON b.doc_id = near_doc_id AND b.n_raw_tokens = near_n_raw_tokens
+    ),
+    numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY doc_id, n_raw_tokens ORDER BY similarity DESC, near_doc_id, near_n_raw_tokens) - 1 AS sample_id FROM scored
+    )""", select="""
+    SELECT doc_id, n_raw_tokens, sample_id::INTEGER AS sample_id, near_doc_id, near_n_raw_tokens, similarity FROM numbered WHERE sample_id < 3"""))
+def u4_nearest(spark, sf):
+    """The three nearest of all labelled vectors, exactly."""
+    rows = materialize(inputs.positions(spark, sf, 1), "positions")
+    vectors = materialize(I.encode(rows, D), "vectors")
+    labelled = materialize(J.join_vectors(L.label(rows), vectors, check=False), "labelled")
+    near = N.nearest_labels(vectors, labelled, ["doc_id", "n_raw_tokens"], samples=3)
+    return near.select("doc_id", "n_raw_tokens", "sample_id", "near_doc_id", "near_n_raw_tokens", "similarity")
+
+
 @query("u5_reconstruct", r"""
     SELECT conv_id, turn, string_agg(b || ':' || c, ' ' ORDER BY b) AS bag FROM (
       SELECT conv_id, turn, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS b, count(*) AS c
@@ -238,7 +262,7 @@ def grown_pool(spark, sf):
 def l6(spark, sf):
     """Two runs with growing needs; a document never changes its bucket."""
     pool = grown_pool(spark, sf)
-    cursor = read_json(spark, PL.meta_path(pool))[PL.CURSOR]
+    cursor = last_commit(spark, pool)["facts"][PL.CURSOR]
     rows = PL.pool_positions(spark, pool).select("doc_id", "bucket").distinct()
     return rows.withColumn("next_start", F.lit(cursor).cast("bigint"))
 
@@ -287,4 +311,4 @@ def st2(spark, sf):
     for part in (rows.filter("n_raw_tokens % 2 = 0"), rows):
         part.write.mode("append").parquet(source)
         jobs.label_stream(spark, source, target, checkpoint).awaitTermination()
-    return spark.read.parquet(f"{target}/explained").select("doc_id", "n_raw_tokens", "api_explanation")
+    return L.labelled(spark, target).select("doc_id", "n_raw_tokens", "api_explanation")

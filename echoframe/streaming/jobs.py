@@ -1,7 +1,9 @@
 """Incremental jobs: corpus files into a pool, and positions into labels.
 
-Each micro-batch calls the batch operator, which skips keys that are already in
-place; a replayed batch therefore changes nothing.
+What a stream has seen is keyed state on disk, so a micro-batch reads nothing
+of what earlier ones wrote. Every micro-batch is one committed batch of its
+target, with the number of the micro-batch in the record; one that is played
+again after a crash rebuilds its state and commits nothing twice.
 """
 
 from __future__ import annotations
@@ -11,12 +13,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 from pyspark.sql.streaming import StreamingQuery
 
-from echoframe.operators.inference import Provider
-from echoframe.operators.labelling import label_into
+from echoframe.functions import constants as C
+from echoframe.functions import text as T
+from echoframe.operators.inference import Provider, provider_factory
+from echoframe.operators.labelling import CACHED, TEXT
 from echoframe.operators.pool import add_to_pool
 from echoframe.operators.positions import extract_positions
+from echoframe.session import materialize
+from echoframe.sources.commits import commit, last_commit
 from echoframe.sources.corpus import provenance_id
 from echoframe.sources.tables import POSITIONS
+from echoframe.streaming.labeller import answered
+from echoframe.streaming.state import STATE_CONF, settings
+
+STREAMS = "streams"
+
+
+def _start(spark: SparkSession, rows: DataFrame, step, checkpoint: str, mode: str) -> StreamingQuery:  # noqa: ANN001
+    with settings(spark, STATE_CONF):
+        return (
+            rows.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+
+
+def _played(facts: dict, checkpoint: str, number: int) -> bool:
+    return facts.get(STREAMS, {}).get(checkpoint, -1) >= number
+
+
+def _noted(facts: dict, checkpoint: str, number: int) -> dict:
+    return {STREAMS: {**facts.get(STREAMS, {}), checkpoint: number}}
 
 
 def ingest_corpus(
@@ -33,21 +58,26 @@ def ingest_corpus(
     files_per_batch: int = 1000,
     **extraction,
 ) -> StreamingQuery:
-    """New corpus files go to the buckets that still need documents; the stream checkpoint is the cursor."""
+    """New corpus files go to the buckets that still need documents; the stream checkpoint is the cursor.
+
+    Documents are told apart by state, so the pool is read only where somebody
+    else wrote to it, too.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    docs = reader.parquet(source).select(provenance_id(corpus, split, F.col(index)).alias("doc_id"), "text")
+    docs = reader.parquet(source).select(provenance_id(corpus, split, F.col(index)).alias("doc_id"), "text").dropDuplicates(["doc_id"])
 
-    def step(batch: DataFrame, _: int) -> None:
-        add_to_pool(batch.sparkSession, pool, extract_positions(batch, **extraction), needs)
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        rows = materialize(extract_positions(batch, **extraction).select(*POSITIONS.names), "pool-batch")  # this also runs the state
+        facts = last_commit(session, pool)["facts"]
+        if _played(facts, checkpoint, number):
+            return
+        writers = sorted({*facts.get("writers", []), checkpoint})
+        add_to_pool(session, pool, rows, needs, facts={"writers": writers, **_noted(facts, checkpoint, number)}, known_new=writers == [checkpoint])
 
-    return (
-        docs.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(spark, docs, step, checkpoint, "append")
 
 
 def label_stream(
@@ -57,17 +87,39 @@ def label_stream(
     checkpoint: str,
     provider: Provider | str = "offline",
     files_per_batch: int = 1000,
-    **options,
+    cache: DataFrame | None = None,
+    template: str = C.INSTRUCTION_TEMPLATE,
+    pattern: str = C.ANALYSIS_PATTERN,
+    min_features: int = C.MIN_FEATURES,
+    chunk_rows: int = C.CHUNK_ROWS,
 ) -> StreamingQuery:
-    """Positions arriving as parquet files are labelled once each."""
+    """Positions arriving as parquet files are answered once each, and each text is asked once.
+
+    The answers are state, so a later copy of a text costs no call and a
+    repeated position no row, and the target is never read. The target is that
+    of ``label_into``: read it by ``labelled`` and ``audited``. After a crash
+    between the commit and the checkpoint the texts of that one batch are asked again.
+    """
     rows = spark.readStream.schema(POSITIONS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    folded = answered(rows, provider_factory(provider), cache, template, chunk_rows)
 
-    def step(batch: DataFrame, _: int) -> None:
-        label_into(batch.sparkSession, batch, target, provider, require_kept=False, **options)
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        cleaned = T.clean_list_markers(T.extract_answer("raw", pattern))
+        stored = materialize(batch.withColumn("extracted", F.coalesce("cached", cleaned)), "label-batch")  # this also runs the state
+        facts = last_commit(session, target)["facts"]
+        if _played(facts, checkpoint, number):
+            return
+        each = stored.withColumn("key", F.explode(F.arrays_zip("doc_ids", "positions"))).withColumns(
+            {"doc_id": F.col("key.doc_ids"), "n_raw_tokens": F.col("key.positions")}
+        )
+        reason = T.drop_reason("raw", "extracted", min_features)
+        explained = each.filter(T.has_enough_features("extracted", min_features)).select(
+            "doc_id", "n_raw_tokens", F.col("text").alias(TEXT), F.col("extracted").alias("api_explanation")
+        )
+        records = each.filter(F.col("status") != CACHED).withColumn("drop_reason", reason).select(
+            "doc_id", "n_raw_tokens", "text", "raw", "extracted", F.col("drop_reason").isNotNull().alias("dropped"), "drop_reason", "status"
+        )
+        commit(session, target, {"explained": explained, "audit": records}, _noted(facts, checkpoint, number))
 
-    return (
-        rows.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _start(spark, folded, step, checkpoint, "update")
