@@ -191,6 +191,41 @@ def _vector_batch(doc_ids: list, kept: list[np.ndarray], mats: list[np.ndarray],
     )
 
 
+def pack(lengths: np.ndarray, budget: int, most: int = DOCS_PER_BATCH) -> list[np.ndarray]:
+    """Batches of documents of about one length, whose padded size is at most ``budget`` tokens.
+
+    Padded size is the longest length times the number of documents. A document
+    longer than the budget is a batch of its own. Every document is in one batch.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    out, begin = [], 0
+    while begin < len(order):
+        room = max(1, min(most, budget // max(1, int(lengths[order[begin]]))))
+        out.append(order[begin : begin + room])
+        begin += room
+    return out
+
+
+def packing_report(positions: DataFrame, token_budget: int, max_length: int = C.MAX_LENGTH) -> DataFrame:
+    """``n_docs, n_batches, n_tokens, n_padded, n_over``: what batches by budget cost; over are batches of several documents beyond it."""
+    lengths = positions_by_document(positions).select(F.size(T.tokenize("longest_text", max_length)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.asarray(batch.column(0), np.int64)
+            packs = pack(n, token_budget)
+            padded = [int(n[p].max()) * len(p) for p in packs]
+            over = sum(size > token_budget and len(p) > 1 for size, p in zip(padded, packs, strict=True))
+            sums = [len(n), len(packs), int(n.sum()), sum(padded), over]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], names=_PACKING)
+
+    counted = lengths.mapInArrow(run, ", ".join(f"{c} bigint" for c in _PACKING))
+    return counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _PACKING])
+
+
+_PACKING = ["n_docs", "n_batches", "n_tokens", "n_padded", "n_over"]
+
+
 def encode(
     positions: DataFrame,
     d_model: int = 64,
@@ -198,16 +233,19 @@ def encode(
     layer: int = 0,
     encoder: Encoder | None = None,
     clamp: bool = False,
+    token_budget: int | None = None,
 ) -> DataFrame:
     """Vectors table: one pass per document on its longest prefix, one row per position.
 
     The default vector at a position counts the tokens up to it in hashed
     buckets. ``clamp`` moves positions beyond the encoded length to its end
-    instead of leaving them out.
+    instead of leaving them out. With a ``token_budget`` an encoder gets batches
+    of documents of about one length whose padded size is within it (``pack``).
     """
     docs = positions_by_document(positions)
     if encoder is not None:
-        source = docs.select("doc_id", "positions", F.col("longest_text").alias("content"))
+        length = F.size(T.tokenize("longest_text", max_length)) if token_budget else F.lit(0)
+        source = docs.select("doc_id", "positions", F.col("longest_text").alias("content"), length.alias("length"))
     else:
         buckets = token_buckets(T.tokenize("longest_text", max_length), d_model)
         source = docs.select("doc_id", "positions", buckets.alias("content"))
@@ -218,10 +256,15 @@ def encode(
         rows = [np.bincount(bag[:end], minlength=d_model) for end in kept]
         return kept, np.array(rows).reshape(len(kept), d_model)
 
+    def parts(batch: pa.RecordBatch) -> list[np.ndarray]:
+        if encoder is not None and token_budget:
+            return pack(np.asarray(batch.column(3), np.int64), token_budget)
+        return np.split(np.arange(batch.num_rows), range(DOCS_PER_BATCH, batch.num_rows, DOCS_PER_BATCH)) if batch.num_rows else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, DOCS_PER_BATCH):
-                part = batch.slice(start, DOCS_PER_BATCH)
+            for chosen in parts(batch):
+                part = batch.take(pa.array(chosen))
                 ids, wanted = part.column(0).to_pylist(), [np.asarray(p, np.int64) for p in part.column(1).to_pylist()]
                 if encoder is None:
                     pairs = [at(content, places) for content, places in zip(part.column(2), wanted)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echoframe.operators.labelling import KEYS
+from echoframe.operators.marks import may_match, sketch
 from echoframe.operators.positions import DataCheckError
 
 
@@ -46,20 +47,32 @@ def check_keys(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, st
 
 
 def join_vectors(explained: DataFrame, vectors: DataFrame, strict: bool = True, check: bool = True) -> DataFrame:
-    """Explained rows with their vector, matched by key."""
+    """Explained rows with their vector, matched by key.
+
+    The check reads the keys of both sides before the join does: store inputs
+    that are costly to make. Sides that are bucketed by key (``sources.bucketed``) are not shuffled.
+    """
     if check:
         check_keys(explained, vectors, strict=strict)
     return explained.join(vectors, list(KEYS), "inner")
 
 
-def keep_documents(rows: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows whose document is in the set."""
-    return rows.join(documents.select(key).distinct(), key, "left_semi")
+def keep_documents(rows: DataFrame, documents: DataFrame, key: str = "doc_id", sketched: bool = False) -> DataFrame:
+    """Rows whose document is in the set.
+
+    With ``sketched`` a sketch of the set goes ahead of the join, so that of
+    wide rows only those are shuffled that will hardly be dropped. It reads the
+    documents twice; give it a stored table.
+    """
+    chosen = documents.select(key).distinct()
+    if sketched:
+        rows = may_match(rows, sketch(documents, [key]), [key])
+    return rows.join(chosen, key, "left_semi")
 
 
-def split_vectors(vectors: DataFrame, explained_splits: DataFrame, split: str) -> DataFrame:
+def split_vectors(vectors: DataFrame, explained_splits: DataFrame, split: str, sketched: bool = False) -> DataFrame:
     """Vectors of the documents one explained split holds."""
-    return keep_documents(vectors, explained_splits.filter(F.col("split") == split))
+    return keep_documents(vectors, explained_splits.filter(F.col("split") == split), sketched=sketched)
 
 
 def fan_out(prompts: DataFrame, samples: int) -> DataFrame:

@@ -29,6 +29,8 @@ class DataCheckError(ValueError):
 PREFIX_DIGITS = 3
 SETTLE_ROWS = 2048
 HASH_DIGITS = 64
+#: Keys that are looked at for each range of an order.
+SAMPLES_PER_RANGE = 32
 LOWEST, HIGHEST = "", "g"  # below and above every hexadecimal string
 SPLITS = ("av_sft", "ar_sft", "rl")
 
@@ -278,41 +280,40 @@ def seeded_rank(df: DataFrame, keys: Sequence[str], seed: int | str = C.SEED, na
     )
 
 
-def natural_rank(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:
+def natural_rank(df: DataFrame, keys: Sequence[str], name: str = "rank", stored: bool = False) -> DataFrame:
     """Exact 0-based rank by ``keys``, which should identify the rows.
 
-    Rows are range-partitioned and sorted once and written with their place
-    (partition number and row number in it). The rows before a partition are
-    summed over one count per partition, so the rank needs neither a global
-    sort in one task nor a second shuffle. Writing pins the range bounds, which
-    Spark samples anew on every evaluation; the input is written first, because
-    bounds and rows would each evaluate it.
+    A sample of the keys, chosen by hash and bounded in number, cuts their order
+    into ranges of about one size, one per shuffle partition; ranges are counted
+    and numbered side by side, and the rows before a range are a sum of those
+    counts. So the rank needs neither a global sort in one task nor a copy of
+    the rows. The input is read several times and written first for that; say so
+    where it is ``stored`` already.
     """
-    df = materialize(df, "to-rank")
-    placed = (
-        df.repartitionByRange(*keys)  # no number: adaptive execution merges small neighbours
-        .sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id())
-    )
-    stored = materialize(placed, "ranked").withColumn("_part", F.shiftright("_at", 33))
-    offsets = (
-        stored.groupBy("_part")
-        .count()
-        .select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_offset"))
-    )
-    row = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        stored.join(F.broadcast(offsets), "_part")  # one row per partition
-        .withColumn(name, F.col("_offset") + row)
-        .drop("_at", "_part", "_offset")
-    )
+    df = df if stored else materialize(df, "to-rank")
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, df.count() // (SAMPLES_PER_RANGE * ranges))
+    sample = df.select(*keys).filter(F.pmod(F.xxhash64(*keys), F.lit(every)) == 0).distinct().orderBy(*keys).collect()
+    starts = [sample[k * len(sample) // ranges] for k in range(1, ranges)] if len(sample) >= ranges else sample[1:]
+    kinds = dict(df.dtypes)
+    row = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    constants = [F.struct(*[F.lit(s[k]).cast(kinds[k]).alias(f"k{i}") for i, k in enumerate(keys)]) for s in starts]
+    placed = df.withColumn("_range", places_in(row, constants))
+    counts = {r["_range"]: r["count"] for r in placed.select("_range").groupBy("_range").count().collect()}  # one per range
+    before = [0]
+    for k in range(max(counts, default=0)):
+        before.append(before[-1] + counts.get(k, 0))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*keys)) - 1
+    offset = F.get(F.array(*(F.lit(b) for b in before)), F.col("_range"))
+    return placed.withColumn(name, (offset + inside).cast("bigint")).drop("_range")
 
 
 def range_shards(df: DataFrame, num_shards: int, key: str = "doc_id") -> DataFrame:
     """Add ``shard_id``: contiguous ranges of the sorted documents, shard s starting at s*n//num.
 
-    Only the start key of each shard is needed; rows are then compared with
-    those ``num_shards - 1`` keys where they are.
+    Only the start key of each shard is needed; rows then find their place
+    among those ``num_shards - 1`` keys where they are.
     """
     if num_shards < 1:
         raise ValueError("num_shards must be positive")
@@ -325,19 +326,34 @@ def range_shards(df: DataFrame, num_shards: int, key: str = "doc_id") -> DataFra
     # A start equal to n names no document: that shard and the later ones are empty.
     keys = [first[s] for s in starts if s in first]
 
-    def search(low: int, high: int) -> Column:
-        """Number of start keys at or below the row's, among keys[low:high] and all before: a balanced tree of tests."""
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col(key) >= F.lit(keys[middle]), search(middle + 1, high)).otherwise(search(low, middle))
+    return df.withColumn("shard_id", places_in(F.col(key), keys))
+
+
+def places_in(value: Column, starts: Sequence) -> Column:
+    """How many of the sorted ``starts`` are at or below the value: a binary search in one constant array.
+
+    The expression has one size, whatever the number of starts.
+    """
+    if not starts:
+        return F.lit(0)
+    array = F.array(*(s if isinstance(s, Column) else F.lit(s) for s in starts))  # folded into one constant
+
+    def halve(state: Column, _: Column) -> Column:
+        low, high = state["low"], state["high"]
+        middle = F.floor((low + high) / 2).cast("int")
+        above = F.get(array, middle) <= value
+        open_ = low < high
+        return F.struct(
+            F.when(open_ & above, middle + 1).otherwise(low).alias("low"), F.when(open_ & ~above, middle).otherwise(high).alias("high")
+        )
 
-    return df.withColumn("shard_id", search(0, len(keys)))
+    steps = F.sequence(F.lit(1), F.lit(len(starts).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(starts)).alias("high")), halve, lambda state: state["low"])
 
 
-def chunk_starts(df: DataFrame, keys: Sequence[str], chunk_rows: int = C.CHUNK_ROWS) -> DataFrame:
+def chunk_starts(df: DataFrame, keys: Sequence[str], chunk_rows: int = C.CHUNK_ROWS, stored: bool = False) -> DataFrame:
     """Add ``chunk_start``: first row number of the fixed-size chunk a row falls in."""
-    ranked = natural_rank(df, keys, "_row")
+    ranked = natural_rank(df, keys, "_row", stored)
     return ranked.withColumn("chunk_start", F.col("_row") - F.col("_row") % chunk_rows).drop("_row")
 
 

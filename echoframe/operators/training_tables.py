@@ -111,7 +111,7 @@ def conversation_rows(messages: DataFrame) -> DataFrame:
     )
 
 
-def training_text(rows: DataFrame, max_length: int = C.MAX_LENGTH) -> DataFrame:
+def training_text(rows: DataFrame, max_length: int | None = C.MAX_LENGTH) -> DataFrame:
     """Add ``tokens`` of the rendered prompt plus response and ``prompt_len`` in tokens."""
     rendered = T.render_chat("prompt")
     return rows.withColumn("tokens", T.tokenize(F.concat(rendered, "response"), max_length)).withColumn(

@@ -25,6 +25,7 @@ from echoframe.session import materialize, new_table_path
 from echoframe.sources import label_cache as LC
 from echoframe.sources import sidecar as SC
 from echoframe.sources import tables as TB
+from echoframe.sources.bucketed import write_bucketed
 from echoframe.sources.corpus import spread
 
 # ---- SQL building blocks -----------------------------------------------------------
@@ -322,10 +323,11 @@ def t17(spark, sf):
     return rows.select("conv_id", "turn", F.array_join(labels.cast("array<string>"), ",").alias("labels"))
 
 
-@query("t24_response_slice", with_ctes(SQL_PAIRS, select="""
+@query("t24_response_slice", with_ctes(SQL_PAIRS.replace("[1:2048]", ""), select="""
     SELECT conv_id, turn, array_to_string(toks[prompt_len + 1:], '') AS generated FROM chat"""))
 def t24(spark, sf):
-    rows = chat_rows(spark, sf)
+    """Generated tokens behind whole prompts; no length is a limit here."""
+    rows = TT.training_text(TT.conversation_rows(table(spark, sf, "conversations")), max_length=None)
     return rows.select("conv_id", "turn", F.array_join(T.response_slice("tokens", "prompt_len"), "").alias("generated"))
 
 
@@ -429,6 +431,16 @@ def j3(spark, sf):
     return L.cache_lookup(texts, cache)
 
 
+@query("j3_bucketed_lookup", with_ctes(*SQL_HALF_CACHE, select="""
+    SELECT t.text_sha256, c.explanation AS cached
+    FROM (SELECT DISTINCT sha256(detokenized_text_truncated) AS text_sha256 FROM positions) t LEFT JOIN cache c USING (text_sha256)"""))
+def j3_bucketed(spark, sf):
+    """The cache stored in buckets by key; only the texts to look up are dealt out."""
+    cache = write_bucketed(half_cache(spark, sf), new_table_path(spark, "bucketed-cache"), ["text_sha256"], 8)
+    texts = L.distinct_texts(inputs.positions(spark, sf)).select("text_sha256")
+    return L.cache_lookup(texts, cache)
+
+
 @query("l2_label_with_cache", with_ctes(*SQL_HALF_CACHE, select="""
     SELECT status, count(*) AS n FROM (
       SELECT CASE WHEN text_sha256 IN (SELECT text_sha256 FROM cache) THEN 'cached' ELSE 'ok' END AS status
@@ -617,6 +629,15 @@ def u3_report(spark, sf):
     return I.encode_report(inputs.positions(spark, sf), max_length=200)
 
 
+@query("u3_packed_batches", with_ctes(*SQL_POSITIONS, select="""
+    SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, 0::BIGINT AS n_over, true AS padding_below_half
+    FROM (SELECT doc_id, max(n_raw_tokens) AS n FROM positions GROUP BY doc_id)"""))
+def u3_packed(spark, sf):
+    """Batches of at most 4096 padded tokens; a lone longer document aside, none is over."""
+    report = I.packing_report(inputs.positions(spark, sf), 4096)
+    return report.select("n_docs", "n_tokens", "n_over", (F.col("n_padded") < 2 * F.col("n_tokens")).alias("padding_below_half"))
+
+
 @query("j1_join_vectors", with_ctes(*SQL_EXPLAINED, SQL_ENCODED, select="""
     SELECT doc_id, n_raw_tokens, api_explanation, bag FROM explained JOIN vectors USING (doc_id, n_raw_tokens)"""))
 def j1(spark, sf):
@@ -625,6 +646,17 @@ def j1(spark, sf):
     return joined.select("doc_id", "n_raw_tokens", "api_explanation", bag_text("activation_vector").alias("bag"))
 
 
+@query("j1_bucketed_join", with_ctes(*SQL_EXPLAINED, SQL_ENCODED, select="""
+    SELECT doc_id, n_raw_tokens, api_explanation, bag FROM explained JOIN vectors USING (doc_id, n_raw_tokens)"""))
+def j1_bucketed(spark, sf):
+    """Both sides stored in buckets by key: the join shuffles neither."""
+    sides = [
+        write_bucketed(t, new_table_path(spark, "bucketed-side"), L.KEYS, 8) for t in explained_and_vectors(spark, sf)
+    ]
+    joined = J.join_vectors(*sides)
+    return joined.select("doc_id", "n_raw_tokens", "api_explanation", bag_text("activation_vector").alias("bag"))
+
+
 def two_key_sets(spark, sf):
     rows = inputs.positions(spark, sf).select("doc_id", "n_raw_tokens")
     return rows.filter("n_raw_tokens % 5 <> 0"), rows.filter("n_raw_tokens % 7 <> 0")

@@ -8,6 +8,7 @@ from echoframe.functions import text as T
 from echoframe.operators import positions as P
 from echoframe.plans import inputs
 from echoframe.plans.catalog import query, table, with_ctes
+from echoframe.session import new_table_path
 from echoframe.sources.corpus import first_rows, read_corpus
 
 
@@ -29,6 +30,19 @@ def s1_file_order(spark, sf):
     return rows.select("doc_id", "corpus_index", T.text_key("text").alias("text_sha256"))
 
 
+@query("s1_window_of_files", """
+    SELECT 'documents:train:' || doc_id AS doc_id, doc_id AS corpus_index, sha256(text) AS text_sha256
+    FROM documents WHERE doc_id >= (SELECT count(*) // 3 FROM documents) AND doc_id < (SELECT 2 * (count(*) // 3) FROM documents)""")
+def s1_window(spark, sf):
+    """A window by file order, of a copy of the corpus in many files; only those that it touches are opened."""
+    docs = table(spark, sf, "documents")
+    path = new_table_path(spark, "corpus-files")
+    docs.repartitionByRange(12, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    third = docs.count() // 3
+    rows = read_corpus(spark, path, "documents", start=third, length=third)
+    return rows.select("doc_id", "corpus_index", T.text_key("text").alias("text_sha256"))
+
+
 @query("s3_column_pruned_scan", "SELECT doc_id FROM documents")
 def s3(spark, sf):
     return table(spark, sf, "documents").select("doc_id")

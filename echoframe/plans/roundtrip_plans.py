@@ -11,6 +11,7 @@ from echoframe.operators import joins as J
 from echoframe.operators import labelling as L
 from echoframe.operators import nearest as N
 from echoframe.operators import pool as PL
+from echoframe.operators.ridge import fit_ridge_sparse
 from echoframe.operators.sampling import bucket_needs
 from echoframe.plans import inputs
 from echoframe.plans.catalog import query, table, with_ctes
@@ -147,6 +148,27 @@ def u5_ridge(spark, sf):
     return labelled.select("doc_id", "n_raw_tokens", model.predict("api_explanation").alias("predicted"))
 
 
+@query("u5_ridge_residual", with_ctes(*SQL_ONE[:4], r"""
+    words AS (
+      SELECT doc_id, n_raw_tokens, f, count(*) AS x FROM (
+        SELECT doc_id, n_raw_tokens, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 262144 AS f
+        FROM (SELECT doc_id, n_raw_tokens, unnest(regexp_extract_all(api_explanation, '[ \n\t\r]*[^ \n\t\r]+')) AS tok FROM explained))
+      GROUP BY ALL
+      UNION ALL SELECT doc_id, n_raw_tokens, 262144, 1 FROM explained
+    ),
+    right_side AS (SELECT f, b AS dim, sum(x * c) AS v FROM words JOIN counts USING (doc_id, n_raw_tokens) GROUP BY ALL)""", select="""
+    SELECT dim, round(sqrt(sum(v * v)), 6) AS right_norm, 0.0::DOUBLE AS residual, (SELECT count(DISTINCT f) - 1 FROM words) AS n_features
+    FROM right_side GROUP BY dim"""))
+def u5_residual(spark, sf):
+    """A fit over 2^18 features: what is left of the normal equations, per output."""
+    rows = materialize(inputs.positions(spark, sf, 1), "positions")
+    vectors = materialize(I.encode(rows, D), "vectors")
+    model = fit_ridge_sparse(J.join_vectors(L.label(rows), vectors, check=False), penalty=100.0, tolerance=1e-7)
+    table_ = [(k, float(n), float(r), len(model.active)) for k, (n, r) in enumerate(zip(model.right_norms, model.residuals, strict=True))]
+    out = spark.createDataFrame(table_, "dim bigint, right_norm double, residual double, n_features bigint")
+    return out.select("dim", r6("right_norm").alias("right_norm"), r6("residual").alias("residual"), "n_features")
+
+
 @query("l12_roundtrip_eval", with_ctes(*SQL_ONE, sql_rebuilt("api_explanation"), select="""
     SELECT row_number() OVER (ORDER BY doc_id, n_raw_tokens) - 1 AS idx, doc_id, substr(detokenized_text_truncated, 1, 200) AS text,
            n_raw_tokens - 1 AS position, explanation, response AS raw_output, round(2 * (1 - cos), 6) AS mse, round(cos, 6) AS cos

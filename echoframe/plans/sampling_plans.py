@@ -107,6 +107,15 @@ def j4(spark, sf):
     return J.keep_documents(table(spark, sf, "documents").select("doc_id", "lang", "source"), chosen)
 
 
+@query("j4_sketched_documents", """
+    SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def j4_sketched(spark, sf):
+    """The same of wide rows: a sketch of the ids goes ahead of the join."""
+    chosen = table(spark, sf, "labels").filter("quality = 1")
+    rows = J.keep_documents(table(spark, sf, "documents").select("doc_id", "text"), chosen, sketched=True)
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("o2_distinct_documents", with_ctes(*SQL_POSITIONS, select="SELECT DISTINCT doc_id FROM positions"))
 def o2(spark, sf):
     return inputs.positions(spark, sf).select("doc_id").distinct()
