@@ -38,8 +38,8 @@ MAX_FREQUENT = 200_000
 LOCAL_MIN, STRETCH = 3, 4 << 20
 #: A group holds at most so many shingles or classes, or one class.
 GROUP_TOKENS, GROUP_CLASSES = 32_768, 256
-#: Shingles of guests that a task holds against a host group, give or take one guest.
-GUEST_TOKENS = 1 << 20
+#: Shingles and classes of guests that a task holds against a host group, give or take one guest.
+GUEST_TOKENS, GUEST_CLASSES = 1 << 20, 1024
 #: Shingles that prefixes of linked sets must share: one in so many of the smaller set, and one at least.
 SHARE = 10
 
@@ -142,6 +142,13 @@ def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([rare, often[np.argsort(rank[i[common]], kind="stable")][: size - len(rare)]])
 
 
+def commonest(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> int | None:
+    """The shingle of the prefix that most documents have, if any is frequent: what many classes share, most of them name alike."""
+    last = prefix(s, frequent, rank)[-1]
+    at = np.searchsorted(frequent, last)
+    return int(last.view(np.int64)) if at < len(frequent) and frequent[at] == last else None
+
+
 def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows ordered by token and class: each once, only those of tokens that two classes have, with the token's first class.
 
@@ -263,17 +270,19 @@ def _compare(pairs: DataFrame, groups: DataFrame, sets: DataFrame, name: str) ->
     every guest are sent to it. A host with many guests is opened in several
     tasks, each with a bounded share of them.
     """
-    size = groups.groupBy("group").agg(F.sum("n").alias("t"))
-    both = pairs.join(size.select(F.col("group").alias("g"), F.col("t").alias("tg")), "g").join(size.select(F.col("group").alias("h"), F.col("t").alias("th")), "h")
+    size = groups.groupBy("group").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c"))
+    both = pairs.join(size.select(F.col("group").alias("g"), F.col("t").alias("tg"), F.col("c").alias("cg")), "g").join(
+        size.select(F.col("group").alias("h"), F.col("t").alias("th"), F.col("c").alias("ch")), "h"
+    )
     swap = (F.col("tg") < F.col("th")) | ((F.col("tg") == F.col("th")) & (F.col("g") > F.col("h")))
     hosted = materialize(
         both.select(
             F.when(swap, F.col("h")).otherwise(F.col("g")).alias("host"), F.when(swap, F.col("g")).otherwise(F.col("h")).alias("visitor"),
-            F.least("tg", "th").alias("t"),
+            F.least("tg", "th").alias("t"), F.when(swap, F.col("cg")).otherwise(F.col("ch")).alias("c"),
         ).distinct(),
         name + "-pairs",
     )
-    parts = hosted.groupBy("host").agg(F.ceil(F.sum("t") / GUEST_TOKENS).alias("parts"))
+    parts = hosted.groupBy("host").agg(F.ceil(F.greatest(F.sum("t") / GUEST_TOKENS, F.sum("c") / GUEST_CLASSES)).alias("parts"))
     dealt = hosted.join(parts, "host").select("host", "visitor", F.pmod(F.xxhash64("visitor"), F.col("parts")).alias("part"))
     opened = dealt.groupBy("host", "part").agg(F.max(F.col("host") == F.col("visitor")).alias("own"))
     rows = opened.select("host", "part", F.col("host").alias("group"), F.lit(False).alias("guest"), "own").union(
@@ -301,6 +310,15 @@ def _grouped(classes: DataFrame, *by: str) -> DataFrame:
     return grouped.join(range_, "group")
 
 
+def _marks(wanted: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """Marks of the keys in ``wanted``, and whether a row of another table with this key column may be among them."""
+    h = F.xxhash64(key)
+    word = F.pmod(h, F.lit(MARK_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))
+    marks = wanted.select(word.alias("word_"), bit.alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_"))
+    return F.broadcast(marks), (word == F.col("word_")) & (bit.bitwiseAND(F.col("bits_")) != 0)
+
+
 def marked(texts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows of ``texts`` whose key may be in ``wanted``, before a join that would move all of them.
 
@@ -308,11 +326,14 @@ def marked(texts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     the tables hold, so they are broadcast; with more keys than slots more rows
     pass, and none that is wanted is lost.
     """
-    h = F.xxhash64(key)
-    word = F.pmod(h, F.lit(MARK_WORDS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))
-    marks = wanted.select(word.alias("word_"), bit.alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_"))
-    return texts.join(F.broadcast(marks), (word == F.col("word_")) & (bit.bitwiseAND(F.col("bits_")) != 0), "left_semi")
+    return texts.join(*_marks(wanted, key), "left_semi")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in ``gone``; those without a mark stay where they are, and only the rest is joined."""
+    marks, may_be = _marks(gone, key)
+    rest = marked(rows, gone, key).join(gone.select(F.col(key).alias("gone_")).distinct(), F.col(key) == F.col("gone_"), "left_anti")
+    return rows.join(marks, may_be, "left_anti").union(rest)
 
 
 def _enough(pairs: DataFrame) -> DataFrame:
@@ -388,12 +409,13 @@ def join_documents(docs: DataFrame) -> DataFrame:
         for batch in pieces(batches):
             data, offsets = raw_bytes(batch.column("text"))
             want1, want2 = (batch.column(k).to_pylist() for k in ("d1", "d2"))
-            out = [(a, s.tobytes()) for s, a, b in zip(shingle_sets(data, offsets, hasher), want1, want2, strict=True) if digest(s) == (a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["d1", "tokens"])
+            out = [(a, s.tobytes(), commonest(s, *held.value)) for s, a, b in zip(shingle_sets(data, offsets, hasher), want1, want2, strict=True) if digest(s) == (a, b)]
+            columns = zip(("d1", "tokens", "common"), (pa.int64(), pa.binary(), pa.int64()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in out], t) for k, (_, t) in enumerate(columns)], names=["d1", "tokens", "common"])
 
     wanted = candidates.select(F.col("rep").alias("doc_id"), "d1", "d2")
     sets = materialize(
-        marked(texts, wanted, "doc_id").join(wanted.hint("merge"), "doc_id").mapInArrow(full, "d1 long, tokens binary"), "ngram-full"
+        marked(texts, wanted, "doc_id").join(wanted.hint("merge"), "doc_id").mapInArrow(full, "d1 long, tokens binary, common long"), "ngram-full"
     )
 
     # first round: groups of one min-hash each with itself, and every class with the first class of its tokens
@@ -408,9 +430,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     links = _compare(own.union(star), every, sets, "ngram-links")
     connected = components(links)
 
-    # second round: linked classes by component, the others by min-hash again; tokens join what may not be connected
-    of = candidates.join(connected, candidates["d1"] == connected["node"], "left").select(candidates["*"], "component")
-    of = of.withColumn("alone", F.col("component").isNull()).withColumn("by", F.coalesce("component", "low"))
+    # second round: linked classes by component, the others by their commonest shingle; tokens join what may not be connected
+    of = candidates.join(connected, candidates["d1"] == connected["node"], "left").join(sets.groupBy("d1").agg(F.max("common").alias("common")), "d1", "left").select(candidates["*"], "component", "common")
+    of = of.withColumn("alone", F.col("component").isNull()).withColumn("by", F.coalesce("component", "common", "low")).drop("common")
     groups2 = materialize(_grouped(of, "alone", "by").withColumn("component", F.coalesce("component", "group")), "ngram-groups")
     again = groups2.filter("alone").groupBy("group").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
     cells = shared.join(groups2.select("d1", "group", "component", "lo", "hi"), "d1").select("token", "group", "component", "lo", "hi").distinct()
