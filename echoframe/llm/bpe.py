@@ -16,7 +16,6 @@ import mmap
 import os
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,7 +37,10 @@ LEXICON_BYTES = 16 << 20
 BINS = 32
 #: Words longer than this are merged with a heap.
 LONG = 64
-REMEMBERED = 250_000
+#: Bytes of words and ids that a task remembers or counts before it starts anew, with what a dict needs for an entry.
+REMEMBERED_BYTES, ENTRY_BYTES = 64 << 20, 250
+#: Words of so many bytes are not in the lexicon.
+LEXICON_WORD = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -293,6 +295,15 @@ def character_classes() -> np.ndarray:
     return kinds
 
 
+def unlike(points: np.ndarray, begin: np.ndarray, end: np.ndarray, example: np.ndarray) -> np.ndarray:
+    """Words that differ from their example word, sign by sign. Words cover ``points`` without gaps."""
+    size = end - begin
+    odd = size != size[example]
+    shift = np.where(odd, 0, begin[example] - begin)
+    same = points == points[np.arange(begin[0], end[-1]) + np.repeat(shift, size)]
+    return np.flatnonzero(odd | ~np.logical_and.reduceat(same, begin - begin[0]))
+
+
 class Splitter:
     """Words of many texts at once: what ``SPLIT`` finds, from the classes of neighbouring characters."""
 
@@ -346,6 +357,12 @@ class Splitter:
         end = np.append(begin[1:], len(points))
         _, example, number = np.unique(self.hasher(points, begin, end), return_index=True, return_inverse=True)
         words = [whole[a:b] for a, b in zip(begin[example].tolist(), end[example].tolist(), strict=True)]
+        odd = unlike(points, begin, end, example[number])
+        if len(odd):  # other words of the same hash: numbers of their own
+            own: dict[str, int] = {}
+            for k in odd.tolist():
+                number[k] = own.setdefault(whole[begin[k] : end[k]], len(words) + len(own))
+            words += own
         return words, number, np.searchsorted(begin, offsets)
 
 
@@ -370,19 +387,21 @@ class Encoder:
         self.tokenizer, self.lexicon = tokenizer, lexicon
         self.split = Splitter()
         self.known: dict[str, bytes] = {}
+        self.held = 0  # signs and ids of the words in it
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words: from memory, else the lexicon, else merged."""
         fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self.known.clear()
-            fresh = words
+            self.held, fresh = 0, words
         raw = [w.encode("utf-8") for w in fresh]
         rank = self.lexicon.rank(raw)
         absent = np.flatnonzero(rank < 0).tolist()
         merged = dict(zip(absent, self.tokenizer.merge_many([raw[k] for k in absent]), strict=True))
         for k, (w, r) in enumerate(zip(fresh, rank.tolist(), strict=True)):
-            self.known[w] = self.lexicon.ids(r) if r >= 0 else merged[k]
+            ids = self.known[w] = self.lexicon.ids(r) if r >= 0 else merged[k]
+            self.held += ENTRY_BYTES + 4 * len(w) + len(ids)
         return [self.known[w] for w in words]
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -408,7 +427,7 @@ def count_words(docs: DataFrame, special: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker("characters")
-        split, counts = Splitter(), Counter()
+        split, counts, held = Splitter(), Counter(), 0
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -418,8 +437,11 @@ def count_words(docs: DataFrame, special: dict[str, int]) -> DataFrame:
         for batch in pieces(batches):
             words, number, _ = split(cut_special([t or "" for t in batch.column(0).to_pylist()], special)[0])
             for word, n in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
-                counts[word] += n
-            if len(counts) > 500_000:
+                if len(word) < LEXICON_WORD and len(word.encode("utf-8")) < LEXICON_WORD:  # longer ones are merged
+                    held += 0 if word in counts else ENTRY_BYTES + 4 * len(word)
+                    counts[word] += n
+            if held > REMEMBERED_BYTES:
+                held = 0
                 yield flush()
         if counts:
             yield flush()
@@ -449,15 +471,17 @@ def build_lexicon(docs: DataFrame, tokenizer: Tokenizer, words: int = LEXICON_WO
     """
     spark = docs.sparkSession
     counts = materialize(
-        count_words(docs, tokenizer.special).filter(F.octet_length("word") < 256).withColumn("bin", F.floor(F.log2("n") * BINS).cast("int")), "bpe-words"
+        count_words(docs, tokenizer.special).withColumn("bin", F.floor(F.log2("n") * BINS).cast("int")), "bpe-words"
     )
     least, reached = None, 0
     for row in sorted(counts.groupBy("bin").count().collect(), reverse=True):
         reached += row["count"]
-        if reached > words:
+        if least is not None and reached > words:
             break
         least = row["bin"]
-    top = [] if least is None else counts.filter(F.col("bin") >= least).orderBy(F.col("n").desc(), "word").collect()
+    frequent = counts.filter(F.col("bin") >= (0 if least is None else least)).orderBy(F.col("n").desc(), "word")
+    # the highest bin may be too many words by itself: a part of it then
+    top = frequent.limit(words).collect()
     chosen: dict[bytes, list[int]] = {}
     size = 0
     for row in top:
@@ -500,7 +524,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WOR
     tokenizer = Tokenizer.load(tokenizer_path)
     path, data = build_lexicon(docs, tokenizer, words)
     held = docs.sparkSession.sparkContext.broadcast((tokenizer, data))
-    key = (tokenizer_path, zlib.crc32(data))
+    key = (tokenizer_path, hashlib.sha256(data).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker("characters", "bpe")

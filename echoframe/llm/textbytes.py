@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 PIECE_BYTES = 2 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
+_BASE, _STEP = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
 def _caches() -> dict:
@@ -119,23 +119,34 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit polynomial hashes of byte ranges, from one cumulative sum over the bytes."""
+    """64-bit hashes of ranges of an array of bytes or code points.
 
-    def __init__(self) -> None:
-        self.power = self.inverse = np.ones(1, _U)
-
-    def _grow(self, n: int) -> None:
-        if len(self.power) < n:
-            n = max(n, PIECE_BYTES)
-            for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
-                factors = np.full(n, base, _U)
-                factors[0] = 1
-                setattr(self, name, np.cumprod(factors, dtype=_U))
+    Every block of eight bytes goes through ``mix`` together with its place in
+    the word, and a word is the mixed sum of its blocks. Blocks are random to
+    each other, so texts with a structure (periods, words built from two others)
+    collide no more often than any: two given words with a chance of 2**-64.
+    """
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):
             return np.zeros(0, _U)
-        self._grow(len(data) + 1)
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * self.power[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        raw = np.concatenate([np.ascontiguousarray(data).view(np.uint8), np.zeros(8, np.uint8)])
+        at_byte = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from any byte on
+        begin, size = starts * data.itemsize, (ends - starts) * data.itemsize
+        out = self._blocks(at_byte, begin, size, np.zeros(len(begin), np.int64))
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) // 8  # blocks behind the first
+            last = np.cumsum(more)
+            nth = np.arange(last[-1]) - np.repeat(last - more, more) + 1
+            sums = np.concatenate([np.zeros(1, _U), np.cumsum(self._blocks(at_byte, np.repeat(begin[long], more), np.repeat(size[long], more), nth), dtype=_U)])
+            out[long] += sums[last] - sums[last - more]
+        return mix(out + size.astype(_U) * _U(0xD6E8FEB86659FD93))
+
+    @staticmethod
+    def _blocks(at_byte: np.ndarray, begin: np.ndarray, size: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        """Block number ``nth`` of words, cut at the word's end, mixed with its number."""
+        block = at_byte[begin + 8 * nth]
+        short = 8 - np.minimum(size - 8 * nth, 8)
+        block <<= (8 * short).astype(_U)  # a block of no bytes does not occur: words are not empty
+        return mix(mix(block ^ _BASE) + nth.astype(_U) * _STEP)
