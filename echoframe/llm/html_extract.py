@@ -2,17 +2,22 @@
 
 The text nodes of a page are grouped by their root-to-leaf tag path. Length and
 punctuation per path are smoothed over neighbouring paths, fused into one
-ratio, and paths above a threshold hold the content. Paths through elements
+ratio, and paths above a threshold hold the content, with the short blocks
+(headings, items, sources) that stand among them. Paths through elements
 whose meaning is fixed (menus, footers, forms, adverts, ...) never do.
+
+Paths are nodes of one tree per page, each with its parent, and all work on
+them is a fixed number of sweeps over that tree: time and memory are linear in
+the page, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +60,13 @@ SELF_CLOSING = {
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "option": ("option", ("select",)),
 }
-#: Smoothing width in steps between paths, and the share of the mean ratio that a content path needs.
-SIGMA, SHARE = 1.0, 0.15
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Smoothing width in steps between paths, the steps behind which a weight is nothing, and the share of the mean ratio that a content path needs.
+SIGMA, REACH, SHARE = 1.0, 7, 0.15
+#: Share of the chosen text that the content's root holds, and words of a link that is more than a button.
+ROOT_SHARE, LINK_WORDS = 0.9, 2
+FEW_PATHS = 64
+_BELL = np.append(np.exp(-np.arange(REACH + 1) ** 2 / (2 * SIGMA * SIGMA)), 0.0)
 CONTENT_BONUS = 8.0
 
 _TOKEN = re.compile(
@@ -68,12 +78,32 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none|aria-hidden
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
+class Paths:
+    """The tag paths of a page as a tree: a number each, parents before children."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.content, self.article = [0], [""], [False], [False]
+        self._child: dict[tuple[int, str], int] = {}
+
+    def child(self, node: int, tag: str) -> int:
+        known = self._child.setdefault((node, tag), len(self.tag))
+        if known == len(self.tag):
+            self.parent.append(node)
+            self.tag.append(tag)
+            self.content.append(self.content[node] or tag in CONTENT_TAGS)
+            self.article.append(self.article[node] or tag == "article")
+        return known
+
+    def __len__(self) -> int:
+        return len(self.tag)
+
+
 class Block:
     """Text between two block boundaries, with the path it hangs on."""
 
     __slots__ = ("path", "pieces", "linked", "barred")
 
-    def __init__(self, path: tuple, barred: int) -> None:
+    def __init__(self, path: int, barred: int) -> None:
         self.path, self.barred = path, barred
         self.pieces: list[str] = []
         self.linked = 0
@@ -100,9 +130,12 @@ def _name_bar(attributes: str, tag: str, inside: bool) -> int:
     return bar
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks in page order. Tolerates unclosed and stray tags and pages cut off anywhere."""
-    stack: list[tuple[str, int]] = []  # element, how far it bars what is in it
+def blocks(page: str) -> tuple[list[Block], Paths]:
+    """Blocks in page order, and the paths they hang on. Tolerates unclosed and stray tags and pages cut off anywhere."""
+    paths = Paths()
+    stack: list[tuple[str, int, int]] = []  # element, how far it bars what is in it, its path
+    places: dict[str, list[int]] = {}  # of the open elements in the stack, by name
+    endless: set[str] = set()  # raw elements without an end tag from here on
     out: list[Block] = []
     links, fresh = 0, True
 
@@ -113,19 +146,24 @@ def blocks(page: str) -> list[Block]:
         if fresh:
             if piece.isspace():
                 return
-            out.append(Block(tuple(t for t, _ in stack), stack[-1][1] if stack else FREE))
+            out.append(Block(stack[-1][2] if stack else 0, stack[-1][1] if stack else FREE))
             fresh = False
         out[-1].pieces.append(piece)
         if links:
             out[-1].linked += len(piece)
 
     def close(names: tuple, stops: tuple) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in stops:
-                return
-            if stack[k][0] in names:
-                del stack[k:]
+        k = -1
+        for n in names:
+            if (held := places.get(n)) and held[-1] > k:
+                k = held[-1]
+        if k < 0:
+            return
+        for n in stops:
+            if (held := places.get(n)) and held[-1] >= k:
                 return
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -153,7 +191,9 @@ def blocks(page: str) -> list[Block]:
         if tag in EMBEDDED and m[3].endswith("/"):
             continue
         if tag in RAW:
-            found = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            found = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            if found is None:
+                endless.add(tag)
             at = found.end() if found else at if tag in EMBEDDED else end
             continue
         if tag in INLINE:
@@ -167,8 +207,8 @@ def blocks(page: str) -> list[Block]:
             close(names if isinstance(names, tuple) else (names,), stops)
         if tag in VOID or m[3].endswith("/") and tag not in CLOSES_P:
             continue
-        inside = any(t in CONTENT_TAGS for t, _ in stack)
-        bars = stack[-1][1] if stack else FREE
+        _, bars, above = stack[-1] if stack else ("", FREE, 0)
+        inside = paths.content[above]
         if tag in BOILERPLATE_TAGS or tag == "header" and not inside:
             bars = FIXED
         elif tag in CONTENT_TAGS:
@@ -176,77 +216,122 @@ def blocks(page: str) -> list[Block]:
                 bars = FREE
         elif bars < FIXED and m[3] and tag not in ("html", "body"):
             own = FIXED if _HIDDEN.search(m[3]) else _name_bar(m[3], tag, inside)
-            if own and any(t == "article" for t, _ in stack):
+            if own and paths.article[above]:
                 own = max(own, OTHERS)
             bars = max(bars, own)
-        stack.append((tag, bars))
-    return out
-
-
-def path_ratios(found: list[tuple[tuple, str, int]]) -> dict[tuple, float]:
-    """Fused, smoothed ratio of every path of (path, text, characters in links)."""
-    stats: dict[tuple, list[float]] = {}
-    for path, text, linked in found:
-        s = stats.setdefault(path, [0, 0, 0, 0])
-        s[0] += 1
-        s[1] += len(text)
-        s[2] += len(_PUNCTUATION.findall(text))
-        s[3] += min(linked, len(text))
-    fused = {}
-    for p, (_, length, _, linked) in stats.items():
-        weight = total = signs = 0.0
-        for q, (n, q_length, q_signs, q_linked) in stats.items():
-            shared = 0
-            for a, b in zip(p, q):
-                if a != b:
-                    break
-                shared += 1
-            steps = len(p) + len(q) - 2 * shared
-            w = n * math.exp(-steps * steps / (2 * SIGMA * SIGMA))
-            weight += w
-            total += w * (q_length - q_linked) / n
-            signs += w * q_signs / n
-        ratio = total / weight * (1.0 + signs / weight) * (1.0 - linked / max(1, length))
-        fused[p] = ratio * (CONTENT_BONUS if CONTENT_TAGS.intersection(p) else 1.0)
-    return fused
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, bars, paths.child(above, tag)))
+    return out, paths
+
+
+def smoothed(parent: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Per path the values of all paths, weighted by a bell curve of the steps between them.
+
+    ``below[d]`` are sums over the descendants d steps down; what lies d steps
+    away in any direction is that and what lies d - 1 steps from the parent,
+    less what the parent reaches back through the path itself. Of few paths all
+    distances are a small matrix, with the same sums.
+    """
+    n = len(parent)
+    if n <= FEW_PATHS:
+        steps = np.zeros((n, n), np.int64)
+        for v, above in enumerate(parent.tolist()[1:], 1):
+            steps[v, :v] = steps[above, :v] + 1
+            steps[:v, v] = steps[v, :v]
+        return _BELL[np.minimum(steps, REACH + 1)] @ values
+    below, away = [values], [values]
+    for d in range(1, REACH + 1):
+        sums = np.zeros_like(values)
+        np.add.at(sums, parent[1:], below[-1][1:])
+        around = sums.copy()
+        around[1:] += away[-1][parent[1:]]
+        if d > 1:
+            around[1:] -= below[d - 2][1:]
+        below.append(sums)
+        away.append(around)
+    return sum(_BELL[d] * a for d, a in enumerate(away))
+
+
+def path_ratios(found: list[tuple[int, str, int]], paths: Paths) -> np.ndarray:
+    """Fused, smoothed ratio of every path, by (path, text, characters in links)."""
+    stats = np.zeros((len(paths), 4))
+    np.add.at(stats, [p for p, _, _ in found], [(1, len(t), len(_PUNCTUATION.findall(t)), min(linked, len(t))) for _, t, linked in found])
+    parent = np.array(paths.parent)
+    weight, signs, total = smoothed(parent, np.stack([stats[:, 0], stats[:, 2], stats[:, 1] - stats[:, 3]], axis=1)).T
+    weight = np.maximum(weight, 1e-30)
+    ratio = total / weight * (1.0 + signs / weight) * (1.0 - stats[:, 3] / np.maximum(1, stats[:, 1]))
+    return np.where(stats[:, 0] > 0, ratio * np.where(paths.content, CONTENT_BONUS, 1.0), 0.0)
+
+
+def reads(text: str, linked: int) -> bool:
+    """Prose, or a link that says more than the name of a button."""
+    return 2 * linked <= len(text) or len(text.split()) > LINK_WORDS
+
+
+def chosen_blocks(found: list[tuple[int, str, int]], paths: Paths) -> list[bool]:
+    """Blocks of the paths whose ratio reaches the threshold, and those that belong to them.
+
+    Where such a path lies in an article or main element, these are the other
+    blocks of such elements that are not link buttons. Elsewhere they are the
+    blocks among them, the headings right before and the list right behind,
+    under the node of the path tree that holds nearly all of the chosen text.
+    """
+    ratios = path_ratios(found, paths)
+    length = np.array([len(t) for _, t, _ in found], float)
+    path = np.array([p for p, _, _ in found])
+    need = SHARE * float(ratios[path] @ length) / length.sum()
+    taken = (ratios[path] > 0) & (ratios[path] >= need)
+    reading = np.array([reads(t, linked) for _, t, linked in found])
+    content = np.array(paths.content)
+    if (content[path] & taken).any():
+        return (taken | content[path] & reading).tolist()
+    places = np.flatnonzero(taken)
+    if not len(places):
+        return taken.tolist()
+    under = np.zeros(len(paths))
+    np.add.at(under, path[taken], length[taken])
+    own = under > 0
+    for node in range(len(paths) - 1, 0, -1):
+        under[paths.parent[node]] += under[node]
+    root = max(range(len(paths)), key=lambda n: n if under[n] >= ROOT_SHARE * under[0] else -1)
+    root = paths.parent[root] if own[root] else root  # a block's own element holds no other blocks
+    inside = np.zeros(len(paths), bool)
+    for node in range(len(paths)):
+        inside[node] = node == root or node > 0 and inside[paths.parent[node]]
+    first, last = int(places[0]), int(places[-1])
+    while first > 0 and inside[path[first - 1]] and paths.tag[path[first - 1]] in HEADINGS:
+        first -= 1
+    among = np.zeros(len(found), bool)
+    among[first : last + 1] = True
+    for k in range(last + 1, len(found)):  # a list behind the last of them goes on to its end
+        if not inside[path[k]] or paths.tag[path[k]] != "li":
+            break
+        among[k] = True
+    return (taken | among & inside[path] & reading).tolist()
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, one per line; empty where there is none."""
     found = []
-    every = blocks(page or "")
-    free = any(not b.barred and CONTENT_TAGS.intersection(b.path) for b in every)
+    every, paths = blocks(page or "")
+    free = any(not b.barred and paths.content[b.path] for b in every)
     for block in every:
-        if not block.barred or not free and block.barred == NAMED and "article" in block.path:
+        if not block.barred or not free and block.barred == NAMED and paths.article[block.path]:
             text = " ".join("".join(block.pieces).split())
             if text:
                 found.append((block.path, text, block.linked))
     if not found:
         return ""
-    chosen = content_paths(found)
-    return "\n".join(t for p, t, _ in found if p in chosen)
-
-
-def content_paths(found: list[tuple[tuple, str, int]]) -> set[tuple]:
-    """Paths whose ratio reaches the threshold, and with them, where one lies in an article or main
-    element, the other paths of such elements that are not mostly links."""
-    ratios = path_ratios(found)
-    need = SHARE * sum(ratios[p] * len(t) for p, t, _ in found) / sum(len(t) for _, t, _ in found)
-    chosen = {p for p, r in ratios.items() if r > 0 and r >= need}
-    if any(CONTENT_TAGS.intersection(p) for p in chosen):
-        length: dict[tuple, list[int]] = {}
-        for p, t, linked in found:
-            n = length.setdefault(p, [0, 0])
-            n[0] += len(t)
-            n[1] += linked
-        chosen |= {p for p, (n, linked) in length.items() if CONTENT_TAGS.intersection(p) and 2 * linked <= n}
-    return chosen
+    return "\n".join(t for (_, t, _), keep in zip(found, chosen_blocks(found, paths), strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page, read whole, row by row without a shuffle.
 
     A null or empty page, and one without an article, gives the empty text.
+    Very long and deeply nested pages take time and memory in proportion to
+    their length. Repeated and null ids are kept, an empty table gives no rows,
+    and columns of other names are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
