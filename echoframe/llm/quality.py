@@ -135,8 +135,9 @@ def score(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings(),
     """``doc_id, held_out, score, predicted`` for every row, and the columns in ``keep``.
 
     The score is the logistic function of a sparse dot product over the whole
-    text. Null and empty texts get the score of the bias. The weights are a
-    broadcast of fixed size.
+    text, however long. Null and empty texts get the score of the bias;
+    repeated and null ids are rows of their own, an empty table gives no rows.
+    The weights are a broadcast of fixed size.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights)
     kept = [c for c in docs.columns if c in (keep or [])]

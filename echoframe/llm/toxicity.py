@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -27,7 +28,6 @@ from echoframe.llm.textbytes import release_worker, worker_cache
 from echoframe.session import materialize
 
 #: Settings of the fit.
-MAX_TERMS = 20_000
 MIN_ROWS, MIN_CHANCE, LEVEL = 3, 0.5, 0.05
 #: Weight, in rows, of what misspellings of terms of one length are in general.
 PRIOR_ROWS = 3.0
@@ -204,7 +204,7 @@ def tail(hits: int, n: int, rate: float) -> float:
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> list[Term]:
-    """At most ``MAX_TERMS`` terms from at most ``limit`` labelled rows of the training fold.
+    """Every term that passes the test, from at most ``limit`` labelled rows of the training fold.
 
     A term counts once per class of similar texts, toxic and clean alike and
     without a ceiling, so that the words of one copied text don't pass for
@@ -227,11 +227,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", limi
     if not total or total >= 1.0:
         return []
     tried = counts.filter(F.col("t") + F.col("c") >= MIN_ROWS).count()
-    rows = (
-        counts.filter((F.col("k") >= MIN_ROWS) & (F.col("k") > F.col("m")))
-        .orderBy((F.col("k") - F.col("m")).desc(), "term").limit(MAX_TERMS).collect()
-    )
     limit_log = math.log(LEVEL / max(1, tried))
+    # the test again in Spark, a little wider, so that only terms near or above it come here
+    n, share = F.col("k") + F.col("m"), F.col("k") / (F.col("k") + F.col("m"))
+    rest = F.when(F.col("m") > 0, (1 - share) * F.log((1 - share) / F.lit(1 - total))).otherwise(0.0)
+    passing = (share > total) & (-n * (share * F.log(share / F.lit(total)) + rest) < limit_log + 1e-6)
+    rows = counts.filter((F.col("k") >= MIN_ROWS) & (F.col("k") > F.col("m")) & passing).collect()
     chance = {r["term"]: lower_bound(r["k"], r["m"]) for r in rows if tail(r["k"], r["k"] + r["m"], total) < limit_log}
     terms = [Term(k.rstrip("*"), k.endswith("*"), v, v if len(k) >= FUZZY_LENGTH else 0.0) for k, v in sorted(chance.items()) if v >= MIN_CHANCE]
     return _weigh_misspellings(counts, terms)
@@ -318,11 +319,11 @@ class Scorer:
         """The score and the number of hits."""
         low = text.lower()
         words = set(_WORD.findall(low))
-        new = words - self.clean - self.hits.keys()
         if len(self.clean) > self.WORDS:
             self.clean = set()
         if len(self.hits) > self.WORDS:
             self.hits = {}
+        new = words - self.clean - self.hits.keys()
         chance = self.automaton.chance
         for w in new:
             p = chance(w)
@@ -352,9 +353,11 @@ def score(docs: DataFrame, terms: list[Term], threshold: float = 0.5, keep: list
     """``doc_id, held_out, score, predicted, n_hits`` for every row, and the columns in ``keep``.
 
     Reads every word of the whole text. Null and empty texts have no hits and
-    get the base score. The terms, at most ``MAX_TERMS``, travel with the task.
+    get the base score, repeated and null ids are rows of their own, an empty
+    table gives no rows. The terms, whose number the labelled rows bound, travel
+    with the task.
     """
-    key = zlib.crc32(repr(terms).encode())
+    key = hashlib.sha256(repr(terms).encode()).hexdigest()
     kept = [c for c in docs.columns if c in (keep or [])]
     picked = docs.select(F.col("doc_id").cast("long").alias("_id"), held_out(F.col("doc_id")).alias("_held"), F.col("text").alias("_text"), *kept)
 
