@@ -18,8 +18,8 @@ from echoframe.llm.components import components, roots
 from echoframe.session import materialize
 
 THRESHOLD = 0.9
-#: Vectors of a block; a tile compares two blocks. Bounds memory of a task.
-BLOCK = 8192
+#: Vectors of a block, and bytes of them as doubles; a tile compares two blocks. Bounds memory of a task.
+BLOCK, BLOCK_BYTES = 8192, 32 << 20
 ROWS = 512
 #: Rounding of the products themselves, far above what float arithmetic loses here.
 SLACK = 1e-4
@@ -146,8 +146,8 @@ def near_duplicates(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         rows.filter("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")),
         "embedding-reps",
     )
-    total = reps.count()
-    blocks = max(1, -(-total // block))
+    total, widest = reps.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    blocks = max(1, -(-total // max(1, min(block, BLOCK_BYTES // (8 * (widest or 1))))))
     placed = reps.withColumn("at", F.pmod(F.xxhash64("h1", F.lit(5)), F.lit(blocks)).cast("int")).withColumn("width", F.size("v"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     tiles = placed.withColumn("other", F.explode(others)).select(

@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 from pyspark.sql import Window as W
 
+from echoframe.session import materialize
+
 N_SLOTS = 4096
+#: Rows that are alike are numbered in steps of so many.
+STEP = 1 << 16
+#: How far from the mean a shard may stay.
+SLACK = 0.001
 MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long"
 
 
@@ -25,15 +31,32 @@ def virtual_slot(*key: Column, n_slots: int = N_SLOTS) -> Column:
 def with_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """``doc_id, size, text_crc32, virtual_slot``; a null text counts as empty.
 
-    The key is the id together with length and checksum of the text, so rows
-    without an id, or many rows under one id, still spread.
+    The key is the id together with length and checksum of the text, and for
+    rows alike in all of these their number among them, so rows without an id,
+    many rows under one id and equal rows still spread. Rows alike are counted
+    where they are read and numbered out again from the counts.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
-    ).withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), F.col("size"), n_slots=n_slots))
+    )
+    keys = ("doc_id", "size", "text_crc32")
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return number_out(counted, *keys).withColumn(
+        "virtual_slot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("nth"), n_slots=n_slots)
+    ).drop("nth")
+
+
+def number_out(counted: DataFrame, *keys: str) -> DataFrame:
+    """``n`` rows ``nth = 0, 1, ...`` of each counted row. Large counts are dealt out in steps before they are numbered."""
+    numbers = lambda low, high: F.explode(F.sequence(low, high))
+    zero, last = F.lit(0).cast("long"), F.col("n") - 1
+    few = counted.filter(F.col("n") <= STEP).select(*keys, numbers(zero, last).alias("nth"))
+    parts = counted.filter(F.col("n") > STEP).select(*keys, "n", numbers(zero, F.floor(last / STEP)).alias("step")).repartition("step", *keys)
+    begin = F.col("step") * STEP
+    return few.union(parts.select(*keys, numbers(begin, F.least(begin + (STEP - 1), last)).alias("nth")))
 
 
 def slot_sizes(slotted: DataFrame) -> list[tuple[int, int, int]]:
@@ -42,6 +65,11 @@ def slot_sizes(slotted: DataFrame) -> list[tuple[int, int, int]]:
     return sorted((r["virtual_slot"], r["b"], r["n"]) for r in rows)
 
 
+def first_map(n_shards: int, n_slots: int = N_SLOTS) -> dict[int, int]:
+    """Slots to shards in turn, before anything is known of the rows."""
+    return {slot: slot % n_shards for slot in range(n_slots)}
+
+
 def assign(sizes: list[tuple[int, int, int]], n_shards: int, n_slots: int = N_SLOTS) -> dict[int, int]:
     """Slot -> shard: the largest slot goes to the lightest shard; unused slots in turn."""
     heap = [(0, shard) for shard in range(n_shards)]
@@ -55,7 +83,7 @@ def assign(sizes: list[tuple[int, int, int]], n_shards: int, n_slots: int = N_SL
     return owner
 
 
-def rebalance(owner: dict[int, int], sizes: list[tuple[int, int, int]], n_shards: int, slack: float = 0.01) -> dict[int, int]:
+def rebalance(owner: dict[int, int], sizes: list[tuple[int, int, int]], n_shards: int, slack: float = SLACK) -> dict[int, int]:
     """An edited map for ``n_shards``: slots move from heavy shards to light ones only.
 
     Slots of shards that no longer exist move first. A slot moves only where
@@ -113,22 +141,40 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return versions.filter(F.col("version") == version)
 
 
+def has_map(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def edit_map(spark: SparkSession, path: str, sizes: list[tuple[int, int, int]], n_shards: int, n_slots: int = N_SLOTS) -> int:
+    """Rebalance the latest map under ``path`` for the present slot sizes and store the next version; returns its number.
+
+    Where there is no map yet, version 1 deals the slots out in turn.
+    """
+    if not has_map(spark, path):
+        save_map(spark, path, first_map(n_shards, n_slots), [], 1)
+    latest = load_map(spark, path).select("version", "slot", "shard").collect()  # a row per slot
+    version = latest[0]["version"] + 1
+    save_map(spark, path, rebalance({r["slot"]: r["shard"] for r in latest}, sizes, n_shards), sizes, version)
+    return version
+
+
 def shard_documents(docs: DataFrame, map_path: str, n_shards: int = 16, n_slots: int = N_SLOTS) -> DataFrame:
     """``doc_id, size, text_crc32, virtual_slot, shard, slot`` for every row.
 
-    Fits the map on the bytes of all rows, stores it as version 1 under
-    ``map_path`` and applies the stored table. ``slot`` numbers the rows of a
-    shard from 0 without gaps: the rows before a virtual slot within its shard
-    come from the map, the rest is a row number inside the virtual slot, so no
-    shard passes through one task. Texts are read once and never shuffled.
-    Null texts have size 1 and checksum 0; null ids and repeated rows are kept;
-    an empty table gives an empty result.
+    Bytes of all rows are aggregated per virtual slot, the latest map under
+    ``map_path`` (or a first one) is edited by them, stored as the next version
+    and applied as stored; only slots that a heavy shard gives to a light one
+    move. ``slot`` numbers the rows of a shard from 0 without gaps: the rows
+    before a virtual slot within its shard come from the map, the rest is a row
+    number inside the virtual slot, so no shard passes through one task. Texts
+    are read once and never shuffled. Null texts have size 1 and checksum 0;
+    null ids and repeated rows are kept; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    slotted = with_slots(docs, n_slots)
-    sizes = slot_sizes(slotted)
-    save_map(spark, map_path, assign(sizes, n_shards, n_slots), sizes, 1)
-    return apply_map(slotted, load_map(spark, map_path))
+    slotted = materialize(with_slots(docs, n_slots), "sharding-rows")
+    version = edit_map(spark, map_path, slot_sizes(slotted), n_shards, n_slots)
+    return apply_map(slotted, load_map(spark, map_path, version))
 
 
 def apply_map(slotted: DataFrame, slot_map: DataFrame) -> DataFrame:

@@ -84,9 +84,10 @@ class Automaton:
         """State words of every string after its last symbol."""
         lengths = np.diff(offsets)
         order = np.argsort(-lengths, kind="stable")
+        falling = -lengths[order]
         state = np.broadcast_to(self.start, (len(lengths), self.words)).copy()
         for k in range(int(lengths.max(initial=0))):
-            live = order[: np.searchsorted(-lengths[order], -k, "left")]
+            live = order[: np.searchsorted(falling, -k, "left")]
             symbol = symbols[offsets[live] + k]
             now = state[live]
             moved = now << _U(1)
