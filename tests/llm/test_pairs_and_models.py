@@ -138,6 +138,42 @@ def test_join_links_inside_groups_that_host_others(spark, monkeypatch, tokens, c
     assert rows(ngram_join.join_documents(frame)) == joined(docs)
 
 
+def test_structured_words_make_different_shingles():
+    one, other = "a", "b"
+    while len(one) < 2048:
+        one, other = one + other, other + one
+    data = f"{one}{other}".encode()
+    a, b = ngram_join.shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(one), len(data)]), ngram_join.WordHasher())
+    assert a.tolist() != b.tolist()
+
+
+@pytest.mark.parametrize("classes", [256, 20])
+def test_many_variants_of_one_passage_meet_in_few_pairs(spark, monkeypatch, classes):
+    """Documents that are mostly one passage but not linked to each other: few groups hold its shingles, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "GROUP_CLASSES", classes)
+    monkeypatch.setattr(ngram_join, "GUEST_CLASSES", 50)
+    monkeypatch.setattr(ngram_join, "LOCAL_MIN", 2)
+    seen = []
+    real = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    rng = np.random.default_rng(4)
+    passage = [f"p{k}" for k in range(60)]
+    docs = []
+    for k in range(300):  # five changed words take 25 of 56 shingles: similarity about a half; some with a near copy
+        w = list(passage)
+        for at in rng.choice(60, 3, replace=False):
+            w[at] = f"m{k}x{at}"
+        docs.append((len(docs), " ".join(w)))
+        if k % 10 == 0:
+            w[0] = f"n{k}"
+            docs.append((len(docs), " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert rows(ngram_join.join_documents(frame)) == joined(docs)
+    cells = [df for name, df in seen if name == "ngram-matrix"][0]
+    groups = max((r["count"] for r in cells.groupBy("token").count().collect()), default=0)
+    assert groups <= 50  # of 330 classes
+
+
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3)), max_size=40), st.integers(1, 5))
 @settings(max_examples=150, deadline=None)
 def test_shared_tokens_streams(pairs, size):
@@ -212,6 +248,70 @@ def is_held(i):
     return i is None or zlib.crc32(str(i).encode()) % 5 == 0
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & MASK
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & MASK
+    return h ^ h >> 31
+
+
+def plain_quality(text, weights, settings=quality.Settings()):
+    """The sparse dot product word by word, with whole numbers and a dictionary."""
+    hasher = ngram_join.WordHasher()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode())
+    hashes, shapes, before = [], [], None
+    for w in words:
+        hashes.append(int(hasher(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]))
+        letter = lambda c: 0x61 <= c <= 0x7A or 0x41 <= c <= 0x5A or c >= 0x80
+        letters, digits = sum(map(letter, w)), sum(0x30 <= c <= 0x39 for c in w)
+        shape = min(int(math.log2(len(w) + 1)), 7)
+        for part in (min(letters, 3), min(digits, 3), min(len(w) - letters - digits, 4), 0 if letter(w[-1]) else w[-1], int(w == before)):
+            shape = shape * 257 + part
+        shapes.append(plain_mix(shape + 0x51ED270B & MASK))
+        before = w
+    counts = {}
+    pairs = lambda x: [a * 0x9E3779B1 + b & MASK for a, b in zip(x, x[1:])]
+    for k, grams in enumerate((hashes, shapes, pairs(hashes), pairs(shapes))):
+        for g in grams:
+            i = plain_mix(g + k + 1 & MASK) >> 64 - settings.bits
+            counts[i] = counts.get(i, 0) + 1
+    dot = sum(weights[i] * n for i, n in counts.items()) * settings.scale / max(1, len(words)) + weights[-1]
+    return 1 / (1 + math.exp(-max(-35.0, min(35.0, dot))))
+
+
+def test_quality_equals_the_plain_product(tables, edge_docs):
+    weights = quality.train(tables("documents"), tables("labels"))
+    for docs in (tables("documents"), edge_docs.filter("length(text) < 5000 or text is null")):
+        want = sorted((str(r["doc_id"]), plain_quality(r["text"], weights)) for r in docs.collect())
+        got = sorted((str(r["doc_id"]), r["score"]) for r in quality.score(docs, weights).collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-9)
+
+
+def test_ftrl_equals_the_plain_update():
+    """Follow the regularised leader, one coordinate at a time."""
+    s = quality.Settings(bits=3, l1=0.02)
+    rng = np.random.default_rng(0)
+    data = [(np.append(np.sort(rng.choice(8, 3, replace=False)), 8), np.append(rng.random(3) * 3, 1.0), int(rng.random() < 0.4)) for _ in range(60)]
+    z, n = [0.0] * 9, [0.0] * 9
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for index, x, y in data:
+            w = [weight(i) for i in index]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
+            for i, a, v in zip(index, w, x):
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * a
+                n[i] += g * g
+    assert np.allclose(quality.ftrl(data, s), [weight(i) for i in range(9)])
+
+
 def test_quality_on_held_out_rows(tables):
     docs, labels = tables("documents"), tables("labels")
     out = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").toPandas()
@@ -268,6 +368,56 @@ def test_levenshtein_automaton(words, asked, stem):
     assert automaton.chance(asked) == want and automaton.chance(asked) == want
 
 
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def plain_toxicity(text, terms):
+    """Every word against every term by edit distance; context by splitting; all words that hit count as independent."""
+    low, best, n = (text or "").lower(), {}, 0
+    known = {}
+    for m in LETTERS.finditer(low):
+        w = m.group()
+        if w not in known:
+            known[w] = max([0.0] + [
+                t.exact if (w.startswith(t.text) if t.stem else w == t.text)
+                else t.fuzzy if not t.stem and t.fuzzy and abs(len(w) - len(t.text)) < 2 and edit_distance(t.text, w) == 1 else 0.0 for t in terms
+            ] + [t.fuzzy for t in terms if not t.stem and w == t.text])
+        p = known[w]
+        if not p:
+            continue
+        n += 1
+        left, right = low[max(0, m.start() - 80) : m.start()], low[m.end() : m.end() + 80]
+        opens = [c for c in left if c in "\"“”„«»‹›‘’"]
+        closes = [c for c in right if c in "\"“”„«»‹›‘’"]
+        quoted = bool(opens) and opens[-1] in "\"“„«‹‘" and bool(closes) and closes[0] in "\"”“»›’"
+        told = bool(toxicity.REPORTING & set(LETTERS.findall(left)[-6:]))
+        best[w] = max(best.get(w, 0.0), p * (toxicity.QUOTED if quoted else 1.0) * (toxicity.REPORTED if told else 1.0))
+    return (1 - (1 - toxicity.BASE) * math.prod(1 - p for p in best.values()), n) if n else (toxicity.BASE, 0)
+
+
+def test_toxicity_equals_the_plain_score(tables, edge_docs):
+    terms = toxicity.learn_lexicon(tables("documents"), tables("labels"))
+    terms += [toxicity.Term("villain", False, 0.95, 0.6), toxicity.Term("rasc", True, 0.8, 0.0), toxicity.Term("scoundrel", False, 0.5, 0.9)]
+    texts = ["a villain, villan and vilains", 'he said "rascal" and wrote: villain', "„Rascals“ scoundrl scoundrel", "rasc", "Ein Schuft"]
+    frame = tables("documents").select("doc_id", "text").union(edge_docs.select("doc_id", "text").filter("length(text) < 5000 or text is null"))
+    frame = frame.union(frame.sparkSession.createDataFrame([(10**6 + k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    want = sorted((str(r["doc_id"]), round(s, 9), n) for r in frame.collect() for s, n in [plain_toxicity(r["text"], terms)])
+    got = sorted((str(r["doc_id"]), round(r["score"], 9), r["n_hits"]) for r in toxicity.score(frame, terms).collect())
+    assert got == want
+    assert any(n for *_, n in want)
+
+
+def test_the_lexicon_has_no_ceiling(spark):
+    """All terms that pass are taken: many words, each of some toxic rows."""
+    rng = np.random.default_rng(3)
+    word = lambda k: "q" + "".join(chr(97 + int(d)) for d in f"{k:05d}") + "x"
+    docs = [(k, " ".join(word(int(j)) for j in rng.choice(40, 8, replace=False)) + f" u{k}") for k in range(300)]
+    docs += [(k, " ".join("".join(rng.choice(list("aeioulmnrst"), 6)) for _ in range(8))) for k in range(300, 900)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    y = spark.createDataFrame([(k, 1, int(k < 300)) for k in range(900)], "doc_id long, quality int, toxic int")
+    assert {word(k) for k in range(40)} <= {t.text for t in toxicity.learn_lexicon(d, y)}
+
+
 def test_quotation_lowers_the_score():
     scorer = toxicity.Scorer([toxicity.Term("villain", False, 0.95, 0.6)])
     meant, quoted, told, typo = (scorer(t)[0] for t in ("you are a villain", 'it reads "such a villain here" in print', "they wrote that villain", "you vilain"))
@@ -327,7 +477,7 @@ def test_pipeline_stages(spark, sf, tables):
 
 
 def test_pipeline_stages_against_plain_versions(spark, sf, tables, monkeypatch):
-    """Every stage after quality, on documents and template variants, keeps the ids that plain Python keeps."""
+    """Every stage, on documents and template variants, keeps the ids that plain Python keeps."""
     from test_text_operators import Reference, bpe_row, contaminated, queries
     from echoframe.session import materialize
     monkeypatch.setattr(ngram_join, "GROUP_CLASSES", 8)
@@ -341,9 +491,11 @@ def test_pipeline_stages_against_plain_versions(spark, sf, tables, monkeypatch):
         docs.append((10**6 + 2 * k + 1, " ".join(w)))
     items = [(r["item_id"], r["text"]) for r in tables("benchmark").collect()]
     stages = dict(corpus_pipeline.STAGES)
-    scorer = toxicity.Scorer(toxicity.learn_lexicon(tables("documents"), tables("labels")))
+    terms = toxicity.learn_lexicon(tables("documents"), tables("labels"))
+    weights = quality.train(tables("documents"), tables("labels"))
     plain = {
-        "toxicity": lambda docs: {i for i, t in docs if scorer(t or "")[0] < 0.5},
+        "quality": lambda docs: {i for i, t in docs if plain_quality(t, weights) >= 0.3},
+        "toxicity": lambda docs: {i for i, t in docs if plain_toxicity(t, terms)[0] < 0.5},
         "ngram_join": lambda docs: {i for i, _, c in joined(docs) if i == c},
         "decontamination": lambda docs: {i for i, _, n, _ in contaminated(docs, items) if not n},
     }

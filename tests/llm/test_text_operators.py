@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Reference
 
 from echoframe.llm import bpe, decontamination, html_extract, license_scan, queries, sharding, url_filter
@@ -100,6 +101,51 @@ def test_many_merges_equal_single_ones(words):
     assert [np.frombuffer(x, "<u4").tolist() for x in t.merge_many(words)] == [t.merge(w) for w in words]
 
 
+def thue_morse(n):
+    """Two different words of n letters on which polynomial hashes modulo a power of two agree."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_structured_words_do_not_clash(spark, reference, n):
+    one, other = thue_morse(n)
+    texts = [one, other, f"{one} {other}", f"{other} {one}"]
+    assert [ids.tolist() for ids in bpe.Encoder(bpe.Tokenizer.load(queries.tokenizer_path()), bpe.Lexicon(bpe.compile_lexicon({})))(texts)] == [
+        reference.encode(t, add_special_tokens=False).ids for t in texts
+    ]
+    items = spark.createDataFrame([(1, one), (2, f"x {other}")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {other} y"), (3, other)], "doc_id long, text string")
+    got = {r["doc_id"]: list(r["items"]) for r in decontamination.contamination(docs, items).collect()}
+    assert {k: [str(x) for x in v] for k, v in got.items()} == {1: ["1"], 2: ["2"], 3: []}
+
+
+@given(st.lists(st.text("ab é", max_size=30), max_size=5), st.integers(1, 5))
+@settings(max_examples=80, deadline=None)
+def test_words_of_one_hash_are_told_apart(texts, modulus):
+    """The encoder's result does not hang on its hash at all."""
+    plain, weak = bpe.Splitter(), bpe.Splitter()
+    full = weak.hasher
+    weak.hasher = lambda points, begin, end: full(points, begin, end) % np.uint64(modulus)
+    cut = lambda found: [[found[0][k] for k in found[1][a:b]] for a, b in zip(found[2][:-1], found[2][1:], strict=True)]
+    assert cut(weak(texts)) == cut(plain(texts))
+
+
+def test_few_bytes_remembered(edge_docs, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 2000)
+    got = rows(bpe.encode_decode(edge_docs, queries.tokenizer_path(), 3))
+    assert sorted(got, key=key) == sorted([bpe_row(reference, r["doc_id"], r["text"]) for r in edge_docs.collect()], key=key)
+
+
+def test_a_part_of_a_full_bin_makes_a_lexicon(spark):
+    words = [f"w{a}{b}" for a in "abcdefghijklmnop" for b in "qrstuvwxyz"]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    _, data = bpe.build_lexicon(docs, bpe.Tokenizer.load(queries.tokenizer_path()), 20)
+    assert sum(r >= 0 for r in bpe.Lexicon(data).rank([f" {w}".encode() for w in words]).tolist()) in (19, 20)
+
+
 # ---------------------------------------------------------------- licences
 
 def test_license_forms(spark):
@@ -191,6 +237,54 @@ def test_pages_keep_article_and_nothing_else(tables):
     assert len(got) == pages.count()
 
 
+def test_deep_pages_take_linear_time():
+    import time
+    begin = time.time()
+    text = html_extract.main_text("<div>some text here. " * 20_000)
+    assert text.count("some text here.") == 20_000
+    html_extract.main_text("<article>" + "<x>a" * 20_000 + "</p>" * 20_000)
+    html_extract.main_text("<svg>a " * 20_000 + "<p>b")
+    assert time.time() - begin < 10
+
+
+def distances(parent):
+    """Steps between all pairs of nodes, by walking up."""
+    def up(v):
+        way = [v]
+        while v:
+            v = parent[v]
+            way.append(v)
+        return way
+    return [[min(i + j for i, x in enumerate(up(a)) for j, y in enumerate(up(b)) if x == y) for b in range(len(parent))] for a in range(len(parent))]
+
+
+@given(st.lists(st.integers(0, 10**6), min_size=1, max_size=40), st.booleans())
+@settings(max_examples=60, deadline=None)
+def test_smoothing_is_a_sum_over_all_paths(draws, few):
+    parent = [0] + [d % (k + 1) for k, d in enumerate(draws)]
+    values = np.random.default_rng(len(parent)).random((len(parent), 2))
+    kept = html_extract.FEW_PATHS
+    html_extract.FEW_PATHS = 10**6 if few else 0
+    got = html_extract.smoothed(np.array(parent), values)
+    html_extract.FEW_PATHS = kept
+    weights = [[0.0 if d > html_extract.REACH else np.exp(-d * d / 2) for d in row] for row in distances(parent)]
+    assert np.allclose(got, np.array(weights) @ values)
+
+
+PROSE = "A long paragraph of the text, with words and signs, as they are. It goes on, and on."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><div id=top><a href=x>Home</a> <a href=y>News</a></div><div class=main><h1>A title</h1><p>{PROSE}</p><h2>Part two</h2><p>{PROSE}</p>"
+     "<ul><li>item one</li><li>item two</li></ul></div><div class=footer>imprint</div></body>", f"A title\n{PROSE}\nPart two\n{PROSE}\nitem one\nitem two"),
+    (f"<body><article><h1>T</h1><p>{PROSE}</p><h2>Sources</h2><ul><li><a href=x>Smith and Jones, The Title</a></li><li><a href=y>Another Author, Work</a></li></ul>"
+     "<ul><li><a>Tweet</a></li></ul></article></body>", f"T\n{PROSE}\nSources\nSmith and Jones, The Title\nAnother Author, Work"),
+    (f"<body><p>{PROSE}</p><h3>Between</h3><p>{PROSE}</p></body>", f"{PROSE}\nBetween\n{PROSE}"),
+])
+def test_short_blocks_of_the_text_stay(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>a"), (None, "u", "<p>a")], "page_id long, url string, html string")
     assert sorted(rows(html_extract.extract(pages)), key=key) == sorted([(1, None, "", 0), (None, "u", "a", 1), (None, "u", "a", 1)], key=key)
@@ -260,6 +354,29 @@ def test_shard_edges(spark, edge_docs, no_docs):
     assert rows(sharding.shard_documents(no_docs, new_table_path(spark, "map"))) == []
 
 
+def test_equal_rows_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STEP", 1000)
+    docs = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("same text").alias("text"))
+    got = check_shards(docs, sharding.shard_documents(docs, new_table_path(spark, "map")))
+    load = [sum(r["size"] for r in got if r["shard"] == s) for s in range(16)]
+    assert max(load) - min(load) <= 0.01 * sum(load) / 16
+
+
+def test_the_stored_map_is_edited(spark, tables):
+    """Every run loads the latest map, moves only what balance asks for, and stores the next version."""
+    path, docs = new_table_path(spark, "map"), tables("documents")
+    version = lambda v: {r["slot"]: r["shard"] for r in sharding.load_map(spark, path, v).collect()}
+    check_shards(docs, sharding.shard_documents(docs, path))
+    assert version(1) == sharding.first_map(16) and 0 < sum(version(1)[s] != version(2)[s] for s in version(1)) < 2000
+    first = check_shards(docs, sharding.shard_documents(docs, path))
+    assert version(3) == version(2)
+    more = check_shards(docs, sharding.shard_documents(docs, path, 17), 17)
+    used = {r["virtual_slot"] for r in first}
+    assert 16 in {version(4)[s] for s in used} and sum(version(4)[s] != version(3)[s] for s in used) < len(used) / 2
+    assert {r["virtual_slot"]: r["shard"] for r in more} == {s: version(4)[s] for s in used}
+    assert sharding.load_map(spark, path).first()["version"] == 4
+
+
 def test_map_versions_and_rebalance(spark, tables):
     path = new_table_path(spark, "map")
     docs = tables("documents")
