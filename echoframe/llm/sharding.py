@@ -147,15 +147,23 @@ def has_map(spark: SparkSession, path: str) -> bool:
 
 
 def edit_map(spark: SparkSession, path: str, sizes: list[tuple[int, int, int]], n_shards: int, n_slots: int = N_SLOTS) -> int:
-    """Rebalance the latest map under ``path`` for the present slot sizes and store the next version; returns its number.
+    """Edit the latest map under ``path`` for the present slot sizes and store the next version; returns its number.
 
-    Where there is no map yet, version 1 deals the slots out in turn.
+    Where there is no map yet, version 1 deals the slots out in turn, and as no
+    shard holds anything, the edit may move any slot. Later edits move few.
     """
-    if not has_map(spark, path):
+    fresh = not has_map(spark, path)
+    if fresh:
         save_map(spark, path, first_map(n_shards, n_slots), [], 1)
     latest = load_map(spark, path).select("version", "slot", "shard").collect()  # a row per slot
     version = latest[0]["version"] + 1
-    save_map(spark, path, rebalance({r["slot"]: r["shard"] for r in latest}, sizes, n_shards), sizes, version)
+    owner = {r["slot"]: r["shard"] for r in latest}
+    if fresh:
+        best = assign(sizes, n_shards, n_slots)
+        new = owner | {slot: best[slot] for slot, _, _ in sizes}
+    else:
+        new = rebalance(owner, sizes, n_shards)
+    save_map(spark, path, new, sizes, version)
     return version
 
 

@@ -367,9 +367,9 @@ def test_the_stored_map_is_edited(spark, tables):
     path, docs = new_table_path(spark, "map"), tables("documents")
     version = lambda v: {r["slot"]: r["shard"] for r in sharding.load_map(spark, path, v).collect()}
     check_shards(docs, sharding.shard_documents(docs, path))
-    assert version(1) == sharding.first_map(16) and 0 < sum(version(1)[s] != version(2)[s] for s in version(1)) < 2000
+    assert version(1) == sharding.first_map(16) and version(1) != version(2)
     first = check_shards(docs, sharding.shard_documents(docs, path))
-    assert version(3) == version(2)
+    assert sum(version(3)[s] != version(2)[s] for s in version(2)) < 20
     more = check_shards(docs, sharding.shard_documents(docs, path, 17), 17)
     used = {r["virtual_slot"] for r in first}
     assert 16 in {version(4)[s] for s in used} and sum(version(4)[s] != version(3)[s] for s in used) < len(used) / 2
