@@ -30,14 +30,15 @@ def group_statistics(rewards: DataFrame, group: str = "prompt_id") -> DataFrame:
     )
 
 
-def add_advantages(rewards: DataFrame, group: str = "prompt_id") -> DataFrame:
+def add_advantages(rewards: DataFrame, group: str = "prompt_id", stored: bool = False) -> DataFrame:
     """Add ``advantage``: reward against its group, in floored sample deviations.
 
     Statistics are aggregated and joined back instead of a window, so a group of
     any size is never gathered in one task. A group of one has no deviation and
-    is an error.
+    is an error. Statistics and rows both read the scores, which are written
+    first unless they are ``stored`` already.
     """
-    rewards = materialize(rewards, "rewards")  # statistics and rows both need the scores
+    rewards = rewards if stored else materialize(rewards, "rewards")
     stats = group_statistics(rewards, group)
     single = F.raise_error(F.lit("group-relative advantages need at least two samples per group"))
     spread = F.greatest("std_reward", F.lit(C.ADVANTAGE_STD_FLOOR))
@@ -108,7 +109,7 @@ def grpo_report(
         "reward", F.coalesce(-F.col("mse"), F.lit(C.FAILED_EXTRACTION_REWARD))
     )
     terms = sequence_terms(tokens, kl, response_only)
-    full = add_advantages(materialize(scored, "scored-rollouts")).join(terms, "seq_id")
+    full = add_advantages(materialize(scored, "scored-rollouts"), stored=True).join(terms, "seq_id")
     return full.groupBy("step").agg(
         F.count(F.lit(1)).alias("n_rollouts"),
         F.avg("reward").alias("mean_reward"),
