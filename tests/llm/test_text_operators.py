@@ -365,15 +365,15 @@ def test_equal_rows_spread(spark, monkeypatch):
 def test_the_stored_map_is_edited(spark, tables):
     """Every run loads the latest map, moves only what balance asks for, and stores the next version."""
     path, docs = new_table_path(spark, "map"), tables("documents")
-    version = lambda v: {r["slot"]: r["shard"] for r in sharding.load_map(spark, path, v).collect()}
     check_shards(docs, sharding.shard_documents(docs, path))
-    assert version(1) == sharding.first_map(16) and version(1) != version(2)
     first = check_shards(docs, sharding.shard_documents(docs, path))
-    assert sum(version(3)[s] != version(2)[s] for s in version(2)) < 20
     more = check_shards(docs, sharding.shard_documents(docs, path, 17), 17)
+    one, two, three, four = ({r["slot"]: r["shard"] for r in sharding.load_map(spark, path, v).collect()} for v in (1, 2, 3, 4))
+    assert one == sharding.first_map(16) and one != two
+    assert sum(three[s] != two[s] for s in two) < 20
     used = {r["virtual_slot"] for r in first}
-    assert 16 in {version(4)[s] for s in used} and sum(version(4)[s] != version(3)[s] for s in used) < len(used) / 2
-    assert {r["virtual_slot"]: r["shard"] for r in more} == {s: version(4)[s] for s in used}
+    assert 16 in {four[s] for s in used} and sum(four[s] != three[s] for s in used) < len(used) / 2
+    assert {r["virtual_slot"]: r["shard"] for r in more} == {s: four[s] for s in used}
     assert sharding.load_map(spark, path).first()["version"] == 4
 
 
