@@ -312,13 +312,14 @@ def l7(spark, sf):
     SELECT doc_id, CASE WHEN rank < floor(d * 0.25) THEN 'av' WHEN rank < 2 * floor(d * 0.25) THEN 'ar' ELSE 'rl' END AS bucket
     FROM ranked, needs WHERE rank < d"""))
 def st1(spark, sf):
-    """The documents file streamed into a pool, twice with the same checkpoint."""
+    """The documents, one file or a folder of them, streamed into a pool, twice with the same checkpoint."""
     docs = table(spark, sf, "documents")
     needs = bucket_needs(docs.count() // 2)
     pool, checkpoint = new_table_path(spark, "stream-pool"), new_table_path(spark, "stream-checkpoint")
+    source = f"{sf}/{{documents.parquet}}"  # a pattern: a plain path of a stream has to be a folder
     for _ in range(2):
         jobs.ingest_corpus(
-            spark, sf, docs.schema, pool, needs, checkpoint, corpus="documents", glob="documents.parquet", positions_per_doc=1
+            spark, source, docs.schema, pool, needs, checkpoint, corpus="documents", positions_per_doc=1
         ).awaitTermination()
     return PL.pool_positions(spark, pool).select("doc_id", "bucket")
 

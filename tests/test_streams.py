@@ -148,3 +148,17 @@ def test_ingest_reads_no_row_of_its_own_pool(spark, sf, tmp_path):
     later = commits.read_committed(spark, pool, "positions", PL.POOL, batches=[last])
     assert later.select("doc_id").distinct().count() == sum(needs.values()) - sum(first.values())
     assert later.filter(F.split("doc_id", ":")[2].cast("long") < 60).count() == 0
+
+
+def test_ingest_reads_a_folder_of_files_like_one_file(spark, tmp_path):
+    from echoframe.plans import registry
+
+    docs = spark.range(40).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), i + F.col("id")))).alias("text")
+    )
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one-file"))
+    os.mkdir(tmp_path / "one")
+    os.rename(glob.glob(str(tmp_path / "one-file" / "*.parquet"))[0], tmp_path / "one" / "documents.parquet")
+    many, one = (sorted(map(tuple, registry.PLANS["st1_ingest_stream"](spark, str(tmp_path / n)).collect())) for n in ("many", "one"))
+    assert len(many) == 20 and many == one
