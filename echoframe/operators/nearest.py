@@ -3,16 +3,19 @@
 An inverted file with bounds: labels go to the cell of their nearest pivot and,
 in it, to a ring by their angle to the pivot. Angles obey the triangle
 inequality, so the angles of a query to the pivots bound its angle to every
-ring from below. A query opens the rings of the lowest bounds first; after
-every round its worst answer so far rules out the rings that cannot hold a
-better one. Three rounds at most: a few rings, some more, and all that are left
-in reach. What is ruled out is ruled out by a bound, so the answers are those
-of a comparison with every label, with ties by key.
-
-Pivots and ring sizes are fitted to the table (a square root of it, bounded in
-bytes) and change the work only. Rings and the queries that open them are dealt
-out in parts of bounded size, and labels of equal vectors are one label as far
-as answers can tell, so neither a crowded ring nor a popular one meets in one task.
+ring from below. Rings are packed into parts of bounded size, queries too, and
+each pair of parts meets in one task, which sends on the best of its labels.
+In it a few queries of one neighbourhood at a time open the rings of the lowest
+bounds first; after every round their worst answers so far rule out the rings
+that cannot hold a better one: a few rings, some more, and all that are left in
+reach. What is ruled out is ruled out by a bound, so the answers are those of a
+comparison with every label, with ties by key.
+
+Where no bound holds, as in many dimensions, this is a comparison of all pairs:
+a row is sent once for each part of the other side, memory is that of two parts
+and the work grows with the product of both numbers. Pivots and ring sizes are
+fitted to the table (a square root of it, bounded in bytes) and change the work
+only. Labels of equal vectors are one label as far as answers can tell.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ from echoframe.session import materialize
 ROUNDS = (4, 32, None)
 RING = 0.02
 PIVOT_BYTES = 8 << 20
-#: Labels of a part of a ring, and queries that meet them at once.
-RING_ROWS, QUERY_ROWS, BATCH_ROWS = 8192, 4096, 512
+#: Labels of a part, queries of a part, and queries compared at once.
+RING_ROWS, QUERY_ROWS, BATCH_ROWS = 1 << 16, 1 << 16, 256
+#: Bytes of the vectors of a part, and numbers in a table of angles or similarities.
+PART_BYTES, CELLS = 32 << 20, 2 << 20
 DIGITS = 9
 #: Far above what arithmetic and the rounding of similarities can move an angle by.
 SLACK = 1e-6
@@ -93,8 +98,9 @@ def _rings_of(labels: DataFrame, n: int, width: int) -> tuple[DataFrame, Rings,
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(k, BATCH_ROWS)
+            rows = max(1, min(BATCH_ROWS, CELLS // len(pivots)))
+            for k in range(0, batch.num_rows, rows):
+                part = batch.slice(k, rows)
                 angle = sent.value.angles(_unit(_rows(part.column("v"))))
                 cell = angle.argmin(axis=1)
                 own = angle[np.arange(len(cell)), cell]
@@ -138,67 +144,97 @@ def nearest_labels(vectors: DataFrame, labelled: DataFrame, keys: Sequence[str],
     return asked.join(found.join(names, "lid").drop("lid"), "qid").drop("qid")
 
 
+def _parts(sizes: Sequence[int], most: int) -> list[tuple[int, int]]:
+    """Per ring its first part and the number of its parts: small rings share one, large ones are split."""
+    out, part, held = [], 0, 0
+    for size in sizes:
+        if held and held + size > most:
+            part, held = part + 1, 0
+        own = max(1, -(-size // most))
+        out.append((part, own))
+        part, held = (part + own, 0) if own > 1 else (part, held + size)
+    return out
+
+
 def _nearest(queries: DataFrame, labels: DataFrame, n: int, width: int, samples: int) -> DataFrame:
     """``qid, similarity, lid, sample_id`` of vectors of one length."""
     spark = queries.sparkSession
     placed, rings, sizes = _rings_of(labels, n, width)
+    room = max(1, PART_BYTES // (8 * width))
+    parts = _parts(sizes, min(RING_ROWS, room))
+    total = max(first + own for first, own in parts)
+    asked = queries.count()
+    shares = max(-(-asked // min(QUERY_ROWS, room)), min(-(-2 * spark.sparkContext.defaultParallelism // total), -(-asked // BATCH_ROWS)), 1)
+    found = _compare(queries, placed, rings, parts, total, shares, samples)
+    return materialize(_best(found, samples), "nearest-best")
+
+
+def _compare(queries: DataFrame, placed: DataFrame, rings: Rings, parts: list[tuple[int, int]], total: int, shares: int, samples: int) -> DataFrame:
+    """``qid, similarity, lid``: the best of every part of the labels for each query."""
+    spark = queries.sparkSession
     sent = spark.sparkContext.broadcast(rings)
-    label_parts = spark.createDataFrame([(k, -(-size // RING_ROWS)) for k, size in enumerate(sizes)], "ring long, label_parts long")
-    best, begin = None, 0
-    for end in ROUNDS:
-
-        def opened(batches: Iterator[pa.RecordBatch], begin: int = begin, end: int | None = end) -> Iterator[pa.RecordBatch]:
-            rings = sent.value
-            for batch in batches:
-                for k in range(0, batch.num_rows, BATCH_ROWS):
-                    part = batch.slice(k, BATCH_ROWS)
-                    bounds = rings.bounds(_unit(_rows(part.column("v"))))
-                    order = np.argsort(bounds, axis=1, kind="stable")[:, begin:end]
-                    reach = np.arccos(np.clip(np.asarray(part.column("worst")) - 10.0**-DIGITS * 2, -1.0, 1.0)) + SLACK
-                    i, j = np.nonzero(np.take_along_axis(bounds, order, axis=1) <= reach[:, None])
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("qid").take(pa.array(i)), part.column("v").take(pa.array(i)), pa.array(order[i, j])], names=["qid", "v", "ring"]
-                    )
-
-        if best is None:
-            known = queries.withColumn("worst", F.lit(-1.0))
-        else:
-            worst = best.filter(F.col("sample_id") == samples - 1).select("qid", F.col("similarity").alias("worst"))
-            known = queries.join(worst, "qid", "left").withColumn("worst", F.coalesce("worst", F.lit(-1.0)))
-        opens = materialize(known.select("qid", "v", "worst").mapInArrow(opened, "qid long, v array<double>, ring long"), "nearest-opens")
-        found = _compare(opens, placed, label_parts, samples)
-        best = materialize(_best(found if best is None else found.union(best.drop("sample_id")), samples), "nearest-best")
-        begin = end or 0
-        if end is not None and end >= len(sizes):
-            break
-    return best
-
-
-def _compare(opens: DataFrame, placed: DataFrame, label_parts: DataFrame, samples: int) -> DataFrame:
-    """``qid, similarity, lid``: the best of every part of a ring for each query that opened it."""
-    asked = opens.groupBy("ring").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("query_parts"))
-    parts = asked.join(F.broadcast(label_parts), "ring")  # a row per ring
-    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    q = opens.join(F.broadcast(parts), "ring").withColumn("b", F.pmod(F.xxhash64("qid"), F.col("query_parts"))).withColumn("a", numbers("label_parts"))
-    m = placed.join(F.broadcast(parts), "ring").withColumn("a", F.pmod(F.xxhash64("lid"), F.col("label_parts"))).withColumn("b", numbers("query_parts"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    places = spark.createDataFrame([(k, *p) for k, p in enumerate(parts)], "ring long, first long, own long")
+    q = queries.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(shares).cast("long"))).withColumn("a", numbers(total))
+    m = placed.join(F.broadcast(places), "ring").withColumn("a", F.col("first") + F.pmod(F.xxhash64("lid"), F.col("own"))).withColumn("b", numbers(shares))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"qid": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64()), "lid": pa.array([], pa.int64())})
         if not len(left) or not len(right):
-            return none
-        right = right.sort_by("lid")
+            return pa.table({"qid": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64()), "lid": pa.array([], pa.int64())})
+        right = right.sort_by([("ring", "ascending"), ("lid", "ascending")])
+        own, begin = np.unique(np.asarray(right.column("ring")), return_index=True)  # rings in this part and where they begin
+        end = np.append(begin[1:], len(right))
+        here = Rings(sent.value.pivots, *(getattr(sent.value, c)[own] for c in ("cell", "low", "high")))
         lid, qid = np.asarray(right.column("lid")), np.asarray(left.column("qid"))
         x, y = _rows(left.column("v").combine_chunks()), _rows(right.column("v").combine_chunks())
+        rows = max(1, min(BATCH_ROWS, CELLS // max(len(own), len(here.pivots))))
+        near = np.concatenate([here.angles(_unit(x[k : k + rows])).argmin(axis=1) for k in range(0, len(x), rows)])
+        order = np.argsort(near, kind="stable")
         out = []
-        for k in range(0, len(x), BATCH_ROWS):
-            s = similarities(x[k : k + BATCH_ROWS], y)
-            at = np.argsort(-s, axis=1, kind="stable")[:, :samples]  # labels stand by id: ties stay in order
-            out.append((np.repeat(qid[k : k + BATCH_ROWS], at.shape[1]), np.take_along_axis(s, at, axis=1).ravel(), lid[at].ravel()))
+        for k in range(0, len(x), rows):
+            at = order[k : k + rows]
+            s, names = _opened(x[at], y, lid, begin, end, here.bounds(_unit(x[at])).min(axis=0), samples)
+            some = names >= 0
+            out.append((np.repeat(qid[at], some.sum(axis=1)), s[some], names[some]))
         qs, ss, ls = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"qid": qs, "similarity": ss, "lid": ls})
 
-    by = ("ring", "a", "b")
-    return q.select(*by, "qid", "v").groupBy(*by).cogroup(m.select(*by, "lid", "v").groupBy(*by)).applyInArrow(best, "qid long, similarity double, lid long")
+    by = ("a", "b")
+    return q.select(*by, "qid", "v").groupBy(*by).cogroup(m.select(*by, "lid", "ring", "v").groupBy(*by)).applyInArrow(best, "qid long, similarity double, lid long")
+
+
+def _opened(
+    q: np.ndarray, y: np.ndarray, lid: np.ndarray, begin: np.ndarray, end: np.ndarray, bounds: np.ndarray, samples: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Best similarities of some queries among the labels of rings, with the labels' numbers; -1 where there are too few."""
+    top, names = np.full((len(q), samples), -np.inf), np.full((len(q), samples), -1, np.int64)
+    rising, opened = np.argsort(bounds, kind="stable"), 0
+    tile = max(1, CELLS // len(q))
+    for stop in ROUNDS:
+        chosen = rising[opened:stop]
+        worst = top[:, -1].min()
+        chosen = chosen[bounds[chosen] <= np.arccos(np.clip(worst - 10.0**-DIGITS * 2, -1.0, 1.0)) + SLACK]
+        opened = len(rising) if stop is None else min(stop, len(rising))
+        if not len(chosen):
+            continue
+        chosen = np.sort(chosen)
+        sizes = end[chosen] - begin[chosen]
+        rows = np.repeat(begin[chosen] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        for k in range(0, len(rows), tile):
+            some = rows[k : k + tile]
+            s = similarities(q, y[some])
+            # of this tile only what is as good as the last place so far, or as its own last place
+            floor = top[:, -1]
+            if s.shape[1] > samples:
+                floor = np.maximum(floor, np.partition(s, s.shape[1] - samples, axis=1)[:, -samples])
+            i, j = np.nonzero(s >= floor[:, None])
+            i = np.concatenate([np.repeat(np.arange(len(q)), samples), i])
+            value, name = np.concatenate([top.ravel(), s[i[top.size :], j]]), np.concatenate([names.ravel(), lid[some][j]])
+            by = np.lexsort((np.where(name < 0, np.iinfo(np.int64).max, name), -value, i))
+            place = np.arange(len(by)) - np.searchsorted(i[by], i[by], side="left")
+            kept = by[place < samples]
+            top, names = value[kept].reshape(top.shape), name[kept].reshape(top.shape)
+    return top, names
 
 
 def verbalise_nearest(

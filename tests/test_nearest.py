@@ -84,3 +84,14 @@ def test_bounds_hold():
     queries = N._unit(rng.normal(size=(50, 4)))
     true = np.arccos(np.clip(queries @ unit.T, -1, 1))
     assert (rings.bounds(queries)[:, member] <= true + N.SLACK).all()
+
+
+def test_parts_are_bounded_and_hold_every_ring():
+    """Many small rings share a part, so what is sent does not grow with their number; a large ring is split."""
+    sizes = [3] * 5000 + [40] + [1, 9, 10]
+    parts = N._parts(sizes, 10)
+    held = {}
+    for size, (first, own) in zip(sizes, parts, strict=True):
+        for k in range(own):
+            held[first + k] = held.get(first + k, 0) + -(-size // own)
+    assert max(held.values()) <= 10 and len(held) < 1700 and sorted(held) == list(range(len(held)))
