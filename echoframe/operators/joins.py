@@ -30,10 +30,10 @@ def key_report(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS) ->
 
 
 def key_difference(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The differing keys themselves, with the ``side`` that has them."""
-    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
-    missing = a.exceptAll(b).withColumn("side", F.lit("missing"))
-    return missing.unionByName(b.exceptAll(a).withColumn("side", F.lit("extra")))
+    """The differing keys themselves, with the ``side`` that has them; one aggregation over the keys of both, each side read once."""
+    sides = left.select(*keys, F.lit("missing").alias("side")).unionByName(right.select(*keys, F.lit("extra").alias("side")))
+    per_key = sides.groupBy(*keys).agg(F.min("side").alias("side"), F.max("side").alias("other"))
+    return per_key.filter(F.col("side") == F.col("other")).select(*keys, "side")
 
 
 def check_keys(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, strict: bool = True) -> dict[str, int]:

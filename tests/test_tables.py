@@ -125,3 +125,14 @@ def test_window_is_pushed_into_the_scan(spark, sf):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(doc_id,5)" in plan and "LessThan(doc_id,15)" in plan
     assert "lang" not in plan
+
+
+def test_key_difference_is_one_aggregation_of_both_sides(spark):
+    kind = "doc_id string, n_raw_tokens bigint"
+    left = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), (None, 3), (None, None)], kind)
+    right = spark.createDataFrame([("a", 1), ("c", 2), ("c", 2), (None, None)], kind)
+    out = J.key_difference(left, right)
+    assert sorted(map(str, out.collect())) == sorted(
+        ["Row(doc_id='b', n_raw_tokens=2, side='missing')", "Row(doc_id=None, n_raw_tokens=3, side='missing')", "Row(doc_id='c', n_raw_tokens=2, side='extra')"]
+    )
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
