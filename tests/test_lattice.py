@@ -4,6 +4,7 @@ import base64
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from echoframe.operators import lattice as LT
 from echoframe.operators.positions import extract_positions, with_tokens
@@ -66,3 +67,13 @@ def test_as_a_plug_in(spark, tmp_path):
     for r in rows:
         assert r["detokenized_text_truncated"] == "".join(got[int(r["doc_id"])][: r["n_raw_tokens"]])
     assert rows
+
+
+def test_long_batches_are_cut_a_few_texts_at_a_time(spark):
+    """More texts than are cut at once, with null and empty ones among them, in one Arrow batch."""
+    texts = [None if k % 7 == 0 else "" if k % 11 == 0 else f"abc ab{k} " * (k % 5) for k in range(LT.TEXTS * 2 + 3)]
+    tokenizer = LT.lattice_tokenizer(spark, LT.rank_costs(["a", "b", "ab", "abc", " "]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r["id"]: r["t"] for r in rows.select("id", tokenizer(F.col("text")).alias("t")).collect()}
+    assert len(got) == len(texts)
+    assert all(got[k] is None if t is None else "".join(got[k]) == t for k, t in enumerate(texts))
