@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from echoframe.functions import constants as C
 from echoframe.functions import text as T
 from echoframe.operators.inference import Provider, complete
+from echoframe.operators.marks import cannot_match, may_match, sketch
 from echoframe.operators.positions import DataCheckError
 from echoframe.session import materialize
 from echoframe.sources.commits import commit, read_committed
@@ -19,8 +20,19 @@ TEXT = "detokenized_text_truncated"
 CACHED = "cached"
 
 
-def skip_finished(positions: DataFrame, *finished: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rows whose key is in none of the finished tables."""
+def skip_finished(positions: DataFrame, *finished: DataFrame, keys: Sequence[str] = KEYS, sketched: bool = False) -> DataFrame:
+    """Rows whose key is in none of the finished tables.
+
+    With ``sketched`` only rows whose key may be finished are moved, and they
+    are not sorted. It reads both sides twice; give it stored tables.
+    """
+    if sketched and finished:
+        done = finished[0].select(*keys)
+        for more in finished[1:]:
+            done = done.unionByName(more.select(*keys))
+        marks = sketch(done, keys)
+        open_ = may_match(positions, marks, keys).join(done.distinct().hint("shuffle_hash"), list(keys), "left_anti")
+        return cannot_match(positions, marks, keys).unionByName(open_)
     for done in finished:
         positions = positions.join(done.select(*keys), list(keys), "left_anti")
     return positions
@@ -36,6 +48,14 @@ def cache_lookup(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return texts.join(cache.select("text_sha256", F.col("explanation").alias("cached")), "text_sha256", "left")
 
 
+def _asked(prompts: DataFrame, provider: Provider | str, pattern: str, chunk_rows: int, keep: Sequence[str]) -> DataFrame:
+    """``keep``, ``raw``, ``status`` and ``extracted`` of ``keep, prompt, cached``; a cached row passes by the provider."""
+    cleaned = T.clean_list_markers(T.extract_answer("raw", pattern))
+    return complete(prompts, provider, "prompt", chunk_rows).select(
+        *keep, "raw", F.coalesce("status", F.lit(CACHED)).alias("status"), F.coalesce("cached", cleaned).alias("extracted")
+    )
+
+
 def attempt_labels(
     positions: DataFrame,
     provider: Provider | str = "offline",
@@ -57,14 +77,32 @@ def attempt_labels(
         "cached",
         F.when(F.col("cached").isNull(), T.instruction_prompt("text", template)).alias("prompt"),
     )
-    cleaned = T.clean_list_markers(T.extract_answer("raw", pattern))
-    asked = complete(prompts, provider, "prompt", chunk_rows).select(
-        "text_sha256",
-        "raw",
-        F.coalesce("status", F.lit(CACHED)).alias("status"),
-        F.coalesce("cached", cleaned).alias("extracted"),
-    )
-    return materialize(asked, "label-attempts")
+    return materialize(_asked(prompts, provider, pattern, chunk_rows, ["text_sha256"]), "label-attempts")
+
+
+def answer_rows(
+    positions: DataFrame,
+    provider: Provider | str = "offline",
+    template: str = C.INSTRUCTION_TEMPLATE,
+    pattern: str = C.ANALYSIS_PATTERN,
+    chunk_rows: int = C.CHUNK_ROWS,
+    text: bool = True,
+) -> DataFrame:
+    """Every row of stored ``positions`` with ``text_sha256, raw, status, extracted``, written once; without the text on request.
+
+    A text that comes once is asked where it lies and is not moved. Which texts
+    come again is counted over their hashes and sketched in a broadcast of fixed
+    size; only rows of these meet by text, so each text is still asked once. A
+    row that the sketch takes for one of them by chance goes their way.
+    """
+    keep = [c for c in positions.columns if text or c != TEXT] + ["text_sha256"]
+    hashed = positions.withColumns({"text_sha256": T.text_key(TEXT), "hash_": F.xxhash64(TEXT)})
+    marks = sketch(hashed.groupBy("hash_").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["hash_"])
+    alone, again = cannot_match(hashed, marks, ["hash_"]), may_match(hashed, marks, ["hash_"])
+    prompts = alone.select(*keep, F.lit(None).cast("string").alias("cached"), T.instruction_prompt(TEXT, template).alias("prompt"))
+    attempts = attempt_labels(again.select(*positions.columns), provider, None, template, pattern, chunk_rows)
+    shared = again.select(*keep).join(attempts, "text_sha256").select(*keep, "raw", "status", "extracted")
+    return materialize(_asked(prompts, provider, pattern, chunk_rows, keep).unionByName(shared), "label-rows")
 
 
 def attach_labels(
@@ -84,12 +122,14 @@ def attach_labels(
 
 def audit(positions: DataFrame, attempts: DataFrame, min_features: int = C.MIN_FEATURES) -> DataFrame:
     """One record per position that was sent to the provider, with the reason if it was dropped."""
-    reason = T.drop_reason("raw", "extracted", min_features)
-    tried = attempts.filter(F.col("status") != CACHED).select(
-        "text_sha256", "raw", "status", "extracted", reason.alias("drop_reason")
-    )
     keyed = positions.select(*KEYS, F.col(TEXT).alias("text"), T.text_key(TEXT).alias("text_sha256"))
-    return keyed.join(tried, "text_sha256").select(
+    return _records(keyed.join(attempts, "text_sha256"), min_features)
+
+
+def _records(tried: DataFrame, min_features: int) -> DataFrame:
+    """Audit records of rows ``doc_id, n_raw_tokens, text, raw, status, extracted``."""
+    reason = T.drop_reason("raw", "extracted", min_features)
+    return tried.filter(F.col("status") != CACHED).withColumn("drop_reason", reason).select(
         *KEYS, "text", "raw", "extracted", F.col("drop_reason").isNotNull().alias("dropped"), "drop_reason", "status"
     )
 
@@ -110,10 +150,22 @@ def check_some_kept(explained: DataFrame) -> None:
         raise DataCheckError("all rows were dropped: responses did not match, or had too few features")
 
 
-def label(positions: DataFrame, provider: Provider | str = "offline", cache: DataFrame | None = None, **options) -> DataFrame:
-    """Explained table in one call."""
+def label(
+    positions: DataFrame, provider: Provider | str = "offline", cache: DataFrame | None = None, stored: bool = False, text: bool = True, **options
+) -> DataFrame:
+    """Explained table in one call; without ``text`` it has the key of the text in its place.
+
+    Without a cache the positions are read several times and written first for
+    that; say so where they are ``stored`` already.
+    """
     min_features = options.pop("min_features", C.MIN_FEATURES)
-    return attach_labels(positions, attempt_labels(positions, provider, cache, **options), min_features)
+    columns = [c if text or c != TEXT else "text_sha256" for c in positions.columns]
+    if cache is None:
+        rows = answer_rows(positions if stored else materialize(positions, "to-label"), provider, text=text, **options)
+        kept = rows.filter(T.has_enough_features("extracted", min_features))
+        return kept.select(*columns, F.col("extracted").alias("api_explanation"))
+    explained = attach_labels(positions, attempt_labels(positions, provider, cache, **options), min_features)
+    return explained if text else explained.withColumn("text_sha256", T.text_key(TEXT)).select(*columns, "api_explanation")
 
 
 def label_into(
@@ -125,6 +177,7 @@ def label_into(
     slices: int = 1,
     retry_dropped: bool = False,
     require_kept: bool = True,
+    stored: bool = False,
     **options,
 ) -> dict[str, int]:
     """Resumable labelling into ``explained`` and ``audit`` under ``path``.
@@ -133,7 +186,8 @@ def label_into(
     skipped, new rows are not. Work is done in ``slices`` by text hash; the
     labels and the audit records of a slice are one committed batch
     (``sources.commits``), so a crash loses at most one slice, whole, and copies
-    of a text stay together. ``labelled`` and ``audited`` read what is committed.
+    of a text stay together. Of ``stored`` positions only those are moved that
+    may be finished or share their text. ``labelled`` and ``audited`` read what is committed.
     A job that drops everything and finds no earlier label raises, its audit
     records kept, unless ``require_kept`` is off.
     """
@@ -144,16 +198,20 @@ def label_into(
         if not retry_dropped:
             records = audited(spark, path)
             finished.append(None if records is None else records.filter("dropped"))
-        todo = skip_finished(positions, *(t.select(*KEYS) for t in finished if t is not None))
-        if slices > 1:
-            todo = todo.filter(F.pmod(F.xxhash64(TEXT), F.lit(slices)) == part)
-        todo = materialize(todo, "label-todo")
+        own = positions if slices == 1 else positions.filter(F.pmod(F.xxhash64(TEXT), F.lit(slices)) == part)
+        todo = materialize(skip_finished(own, *(t.select(*KEYS) for t in finished if t is not None), sketched=stored), "label-todo")
         if todo.limit(1).count() == 0:
             continue
-        attempts = attempt_labels(todo, provider, cache, **options)
-        records = materialize(audit(todo, attempts, min_features), "label-audit")
+        if cache is None:
+            rows = answer_rows(todo, provider, **options)
+            explained = rows.filter(T.has_enough_features("extracted", min_features)).select(*todo.columns, F.col("extracted").alias("api_explanation"))
+            records = _records(rows.withColumnRenamed(TEXT, "text"), min_features)
+        else:
+            attempts = attempt_labels(todo, provider, cache, **options)
+            explained = attach_labels(todo, attempts, min_features)
+            records = materialize(audit(todo, attempts, min_features), "label-audit")
         dropped = records.filter("dropped").count()
-        record = commit(spark, path, {"explained": attach_labels(todo, attempts, min_features), "audit": records}, {"dropped": dropped})
+        record = commit(spark, path, {"explained": explained, "audit": records}, {"dropped": dropped})
         written["explained"] += record["rows"]["explained"]
         written["dropped"] += dropped
     if require_kept and written["dropped"] and not written["explained"]:

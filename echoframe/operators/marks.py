@@ -30,7 +30,16 @@ def sketch(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(word.alias("word_"), bits.alias("bits_")).groupBy("word_").agg(F.bit_or("bits_").alias("bits_"))
 
 
+def _joined(rows: DataFrame, marks: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    word, bits = _place([rows[k] for k in keys])
+    return rows.join(F.broadcast(marks), (word == F.col("word_")) & (bits.bitwiseAND(F.col("bits_")) == bits), how)
+
+
 def may_match(rows: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys may be in the sketch; the others are dropped where they are read."""
-    word, bits = _place([rows[k] for k in keys])
-    return rows.join(F.broadcast(marks), (word == F.col("word_")) & (bits.bitwiseAND(F.col("bits_")) == bits), "left_semi")
+    return _joined(rows, marks, keys, "left_semi")
+
+
+def cannot_match(rows: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The other rows: their keys are not in the set."""
+    return _joined(rows, marks, keys, "left_anti")

@@ -25,7 +25,7 @@ from echoframe.session import materialize, new_table_path
 from echoframe.sources import label_cache as LC
 from echoframe.sources import sidecar as SC
 from echoframe.sources import tables as TB
-from echoframe.sources.bucketed import write_bucketed
+from echoframe.sources.bucketed import buckets_for, write_bucketed
 from echoframe.sources.corpus import spread
 
 # ---- SQL building blocks -----------------------------------------------------------
@@ -118,13 +118,14 @@ def sql_labels(source: str = "positions", name: str = "explained") -> str:
 
 
 def explained(spark, sf, per_doc=C.POSITIONS_PER_DOC):
-    return L.label(materialize(inputs.positions(spark, sf, per_doc), "positions"))
+    """Explained rows with the key of their text in its place."""
+    return L.label(materialize(inputs.positions(spark, sf, per_doc), "positions"), stored=True, text=False)
 
 
 def explained_and_vectors(spark, sf, per_doc=C.POSITIONS_PER_DOC):
-    """Explained rows and vectors of one stored positions table."""
+    """Explained rows, with the key of their text in its place, and vectors of one stored positions table."""
     rows = materialize(inputs.positions(spark, sf, per_doc), "positions")
-    return L.label(rows), I.encode(rows)
+    return L.label(rows, stored=True, text=False), I.encode(rows)
 
 
 SQL_EXPLAINED = (*SQL_POSITIONS, sql_labels())
@@ -405,9 +406,7 @@ def u2_lattice(spark, sf):
 @query("l2_label", with_ctes(*SQL_EXPLAINED, select="""
     SELECT doc_id, n_raw_tokens, sha256(detokenized_text_truncated) AS text_sha256, api_explanation FROM explained"""))
 def l2(spark, sf):
-    return explained(spark, sf).select(
-        "doc_id", "n_raw_tokens", F.sha2("detokenized_text_truncated", 256).alias("text_sha256"), "api_explanation"
-    )
+    return explained(spark, sf).select("doc_id", "n_raw_tokens", "text_sha256", "api_explanation")
 
 
 SQL_HALF_CACHE = (*SQL_EXPLAINED, """
@@ -417,9 +416,13 @@ cache AS (
 )""")
 
 
+def half_explained(spark, sf):
+    return explained(spark, sf).filter("n_raw_tokens % 2 = 0")
+
+
 def half_cache(spark, sf):
     """Cache built from the explained rows at even positions."""
-    return LC.merge_caches([LC.cache_from_explained(explained(spark, sf).filter("n_raw_tokens % 2 = 0"))])
+    return LC.merge_caches([LC.cache_from_explained(half_explained(spark, sf))])
 
 
 @query("j3_cache_lookup", with_ctes(*SQL_HALF_CACHE, select="""
@@ -436,7 +439,9 @@ def j3(spark, sf):
     FROM (SELECT DISTINCT sha256(detokenized_text_truncated) AS text_sha256 FROM positions) t LEFT JOIN cache c USING (text_sha256)"""))
 def j3_bucketed(spark, sf):
     """The cache stored in buckets by key; only the texts to look up are dealt out."""
-    cache = write_bucketed(half_cache(spark, sf), new_table_path(spark, "bucketed-cache"), ["text_sha256"], 8)
+    half = half_explained(spark, sf)
+    cache = LC.merge_caches([LC.cache_from_explained(half)])
+    cache = write_bucketed(cache, new_table_path(spark, "bucketed-cache"), ["text_sha256"], buckets_for(half.count()))
     texts = L.distinct_texts(inputs.positions(spark, sf)).select("text_sha256")
     return L.cache_lookup(texts, cache)
 
@@ -582,10 +587,10 @@ def s7(spark, sf):
 @query("s9_resumable_labels", with_ctes(*SQL_EXPLAINED, select="SELECT doc_id, n_raw_tokens, api_explanation FROM explained"))
 def s9(spark, sf):
     """A third of the rows first, then all in two slices: finished rows are not asked again."""
-    rows = inputs.positions(spark, sf)
+    rows = materialize(inputs.positions(spark, sf), "positions")
     path = new_table_path(spark, "labels")
-    L.label_into(spark, rows.filter("n_raw_tokens % 3 = 0"), path)
-    L.label_into(spark, rows, path, slices=2)
+    L.label_into(spark, rows.filter("n_raw_tokens % 3 = 0"), path, stored=True)
+    L.label_into(spark, rows, path, slices=2, stored=True)
     return L.labelled(spark, path).select("doc_id", "n_raw_tokens", "api_explanation")
 
 
@@ -650,9 +655,9 @@ def j1(spark, sf):
     SELECT doc_id, n_raw_tokens, api_explanation, bag FROM explained JOIN vectors USING (doc_id, n_raw_tokens)"""))
 def j1_bucketed(spark, sf):
     """Both sides stored in buckets by key: the join shuffles neither."""
-    sides = [
-        write_bucketed(t, new_table_path(spark, "bucketed-side"), L.KEYS, 8) for t in explained_and_vectors(spark, sf)
-    ]
+    rows, vectors = explained_and_vectors(spark, sf)
+    buckets = buckets_for(rows.count())
+    sides = [write_bucketed(t, new_table_path(spark, "bucketed-side"), L.KEYS, buckets) for t in (rows, vectors)]
     joined = J.join_vectors(*sides)
     return joined.select("doc_id", "n_raw_tokens", "api_explanation", bag_text("activation_vector").alias("bag"))
 
@@ -680,7 +685,7 @@ def o3(spark, sf):
 @query("l8_split_vectors", with_ctes(*SQL_POSITIONS, SQL_ENCODED, sql_ranked("positions"), SQL_SPLIT, select="""
     SELECT doc_id, n_raw_tokens, bag FROM vectors WHERE doc_id IN (SELECT doc_id FROM split_docs WHERE split = 'ar_sft')"""))
 def l8(spark, sf):
-    parts = split_documents(inputs.positions(spark, sf).select("doc_id"))
+    parts = split_documents(materialize(inputs.positions(spark, sf).select("doc_id").distinct(), "split-documents"))
     return J.split_vectors(encoded(spark, sf), parts, "ar_sft").select("doc_id", "n_raw_tokens", bag_text("activation_vector").alias("bag"))
 
 

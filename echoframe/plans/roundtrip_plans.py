@@ -74,7 +74,7 @@ def one_per_document(spark, sf):
     """Positions (one per document), their vectors and the codebook over their labels."""
     rows = materialize(inputs.positions(spark, sf, 1), "positions")
     vectors = materialize(I.encode(rows, D), "vectors")
-    labelled = materialize(J.join_vectors(L.label(rows), vectors, check=False), "labelled")
+    labelled = materialize(J.join_vectors(L.label(rows, stored=True, text=False), vectors, check=False), "labelled")
     book = I.fit_codebook(labelled, ["doc_id", "n_raw_tokens"], size=ANCHORS)
     return rows, vectors, book
 
@@ -104,7 +104,7 @@ def u4_nearest(spark, sf):
     """The three nearest of all labelled vectors, exactly."""
     rows = materialize(inputs.positions(spark, sf, 1), "positions")
     vectors = materialize(I.encode(rows, D), "vectors")
-    labelled = materialize(J.join_vectors(L.label(rows), vectors, check=False), "labelled")
+    labelled = materialize(J.join_vectors(L.label(rows, stored=True, text=False), vectors, check=False), "labelled")
     near = N.nearest_labels(vectors, labelled, ["doc_id", "n_raw_tokens"], samples=3)
     return near.select("doc_id", "n_raw_tokens", "sample_id", "near_doc_id", "near_n_raw_tokens", "similarity")
 
@@ -163,7 +163,7 @@ def u5_residual(spark, sf):
     """A fit over 2^18 features: what is left of the normal equations, per output."""
     rows = materialize(inputs.positions(spark, sf, 1), "positions")
     vectors = materialize(I.encode(rows, D), "vectors")
-    model = fit_ridge_sparse(J.join_vectors(L.label(rows), vectors, check=False), penalty=100.0, tolerance=1e-7)
+    model = fit_ridge_sparse(J.join_vectors(L.label(rows, stored=True, text=False), vectors, check=False), penalty=100.0, tolerance=1e-7)
     table_ = [(k, float(n), float(r), len(model.active)) for k, (n, r) in enumerate(zip(model.right_norms, model.residuals, strict=True))]
     out = spark.createDataFrame(table_, "dim bigint, right_norm double, residual double, n_features bigint")
     return out.select("dim", r6("right_norm").alias("right_norm"), r6("residual").alias("residual"), "n_features")

@@ -82,9 +82,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
     Cuts lineage so that a lost executor re-reads files rather than repeating
-    an expensive or non-repeatable step such as a labelling call.
+    an expensive or non-repeatable step such as a labelling call. Texts that
+    extend each other, as positions have them, shrink several times under zstd.
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,6 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from echoframe.sources.sidecar import read_json, write_json
 
 LAYOUT = "_buckets.json"
+#: Rows of a bucket, and the fewest buckets of a table.
+BUCKET_ROWS, FEWEST = 1 << 18, 8
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets of a table, so that one stays the same size as the table grows."""
+    return max(FEWEST, -(-rows // BUCKET_ROWS))
 
 
 def _name(path: str) -> str:

@@ -78,7 +78,7 @@ def commit(
     rows = {}
     for name, df in tables.items():
         at = f"{path}/{name}/{BATCH}={batch}"
-        df.write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, ())).parquet(at)
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*(partition_by or {}).get(name, ())).parquet(at)
         rows[name] = spark.read.schema(df.schema).parquet(at).count()  # from the footers
     record = {BATCH: batch, "rows": rows, "facts": {**last["facts"], **(facts or {})}}
     _publish(spark, path, record)

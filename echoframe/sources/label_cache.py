@@ -24,9 +24,9 @@ PASSED_PATTERN = r'^\s*([{}\[\]]*\s*,?|"(?![0-9a-f]{64}")[^"]*"\s*:.*)\s*$'
 
 
 def cache_from_explained(explained: DataFrame) -> DataFrame:
-    return explained.select(
-        text_key("detokenized_text_truncated").alias("text_sha256"), F.col("api_explanation").alias("explanation")
-    )
+    """Cache of an explained table, which has the texts or their keys."""
+    key = F.col("text_sha256") if "text_sha256" in explained.columns else text_key("detokenized_text_truncated")
+    return explained.select(key.alias("text_sha256"), F.col("api_explanation").alias("explanation"))
 
 
 def cache_from_json(spark: SparkSession, path: str) -> DataFrame:

@@ -169,3 +169,26 @@ def test_fingerprint_tag_survives_parquet_and_labelling(spark):
     assert tag == {VOC.META_FINGERPRINT: "f1", VOC.META_NAME: "blanks"}
     assert VOC.require_fingerprint(tag, "f1")
     assert VOC.table_fingerprint(positions(spark, "good 1")) == {}
+
+
+def test_only_texts_that_come_again_meet(spark, monkeypatch):
+    rows = positions(spark, *[f"good {k}" for k in range(50)], "good copy", "good copy", "thin", "none", "none", None)
+    met, attempt = [], L.attempt_labels
+
+    def noted(some, *rest):
+        met.extend(r[L.TEXT] for r in some.collect())
+        return attempt(some, *rest)
+
+    monkeypatch.setattr(L, "attempt_labels", noted)
+    out = L.answer_rows(rows.filter(f"{L.TEXT} is not null"), Scripted(), text=False)
+    assert sorted(met) == ["good copy", "good copy", "none", "none"]
+    assert L.TEXT not in out.columns and out.count() == 55
+    assert {r["status"]: r["count"] for r in out.groupBy("status").count().collect()} == {"ok": 53, "retries exhausted": 2}
+    assert L.label(rows.filter(f"{L.TEXT} is not null"), Scripted(), text=False).columns == ["doc_id", "n_raw_tokens", "text_sha256", "api_explanation"]
+
+
+def test_finished_rows_behind_a_sketch(spark):
+    rows = positions(spark, *[f"good {k}" for k in range(60)])
+    done = rows.filter("n_raw_tokens % 3 = 0"), rows.filter("n_raw_tokens % 5 = 0")
+    plain, sketched = (sorted(map(tuple, L.skip_finished(rows, *done, sketched=s).collect())) for s in (False, True))
+    assert sketched == plain and len(plain) == rows.filter("n_raw_tokens % 3 <> 0 and n_raw_tokens % 5 <> 0").count()

@@ -152,3 +152,8 @@ def test_many_shards_make_a_small_plan(spark):
     want = np.searchsorted(starts, np.arange(12_000), "right") - 1
     assert [got[k] for k in sorted(got)] == want.tolist()
     assert sharded._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") < 20
+
+
+def test_buckets_grow_with_the_table():
+    assert B.buckets_for(0) == B.buckets_for(1000) == 8
+    assert B.buckets_for(30_000_000) * B.BUCKET_ROWS >= 30_000_000
