@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from echoframe.functions import text as T
 from echoframe.operators import inference as I
 from echoframe.operators import ridge as R
 from echoframe.operators.positions import DataCheckError
@@ -48,3 +49,24 @@ def test_nothing_to_fit(spark):
     mixed = table(spark).union(spark.createDataFrame([("w1", [1.0])], "t string, v array<double>"))
     with pytest.raises(DataCheckError):
         R.fit_ridge_sparse(mixed.filter(F.col("activation_vector").isNotNull()))
+
+
+def test_words_that_come_together_cost_few_passes(spark, monkeypatch):
+    """Frequent words in nested phrases, rare ones beside them: the diagonal alone needs 101 steps here."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(400):
+        depth = int(rng.integers(1, 25))
+        said = [f"often{i}" for i in range(depth)] + [f"rare{k}", f"rare{k // 2}x"]
+        rows.append((" ".join(said), [float(depth**2) + rng.normal(), float(k % 7) + rng.normal()]))
+    labelled = spark.createDataFrame(rows, "api_explanation string, activation_vector array<double>").repartition(3)
+    monkeypatch.setattr(R, "AT_ONCE", 500, raising=False)  # rows and their pairs in many slices
+    sparse = R.fit_ridge_sparse(labelled, features=1 << 14, penalty=1.0, tolerance=1e-7)
+    assert (sparse.residuals <= 2e-7).all() and sparse.steps <= 30
+    x = np.zeros((400, len(sparse.active) + 1))
+    for i, r in enumerate(labelled.select(I.token_buckets(T.tokenize("api_explanation", None), 1 << 14).alias("b"), F.col("activation_vector").alias("y")).collect()):
+        np.add.at(x[i], np.searchsorted(sparse.active, r["b"]), 1.0)
+        rows[i] = r["y"]
+    x[:, -1], ridge = 1.0, np.eye(x.shape[1])
+    ridge[-1, -1] = 0.0
+    assert np.allclose(sparse.weights, np.linalg.solve(x.T @ x + ridge, x.T @ np.array(rows)), atol=1e-3)
