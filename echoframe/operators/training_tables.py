@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echoframe.functions import constants as C
@@ -91,17 +91,43 @@ def build_training(
     )
 
 
-def conversation_rows(messages: DataFrame) -> DataFrame:
+#: Parts of a conversation in which tokens are first summed.
+PARTS = 64
+
+
+def opening_turns(messages: DataFrame, max_length: int) -> DataFrame:
+    """Turns that begin within the first ``max_length`` rendered tokens of their conversation; all turns of a short one.
+
+    A rendered turn begins with a visible sign and ends in a blank, so tokens of
+    turns add up. They are summed in parts of a conversation first: what is too
+    late in its part is too late in the whole, and only the few turns where parts
+    pass the length meet. Texts are not moved for it.
+    """
+    one = F.array(F.struct("role", F.col("text").alias("content")))
+    sized = messages.filter("conv_id is not null and turn is not null").select(
+        "conv_id", "turn", F.size(T.tokenize(T.render_chat(one, add_generation_prompt=False), max_length)).alias("n")
+    )
+    earlier = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sized.groupBy("conv_id", F.pmod(F.xxhash64("turn"), F.lit(PARTS)).alias("part"), "turn").agg(F.sum("n").alias("n"))
+    reached = parts.withColumn("before", earlier("conv_id", "part")).filter(F.col("before") < max_length)
+    reached = reached.groupBy("conv_id", "turn").agg(F.sum("n").alias("n")).withColumn("upto", earlier("conv_id") + F.col("n"))
+    ends = reached.filter(F.col("upto") >= max_length).groupBy("conv_id").agg(F.min("turn").alias("end"))
+    return messages.join(ends, "conv_id", "left").filter(F.col("end").isNull() | (F.col("turn") <= F.col("end"))).drop("end")
+
+
+def conversation_rows(messages: DataFrame, max_length: int | None = None) -> DataFrame:
     """Prompt and response pairs: each assistant turn with all turns before it, the system message included.
 
-    A row is as long as its history, whatever the plan. Answers meet earlier
-    turns in a join that adaptive execution splits, and are gathered per answer,
-    so a very long conversation is not one task. An answer without earlier
-    turns has an empty prompt.
+    A row is as long as its history, whatever the plan; where only the first
+    ``max_length`` tokens are wanted, turns that begin behind them are left out.
+    Answers meet earlier turns in a join that adaptive execution splits, and are
+    gathered per answer, so a very long conversation is not one task. An answer
+    without earlier turns has an empty prompt.
     """
     answers = messages.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("response"))
     turn = F.struct(F.col("turn").alias("at"), "role", F.col("text").alias("content"))
-    before = messages.select(F.col("conv_id").alias("p_conv"), turn.alias("said"))
+    history = messages if max_length is None else opening_turns(messages, max_length)
+    before = history.select(F.col("conv_id").alias("p_conv"), turn.alias("said"))
     pairs = answers.join(before, (F.col("conv_id") == F.col("p_conv")) & (F.col("said.at") < F.col("turn")), "left")
     return pairs.groupBy("conv_id", "turn", "response").agg(F.array_sort(F.collect_list("said")).alias("said")).select(
         "conv_id",

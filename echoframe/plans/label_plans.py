@@ -302,7 +302,7 @@ chat AS (
 
 
 def chat_rows(spark, sf):
-    return TT.training_text(TT.conversation_rows(table(spark, sf, "conversations")))
+    return TT.training_text(TT.conversation_rows(table(spark, sf, "conversations"), C.MAX_LENGTH))
 
 
 @query("t25_conversation_text", with_ctes(SQL_PAIRS, select="""

@@ -115,3 +115,17 @@ def test_conversations_keep_their_history(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"), (1, 4, "assistant", "d"), (2, 0, "assistant", "alone")]
     got = {(r["conv_id"], r["turn"]): ([m["content"] for m in r["prompt"]], r["response"]) for r in TT.conversation_rows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {(1, 2): (["s", "a"], "b"), (1, 4): (["s", "a", "b", "c"], "d"), (2, 0): ([], "alone")}
+
+
+def test_histories_end_where_their_wanted_tokens_end(spark, monkeypatch):
+    turns = [(c, t, "assistant" if t % 2 else "user", f"w{t} " * (t % 4)) for c in (1, 2) for t in range(40 if c == 1 else 4)]
+    turns += [(1, 3, "user", "twice"), (1, None, "assistant", "x"), (None, 1, "assistant", "y"), (3, 0, "user", None), (3, 1, "assistant", "z")]
+    messages = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(TT, "PARTS", 3)
+
+    def texts(rows):
+        return sorted((tuple(r) for r in TT.training_text(rows, 30).select("conv_id", "turn", "response", "tokens", "prompt_len").collect()), key=str)
+
+    cut = TT.conversation_rows(messages, 30)
+    assert texts(cut) == texts(TT.conversation_rows(messages))
+    assert max(len(r["prompt"]) for r in cut.collect()) < 15

@@ -138,3 +138,12 @@ def test_whitespace_covers_what_python_strips():
     stripped = {chr(c) for c in range(0x110000) if not chr(c).strip()}
     assert set(C.WHITESPACE) == stripped
     assert re.match(C.WS, " ")
+
+
+def test_the_prompt_length_is_computed_once_per_row(spark):
+    df = spark.createDataFrame([("a b c", "a")], "whole string, prompt string")
+    labels = T.mask_prompt_labels(F.transform(T.tokenize("whole"), F.length).cast("array<bigint>"), F.size(T.tokenize("prompt")))
+    made = df.select(labels.alias("m"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 and not re.search(r"lambdafunction\(CASE WHEN[^<]*<[^)]*regexp_extract_all", plan)
+    assert made.first()["m"] == [-100, 2, 2]
