@@ -328,7 +328,7 @@ def st1(spark, sf):
     SELECT doc_id, n_raw_tokens, api_explanation FROM explained"""))
 def st2(spark, sf):
     """Positions arriving in two deliveries, the second repeating the first; each is labelled once."""
-    rows = inputs.positions(spark, sf, 2)
+    rows = materialize(inputs.positions(spark, sf, 2), "positions")
     source, target = new_table_path(spark, "arriving"), new_table_path(spark, "stream-labels")
     checkpoint = new_table_path(spark, "stream-checkpoint")
     for part in (rows.filter("n_raw_tokens % 2 = 0"), rows):

@@ -15,22 +15,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from echoframe.functions import constants as C
 from echoframe.functions import text as T
-from echoframe.operators.inference import Provider, provider_factory
-from echoframe.operators.labelling import CACHED, TEXT
+from echoframe.operators.inference import Provider
+from echoframe.operators.labelling import CACHED, KEYS, TEXT
 from echoframe.operators.pool import add_to_pool
 from echoframe.operators.positions import extract_positions
 from echoframe.session import materialize
 from echoframe.sources.commits import commit, last_commit
 from echoframe.sources.corpus import provenance_id
 from echoframe.sources.tables import POSITIONS
-from echoframe.streaming.labeller import answered
+from echoframe.streaming.labeller import answered, labels_of
 from echoframe.streaming.state import STATE_CONF, settings
 
 STREAMS = "streams"
+#: Most rows are new: counting those in the store would look up each key again before it is put.
+LABEL_CONF = {**STATE_CONF, "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
+#: A stream's own session plans without adaptive execution; what follows its state is an ordinary join, with hot texts to split.
+ADAPTIVE = {"spark.sql.adaptive.enabled": "true"}
 
 
-def _start(spark: SparkSession, rows: DataFrame, step, checkpoint: str, mode: str) -> StreamingQuery:  # noqa: ANN001
-    with settings(spark, STATE_CONF):
+def _start(spark: SparkSession, rows: DataFrame, step, checkpoint: str, mode: str, conf: dict[str, str] = STATE_CONF) -> StreamingQuery:  # noqa: ANN001
+    with settings(spark, conf):
         return (
             rows.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         )
@@ -101,25 +105,24 @@ def label_stream(
     between the commit and the checkpoint the texts of that one batch are asked again.
     """
     rows = spark.readStream.schema(POSITIONS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    folded = answered(rows, provider_factory(provider), cache, template, chunk_rows)
+    found = answered(rows, provider, cache, template, chunk_rows)
 
     def step(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        cleaned = T.clean_list_markers(T.extract_answer("raw", pattern))
-        stored = materialize(batch.withColumn("extracted", F.coalesce("cached", cleaned)), "label-batch")  # this also runs the state
+        stored = materialize(batch, "label-batch")  # this also runs the state
         facts = last_commit(session, target)["facts"]
         if _played(facts, checkpoint, number):
             return
-        each = stored.withColumn("key", F.explode(F.arrays_zip("doc_ids", "positions"))).withColumns(
-            {"doc_id": F.col("key.doc_ids"), "n_raw_tokens": F.col("key.positions")}
-        )
+        cleaned = F.coalesce("cached", T.clean_list_markers(T.extract_answer("raw", pattern)))
         reason = T.drop_reason("raw", "extracted", min_features)
-        explained = each.filter(T.has_enough_features("extracted", min_features)).select(
-            "doc_id", "n_raw_tokens", F.col("text").alias(TEXT), F.col("extracted").alias("api_explanation")
-        )
-        records = each.filter(F.col("status") != CACHED).withColumn("drop_reason", reason).select(
-            "doc_id", "n_raw_tokens", "text", "raw", "extracted", F.col("drop_reason").isNotNull().alias("dropped"), "drop_reason", "status"
-        )
-        commit(session, target, {"explained": explained, "audit": records}, _noted(facts, checkpoint, number))
-
-    return _start(spark, folded, step, checkpoint, "update")
+        with settings(session, ADAPTIVE):
+            each = materialize(labels_of(stored).withColumn("extracted", cleaned), "label-rows")
+            explained = each.filter(T.has_enough_features("extracted", min_features)).select(
+                *KEYS, F.col("text").alias(TEXT), F.col("extracted").alias("api_explanation")
+            )
+            records = each.filter(F.col("status") != CACHED).withColumn("drop_reason", reason).select(
+                *KEYS, "text", "raw", "extracted", F.col("drop_reason").isNotNull().alias("dropped"), "drop_reason", "status"
+            )
+            commit(session, target, {"explained": explained, "audit": records}, _noted(facts, checkpoint, number))
+
+    return _start(spark, found, step, checkpoint, "update", LABEL_CONF)

@@ -1,101 +1,62 @@
-"""Labels of texts as keyed state: every text is asked once, every position answered once, however often they come."""
+"""Labels of texts as keyed state: every text is asked once, every position answered once, however often they come.
+
+Three keyed states, all kept by Spark's own stateful operators: the positions
+that were answered, the texts that were asked, and what the provider said to
+each. Python runs for the fold of copies and the calls only, batch by batch; no
+row of a state passes through it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from echoframe.functions import constants as C
 from echoframe.functions import text as T
-from echoframe.operators.inference import Provider
-from echoframe.operators.labelling import CACHED, TEXT
+from echoframe.operators.inference import Provider, complete
+from echoframe.operators.labelling import CACHED, KEYS, TEXT
 
-FOLDED = "text_sha256 string, text string, cached string, doc_ids array<string>, positions array<bigint>"
-ANSWERED = "text_sha256 string, text string, raw string, status string, cached string, doc_ids array<string>, positions array<bigint>"
-#: Groups of texts whose states lie together. A group is one call of the processor a batch, so its new texts share a window of calls.
-GROUPS = 4096
+SAID = "struct<raw:string,status:string>"
 
 
 def fold_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text of an Arrow batch, with the keys of its positions: copies of a text meet as lists, not as texts."""
+    """One row per text of an Arrow batch: the copies of a frequent text are not moved."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        by_text = pa.Table.from_batches([batch]).group_by("text_sha256", use_threads=False).aggregate(
-            [("text", "first"), ("cached", "first"), ("doc_id", "list"), ("n_raw_tokens", "list")]
-        )
-        out = by_text.select(["text_sha256", "text_first", "cached_first", "doc_id_list", "n_raw_tokens_list"])
-        yield from out.rename_columns(["text_sha256", "text", "cached", "doc_ids", "positions"]).combine_chunks().to_batches()
+        by_text = pa.Table.from_batches([batch]).group_by("text_sha256", use_threads=False).aggregate([("text", "first")])
+        yield from by_text.select(["text_sha256", "text_first"]).rename_columns(["text_sha256", "text"]).combine_chunks().to_batches()
 
 
-class Labeller(StatefulProcessor):
-    """State per text: what the provider said. State per position: that it was answered.
+def answered(positions: DataFrame, provider: Provider | str, cache: DataFrame | None = None, template: str = C.INSTRUCTION_TEMPLATE,
+             chunk_rows: int = C.CHUNK_ROWS) -> DataFrame:
+    """A stream of positions as those not answered before, and the answers to their texts; ``labels_of`` brings both together.
 
-    A group sees its rows of a batch frame by frame; of a frame the texts
-    without a state are asked in chunks, in the order in which they came.
+    A row with ``said`` is the answer to a text, new or known; one without is a
+    position with its text. To be run in update mode.
     """
-
-    def __init__(self, make: Callable[[], Provider], template: str, chunk_rows: int) -> None:
-        self.make, self.template, self.chunk_rows = make, template, chunk_rows
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.labels = handle.getMapState("labels", "text_sha256 string", "raw string, status string")
-        self.answered = handle.getMapState("answered", "doc_id string, n_raw_tokens bigint", "yes boolean")
-        self.provider = self.make()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        for frame in rows:
-            fresh = [self._fresh(ids, at) for ids, at in zip(frame["doc_ids"], frame["positions"], strict=True)]
-            kept = frame.assign(doc_ids=[[d for d, _ in keys] for keys in fresh], positions=[[n for _, n in keys] for keys in fresh])
-            kept = kept[[bool(keys) for keys in fresh]]
-            if len(kept):
-                yield self._answer(kept)
-
-    def _fresh(self, ids: list[str], positions: list[int]) -> list[tuple[str, int]]:
-        keys = dict.fromkeys((d, int(n)) for d, n in zip(ids, positions, strict=True))
-        new = [k for k in keys if not self.answered.containsKey(k)]
-        for k in new:
-            self.answered.updateValue(k, (True,))
-        return new
-
-    def _answer(self, frame: pd.DataFrame) -> pd.DataFrame:
-        said: dict[str, tuple[str | None, str]] = {}
-        ask: dict[str, str] = {}
-        for text_key, text, cached in zip(frame["text_sha256"], frame["text"], frame["cached"], strict=True):
-            if cached is not None:
-                said[text_key] = (None, CACHED)
-            elif self.labels.containsKey((text_key,)):
-                said[text_key] = tuple(self.labels.getValue((text_key,)))
-            else:
-                ask[text_key] = self.template.replace("{text}", text)
-        names, prompts = list(ask), list(ask.values())
-        chunks = [prompts[k : k + self.chunk_rows] for k in range(0, len(prompts), self.chunk_rows)]
-        for name, outcome in zip(names, chain.from_iterable(self.provider.stream(chunks)), strict=True):
-            self.labels.updateValue((name,), outcome)
-            said[name] = outcome
-        outcomes = [said[k] for k in frame["text_sha256"]]
-        return frame.assign(raw=[r for r, _ in outcomes], status=[s for _, s in outcomes])[
-            ["text_sha256", "text", "raw", "status", "cached", "doc_ids", "positions"]
-        ]
-
-    def close(self) -> None:
-        pass
-
-
-def answered(positions: DataFrame, make: Callable[[], Provider], cache: DataFrame | None = None, template: str = C.INSTRUCTION_TEMPLATE,
-             chunk_rows: int = C.CHUNK_ROWS, groups: int = GROUPS) -> DataFrame:
-    """``ANSWERED`` rows of a stream of positions: those not answered before, folded by text."""
-    rows = positions.select("doc_id", "n_raw_tokens", F.col(TEXT).alias("text"), T.text_key(TEXT).alias("text_sha256"))
+    rows = positions.select(*KEYS, F.col(TEXT).alias("text"), T.text_key(TEXT).alias("text_sha256"))
     if cache is None:
         rows = rows.withColumn("cached", F.lit(None).cast("string"))
     else:
         rows = rows.join(cache.select("text_sha256", F.col("explanation").alias("cached")), "text_sha256", "left")
-    folded = rows.select("text_sha256", "text", "cached", "doc_id", "n_raw_tokens").mapInArrow(fold_copies, FOLDED)
-    grouped = folded.withColumn("group_", F.pmod(F.xxhash64("text_sha256"), F.lit(groups))).groupBy("group_")
-    return grouped.transformWithStateInPandas(Labeller(make, template, chunk_rows), ANSWERED, "Update", "None")
+    missed = rows.filter(F.col("cached").isNull())
+    texts = missed.select("text_sha256", "text").mapInArrow(fold_copies, "text_sha256 string, text string").dropDuplicates(["text_sha256"])
+    asked = complete(texts.select("text_sha256", T.instruction_prompt("text", template).alias("prompt")), provider, "prompt", chunk_rows)
+    met = missed.select("text_sha256", F.lit(None).cast(SAID).alias("said"))
+    known = met.unionByName(asked.select("text_sha256", F.struct("raw", "status").alias("said")))
+    labels = known.groupBy("text_sha256").agg(F.first("said", ignorenulls=True).alias("said"))
+    new = rows.dropDuplicates(["text_sha256", *KEYS])  # the key of the text too: a key that comes with two texts is two positions
+    return new.unionByName(labels, allowMissingColumns=True)
+
+
+def labels_of(stored: DataFrame) -> DataFrame:
+    """``doc_id, n_raw_tokens, text, raw, status, cached`` of a stored batch of ``answered``, a row per position."""
+    labels = stored.filter("said IS NOT NULL").select("text_sha256", "said.*")
+    missed = F.col("cached").isNull()
+    return stored.filter("said IS NULL").select("text_sha256", *KEYS, "text", "cached").join(labels, "text_sha256", "left").select(
+        *KEYS, "text", F.when(missed, F.col("raw")).alias("raw"), F.when(missed, F.col("status")).otherwise(CACHED).alias("status"), "cached"
+    )

@@ -132,6 +132,28 @@ def test_one_text_of_many_positions_is_one_call(spark, tmp_path):
     assert len(os.listdir(asked)) == 51
 
 
+def test_state_of_labels_is_kept_without_calls_from_python(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("source", "target", "checkpoint"))
+    deliveries = ((("d1", 1, "text a"), ("d2", 2, "text a"), ("d3", 3, "text b")), (("d1", 1, "text a"), ("d4", 4, "text a")))
+    for rows, positions, asked, met in zip(deliveries, (3, 1), (2, 0), (2, 1), strict=True):
+        deliver(spark, source, *rows)
+        stream = jobs.label_stream(spark, source, target, checkpoint)
+        stream.awaitTermination()
+        states = [(s["operatorName"], s["numRowsUpdated"]) for s in stream.lastProgress["stateOperators"]]
+        assert sorted(states) == sorted([("dedupe", positions), ("dedupe", asked), ("stateStoreSave", met)])
+
+
+def test_one_key_with_two_texts_is_two_positions(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("source", "target", "checkpoint"))
+    texts = spark.range(600).select(F.format_string("text number %d of these", "id").alias("detokenized_text_truncated"))
+    keyed = texts.select(F.lit(None).cast("string").alias("doc_id"), F.lit(7).cast("long").alias("n_raw_tokens"), "detokenized_text_truncated")
+    keyed.union(keyed).coalesce(1).write.parquet(source)  # among so many texts some hashes share their last 12 bits
+    jobs.label_stream(spark, source, target, checkpoint).awaitTermination()
+    rows = L.labelled(spark, target)
+    assert rows.count() == rows.select("detokenized_text_truncated").distinct().count() == 600
+    assert L.audited(spark, target).count() == 600
+
+
 def test_ingest_reads_no_row_of_its_own_pool(spark, sf, tmp_path):
     source, pool, checkpoint = (str(tmp_path / n) for n in ("source", "pool", "checkpoint"))
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
