@@ -16,9 +16,9 @@ import mmap
 import os
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -37,6 +37,10 @@ LEXICON_BYTES = 16 << 20
 BINS = 32
 #: Words longer than this are merged with a heap.
 LONG = 64
+#: Ids that are decoded at once.
+BLOCK = 1 << 16
+#: Signs of words that are merged at once.
+CELLS = 1 << 20
 #: Bytes of words and ids that a task remembers or counts before it starts anew, with what a dict needs for an entry.
 REMEMBERED_BYTES, ENTRY_BYTES = 64 << 20, 250
 #: Words of so many bytes are not in the lexicon.
@@ -60,6 +64,8 @@ class Tokenizer:
     special: dict[str, int] = field(default_factory=dict)
     #: The merges as sorted arrays, made on first use.
     tables: tuple | None = None
+    #: The bytes of all pieces, and begin and size of each, made on first use.
+    flat: tuple | None = None
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
@@ -146,42 +152,50 @@ class Tokenizer:
 
         low = 0
         for cap in (4, 8, 12, 16, 24, 40, LONG):
-            rows = np.flatnonzero((size > low) & (size <= cap)) if len(keys) else np.zeros(0, np.int64)
-            low = cap
-            if not len(rows):
-                continue
-            ids = np.full((len(rows), cap + 1), -1, np.int32)
-            ids[:, :cap][np.arange(cap) < size[rows, None]] = first[np.frombuffer(b"".join([words[r] for r in rows]), np.uint8)]
-            rank = ranks(ids[:, :-1], ids[:, 1:])
-            while len(rows):
-                at = rank.argmin(axis=1)
-                pick = np.arange(len(rows))
-                best = rank[pick, at]
-                done = best == none
-                if done.any():
-                    count = (ids[done] >= 0).sum(axis=1)
-                    for r, n, row in zip(rows[done].tolist(), count.tolist(), ids[done].astype("<u4"), strict=True):
-                        out[r] = row[:n].tobytes()
-                    rows, ids, rank, at, best = rows[~done], ids[~done], rank[~done], at[~done], best[~done]
-                    pick = np.arange(len(rows))
-                    if not len(rows):
-                        break
-                column = np.arange(cap)
-                ids[:, :-1] = np.where(column > at[:, None], ids[:, 1:], ids[:, :-1])
-                ids[:, -1] = -1
-                ids[pick, at] = joined[best]
-                rank[:, :-1] = np.where(column[:-1] >= at[:, None], rank[:, 1:], rank[:, :-1])
-                rank[:, -1] = none
-                rank[pick, np.minimum(at, cap - 1)] = ranks(ids[pick, at], ids[pick, at + 1])
-                left = at > 0
-                rank[pick[left], at[left] - 1] = ranks(ids[pick[left], at[left] - 1], ids[pick[left], at[left]])
+            within = np.flatnonzero((size > low) & (size <= cap)) if len(keys) else np.zeros(0, np.int64)
+            low, width = cap, cap + 2  # a column that is no sign on either side
+            step = CELLS // width
+            for rows in (within[k : k + step] for k in range(0, len(within), step)):
+                ids = np.full((len(rows), width), -1, np.int32)
+                ids[:, 1:-1][np.arange(cap) < size[rows, None]] = first[np.frombuffer(b"".join([words[r] for r in rows]), np.uint8)]
+                rank = np.full_like(ids, none)  # of the pair that begins at a sign
+                rank[:, :-1] = ranks(ids[:, :-1], ids[:, 1:])
+                sign, cost = ids.reshape(-1), rank.reshape(-1)
+                after = np.arange(1, ids.size + 1, dtype=np.int32)
+                before = after - 2
+                live = np.arange(len(rows))
+                while len(live):
+                    at = live * width + rank[live].argmin(axis=1)
+                    best = cost[at]
+                    more = best != none
+                    live, at, best = live[more], at[more], best[more]
+                    gone, left = after[at], before[at]
+                    right = after[gone]
+                    sign[at], sign[gone], cost[gone] = joined[best], -1, none
+                    after[at], before[right] = right, at
+                    cost[at], cost[left] = ranks(sign[at], sign[right]), ranks(sign[left], sign[at])
+                kept = ids >= 0
+                ends = np.cumsum(4 * kept.sum(axis=1)).tolist()
+                data = ids[kept].astype("<u4").tobytes()
+                for r, (a, b) in zip(rows.tolist(), pairwise([0, *ends]), strict=True):
+                    out[r] = data[a:b]
         for r in np.flatnonzero((size > LONG) | (size > 0) & (len(keys) == 0)).tolist():
             out[r] = np.array(self.merge(words[r]), "<u4").tobytes()
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        if self.flat is None:
+            size = np.array([len(p) for p in self.pieces], np.int64)
+            self.flat = np.frombuffer(b"".join(self.pieces), np.uint8), np.cumsum(size) - size, size
+        data, begin, size = self.flat
+        out = []
+        for k in range(0, len(ids), BLOCK):
+            part = ids[k : k + BLOCK]
+            n = size[part]
+            ends = np.cumsum(n)
+            out.append(data[np.arange(ends[-1]) + np.repeat(begin[part] - ends + n, n)].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -295,6 +309,18 @@ def character_classes() -> np.ndarray:
     return kinds
 
 
+def code_points(text: str) -> np.ndarray:
+    """The code points in one, two or four bytes each: as few as the greatest needs, since hashing and comparing take time by bytes."""
+    for encoding, kind in (("latin-1", "u1"), ("utf-16-le", "<u2"), ("utf-32-le", "<u4")):
+        try:
+            points = np.frombuffer(text.encode(encoding), np.uint8)
+        except UnicodeEncodeError:
+            continue
+        if len(points) == len(text) * np.dtype(kind).itemsize:  # no surrogate pairs
+            return points.view(kind)
+    return points.view("<u4")
+
+
 def unlike(points: np.ndarray, begin: np.ndarray, end: np.ndarray, example: np.ndarray) -> np.ndarray:
     """Words that differ from their example word, sign by sign. Words cover ``points`` without gaps."""
     size = end - begin
@@ -304,6 +330,16 @@ def unlike(points: np.ndarray, begin: np.ndarray, end: np.ndarray, example: np.n
     return np.flatnonzero(odd | ~np.logical_and.reduceat(same, begin - begin[0]))
 
 
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of every distinct hash, and the number of the hash at every place."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    number = np.empty(len(hashes), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 class Splitter:
     """Words of many texts at once: what ``SPLIT`` finds, from the classes of neighbouring characters."""
 
@@ -350,12 +386,12 @@ class Splitter:
         """Distinct words, the number of the word at every place, and the places where rows begin, one more at the end."""
         whole = "".join(texts)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        points = code_points(whole)
         if not len(points):
             return [], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         begin = np.flatnonzero(self.starts(points, offsets))
         end = np.append(begin[1:], len(points))
-        _, example, number = np.unique(self.hasher(points, begin, end), return_index=True, return_inverse=True)
+        example, number = numbered(self.hasher(points, begin, end))
         words = [whole[a:b] for a, b in zip(begin[example].tolist(), end[example].tolist(), strict=True)]
         odd = unlike(points, begin, end, example[number])
         if len(odd):  # other words of the same hash: numbers of their own
@@ -391,18 +427,18 @@ class Encoder:
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words: from memory, else the lexicon, else merged."""
-        fresh = [w for w in words if w not in self.known]
         if self.held > REMEMBERED_BYTES:
             self.known.clear()
-            self.held, fresh = 0, words
-        raw = [w.encode("utf-8") for w in fresh]
-        rank = self.lexicon.rank(raw)
-        absent = np.flatnonzero(rank < 0).tolist()
-        merged = dict(zip(absent, self.tokenizer.merge_many([raw[k] for k in absent]), strict=True))
-        for k, (w, r) in enumerate(zip(fresh, rank.tolist(), strict=True)):
-            ids = self.known[w] = self.lexicon.ids(r) if r >= 0 else merged[k]
-            self.held += ENTRY_BYTES + 4 * len(w) + len(ids)
-        return [self.known[w] for w in words]
+            self.held = 0
+        found = list(map(self.known.get, words))
+        missed = [k for k, ids in enumerate(found) if ids is None]
+        raw = [words[k].encode("utf-8") for k in missed]
+        rank = self.lexicon.rank(raw).tolist()
+        merged = iter(self.tokenizer.merge_many([w for w, r in zip(raw, rank, strict=True) if r < 0]))
+        for k, r in zip(missed, rank, strict=True):
+            ids = found[k] = self.known[words[k]] = self.lexicon.ids(r) if r >= 0 else next(merged)
+            self.held += ENTRY_BYTES + 4 * len(words[k]) + len(ids)
+        return found
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         parts, rows, special = cut_special(texts, self.tokenizer.special)
@@ -427,7 +463,7 @@ def count_words(docs: DataFrame, special: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker("characters")
-        split, counts, held = Splitter(), Counter(), 0
+        split, counts, held = Splitter(), {}, 0
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -437,9 +473,11 @@ def count_words(docs: DataFrame, special: dict[str, int]) -> DataFrame:
         for batch in pieces(batches):
             words, number, _ = split(cut_special([t or "" for t in batch.column(0).to_pylist()], special)[0])
             for word, n in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
-                if len(word) < LEXICON_WORD and len(word.encode("utf-8")) < LEXICON_WORD:  # longer ones are merged
-                    held += 0 if word in counts else ENTRY_BYTES + 4 * len(word)
-                    counts[word] += n
+                if 4 * len(word) < LEXICON_WORD or len(word) < LEXICON_WORD and len(word.encode("utf-8")) < LEXICON_WORD:  # longer ones are merged
+                    before = counts.get(word)
+                    if before is None:
+                        before, held = 0, held + ENTRY_BYTES + 4 * len(word)
+                    counts[word] = before + n
             if held > REMEMBERED_BYTES:
                 held = 0
                 yield flush()

@@ -133,6 +133,37 @@ def test_words_of_one_hash_are_told_apart(texts, modulus):
     assert cut(weak(texts)) == cut(plain(texts))
 
 
+@pytest.mark.parametrize(("text", "size"), [("plain words, für plain words", 1), ("plain Ελλάδα plain", 2), ("plain \U0001f600 plain", 4)])
+def test_words_are_hashed_in_few_bytes(text, size):
+    split, given = bpe.Splitter(), []
+    full = split.hasher
+    split.hasher = lambda points, begin, end: given.append(points.itemsize) or full(points, begin, end)
+    words, number, _ = split([text])
+    assert "".join(words[k] for k in number) == text and given == [size]
+
+
+def test_decoding_asks_no_piece_for_every_id(reference):
+    class Counted(list):
+        asked = 0
+
+        def __getitem__(self, k):
+            self.asked += 1
+            return super().__getitem__(k)
+
+    t = bpe.Tokenizer.load(queries.tokenizer_path())
+    t.pieces = Counted(t.pieces)
+    ids = np.array([*reference.encode("naïve 😀 words<|endoftext|>").ids * 5000, t.first[0xF0]], "<u4")
+    assert t.decode(ids) == reference.decode(ids.tolist(), skip_special_tokens=False)
+    assert t.pieces.asked == 0
+
+
+def test_merges_of_many_words_in_parts(monkeypatch):
+    t = bpe.Tokenizer.load(queries.tokenizer_path())
+    words = [f" {k}{'ation' * (k % 14)}é".encode() for k in range(400)]
+    monkeypatch.setattr(bpe, "CELLS", 600, raising=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in t.merge_many(words)] == [t.merge(w) for w in words]
+
+
 def test_few_bytes_remembered(edge_docs, reference, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 2000)
     got = rows(bpe.encode_decode(edge_docs, queries.tokenizer_path(), 3))
