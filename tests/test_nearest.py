@@ -1,6 +1,7 @@
 """Exact nearest labelled vectors against a comparison with all."""
 
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -95,3 +96,42 @@ def test_parts_are_bounded_and_hold_every_ring():
         for k in range(own):
             held[first + k] = held.get(first + k, 0) + -(-size // own)
     assert max(held.values()) <= 10 and len(held) < 1700 and sorted(held) == list(range(len(held)))
+
+
+@pytest.mark.parametrize("width", [1, 3, 64])
+def test_single_precision_rules_out_nothing_that_counts(monkeypatch, width):
+    """Answers closer to each other than single precision can tell, in tiles of few labels, by few comparisons in double precision."""
+    monkeypatch.setattr(N, "TILE_ROWS", 16)
+    rng = np.random.default_rng(width)
+    centre = rng.normal(size=(5, width))
+    y = np.concatenate([centre[k % 5] + rng.normal(size=width) * 10.0 ** -(k % 9) for k in range(600)]).reshape(600, width)
+    pivots = N._unit(y[:20])
+    angle = N.Rings(pivots, *[np.zeros(0)] * 3).angles(N._unit(y))
+    cell = angle.argmin(axis=1)
+    own = angle[np.arange(600), cell]
+    keys, ring = np.unique(np.stack([cell, (own / N.RING).astype(int)]), axis=1, return_inverse=True)
+    rings = N.Rings(pivots, keys[0], *(np.array([f(own[ring.ravel() == k]) for k in range(keys.shape[1])]) for f in (np.min, np.max)))
+    order = np.argsort(ring.ravel(), kind="stable")
+    labels = N.Labels(order, y[order], np.linalg.norm(y[order], axis=1), N._unit(y[order]).astype(np.float32))
+    tiles = N._tiles(ring.ravel()[order], rings)
+    assert (tiles.end - tiles.begin).max() <= 16 and tiles.begin[0] == 0 and tiles.end[-1] == 600
+    compared, merge = [], N._merge
+    monkeypatch.setattr(N, "_merge", lambda top, names, i, *rest: (compared.append(len(i)), merge(top, names, i, *rest)))
+    q = np.concatenate([y[::7], rng.normal(size=(30, width))])
+    got, names = N._opened(q, N._unit(q), labels, tiles, 3)
+    for row, name, s in zip(got, names, N.similarities(q, y), strict=True):
+        best = np.lexsort((np.arange(600), -s))[:3]
+        # a sum in another order may move the last digit
+        assert np.abs(row - s[best]).max() <= 1.5 * 10.0**-N.DIGITS and np.abs(s[name] - s[best]).max() <= 1.5 * 10.0**-N.DIGITS
+    assert width < 64 or sum(compared) < len(q) * 600 / 4
+
+
+def test_a_pair_of_parts_is_a_task_and_executors_need_no_package(spark, monkeypatch):
+    for n in (1, 16, 53):
+        ids = spark.createDataFrame([(s,) for s in N._slots(spark, n)], "slot long").repartition(n, "slot")
+        assert [len(p) for p in ids.rdd.glom().collect()] == [1] * n
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(value), broadcast(self, value))[1])
+    rows = spark.createDataFrame([(f"d{k}", k, [float(k % 7 + 1), float(k % 5)], "e") for k in range(40)], LABELLED)
+    assert N.nearest_labels(rows.select("doc_id", "activation_vector"), rows, ["doc_id", "n"]).count() == 40
+    assert len(sent) == 2 and not any(b"echoframe" in pickle.dumps(value) for value in sent)
