@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.functions import constants as C
 from echoframe.functions import text as T
 from echoframe.operators.inference import Provider, complete
-from echoframe.operators.marks import cannot_match, may_match, sketch
+from echoframe.operators.marks import cannot_match, may_match, sketch, words_for
 from echoframe.operators.positions import DataCheckError
 from echoframe.session import materialize
 from echoframe.sources.commits import commit, read_committed
@@ -23,16 +23,22 @@ CACHED = "cached"
 def skip_finished(positions: DataFrame, *finished: DataFrame, keys: Sequence[str] = KEYS, sketched: bool = False) -> DataFrame:
     """Rows whose key is in none of the finished tables.
 
-    With ``sketched`` only rows whose key may be finished are moved, and they
-    are not sorted. It reads both sides twice; give it stored tables.
+    With ``sketched`` only the keys of rows that may be finished are moved, and
+    whole only the few rows that a sketch takes for finished by chance, which is
+    known from the keys. It reads both sides several times; give it stored
+    tables. What it found about the keys is stored.
     """
     if sketched and finished:
         done = finished[0].select(*keys)
         for more in finished[1:]:
             done = done.unionByName(more.select(*keys))
-        marks = sketch(done, keys)
-        open_ = may_match(positions, marks, keys).join(done.distinct().hint("shuffle_hash"), list(keys), "left_anti")
-        return cannot_match(positions, marks, keys).unionByName(open_)
+        words = words_for(done.count())
+        marks = materialize(sketch(done, keys, words), "done-marks")
+        maybe = may_match(positions, marks, keys, words)
+        open_ = materialize(maybe.select(*keys).join(done.distinct().hint("shuffle_hash"), list(keys), "left_anti"), "open-keys")
+        chance = open_.select(*(F.col(k).alias(f"open_{k}") for k in keys))
+        same = [F.col(k).eqNullSafe(F.col(f"open_{k}")) for k in keys]  # a key with a null is equal to none that is finished
+        return cannot_match(positions, marks, keys, words).unionByName(may_match(maybe, sketch(open_, keys), keys).join(chance, same, "left_semi"))
     for done in finished:
         positions = positions.join(done.select(*keys), list(keys), "left_anti")
     return positions
@@ -96,13 +102,25 @@ def answer_rows(
     row that the sketch takes for one of them by chance goes their way.
     """
     keep = [c for c in positions.columns if text or c != TEXT] + ["text_sha256"]
+    return materialize(_answered(positions, keep, provider, template, pattern, chunk_rows), "label-rows")
+
+
+def _answered(
+    positions: DataFrame,
+    keep: Sequence[str],
+    provider: Provider | str = "offline",
+    template: str = C.INSTRUCTION_TEMPLATE,
+    pattern: str = C.ANALYSIS_PATTERN,
+    chunk_rows: int = C.CHUNK_ROWS,
+) -> DataFrame:
+    """``keep``, ``raw``, ``status``, ``extracted`` of every row, to be read once: a reading of it asks."""
     hashed = positions.withColumns({"text_sha256": T.text_key(TEXT), "hash_": F.xxhash64(TEXT)})
     marks = sketch(hashed.groupBy("hash_").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["hash_"])
     alone, again = cannot_match(hashed, marks, ["hash_"]), may_match(hashed, marks, ["hash_"])
     prompts = alone.select(*keep, F.lit(None).cast("string").alias("cached"), T.instruction_prompt(TEXT, template).alias("prompt"))
     attempts = attempt_labels(again.select(*positions.columns), provider, None, template, pattern, chunk_rows)
-    shared = again.select(*keep).join(attempts, "text_sha256").select(*keep, "raw", "status", "extracted")
-    return materialize(_asked(prompts, provider, pattern, chunk_rows, keep).unionByName(shared), "label-rows")
+    shared = again.select(*{*keep, "text_sha256"}).join(attempts, "text_sha256").select(*keep, "raw", "status", "extracted")
+    return _asked(prompts, provider, pattern, chunk_rows, keep).unionByName(shared)
 
 
 def attach_labels(
@@ -187,7 +205,9 @@ def label_into(
     labels and the audit records of a slice are one committed batch
     (``sources.commits``), so a crash loses at most one slice, whole, and copies
     of a text stay together. Of ``stored`` positions only those are moved that
-    may be finished or share their text. ``labelled`` and ``audited`` read what is committed.
+    share their text, and none is written but into the two tables: the audit is
+    written as the answers come, the labels are taken from it. ``labelled`` and
+    ``audited`` read what is committed.
     A job that drops everything and finds no earlier label raises, its audit
     records kept, unless ``require_kept`` is off.
     """
@@ -199,10 +219,21 @@ def label_into(
             records = audited(spark, path)
             finished.append(None if records is None else records.filter("dropped"))
         own = positions if slices == 1 else positions.filter(F.pmod(F.xxhash64(TEXT), F.lit(slices)) == part)
-        todo = materialize(skip_finished(own, *(t.select(*KEYS) for t in finished if t is not None), sketched=stored), "label-todo")
+        todo = skip_finished(own, *(t.select(*KEYS) for t in finished if t is not None), sketched=stored)
+        alike = cache is None and set(todo.columns) == {*KEYS, TEXT}  # the audit holds all that the labels need
+        if not (stored and alike):
+            todo = materialize(todo, "label-todo")
         if todo.limit(1).count() == 0:
             continue
-        if cache is None:
+        if alike:
+            records = _records(_answered(todo, [*KEYS, TEXT], provider, **options).withColumnRenamed(TEXT, "text"), min_features)
+            names = [F.col("text").alias(TEXT) if c == TEXT else c for c in todo.columns]
+
+            def explained(written: Mapping[str, DataFrame], names: Sequence[Column | str] = names) -> DataFrame:
+                kept = written["audit"].filter(T.has_enough_features("extracted", min_features))
+                return kept.select(*names, F.col("extracted").alias("api_explanation"))
+
+        elif cache is None:
             rows = answer_rows(todo, provider, **options)
             explained = rows.filter(T.has_enough_features("extracted", min_features)).select(*todo.columns, F.col("extracted").alias("api_explanation"))
             records = _records(rows.withColumnRenamed(TEXT, "text"), min_features)
@@ -210,10 +241,11 @@ def label_into(
             attempts = attempt_labels(todo, provider, cache, **options)
             explained = attach_labels(todo, attempts, min_features)
             records = materialize(audit(todo, attempts, min_features), "label-audit")
-        dropped = records.filter("dropped").count()
-        record = commit(spark, path, {"explained": explained, "audit": records}, {"dropped": dropped})
+        record = commit(
+            spark, path, {"audit": records, "explained": explained}, lambda written: {"dropped": written["audit"].filter("dropped").count()}
+        )
         written["explained"] += record["rows"]["explained"]
-        written["dropped"] += dropped
+        written["dropped"] += record["facts"]["dropped"]
     if require_kept and written["dropped"] and not written["explained"]:
         check_some_kept(labelled(spark, path))
     return written

@@ -11,7 +11,7 @@ counts) are part of the record and change with them.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,8 @@ from pyspark.sql import types as Ty
 from echoframe.sources.sidecar import read_json
 
 COMMITS, BATCH = "_commits", "batch"
+#: Committed tables are kept: pages of texts that extend each other are larger and packed a little harder than intermediate ones.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.page.size": str(8 << 20)}
 
 
 def _files(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
@@ -60,14 +62,23 @@ def _publish(spark: SparkSession, path: str, record: dict) -> None:
         raise RuntimeError(f"batch {record[BATCH]} of {path} was committed by another writer")
 
 
+Stored = Mapping[str, DataFrame]
+
+
 def commit(
-    spark: SparkSession, path: str, tables: Mapping[str, DataFrame], facts: Mapping | None = None, partition_by: Mapping[str, Sequence[str]] | None = None
+    spark: SparkSession,
+    path: str,
+    tables: Mapping[str, DataFrame | Callable[[Stored], DataFrame]],
+    facts: Mapping | Callable[[Stored], Mapping] | None = None,
+    partition_by: Mapping[str, Sequence[str]] | None = None,
 ) -> dict:
     """Write one batch of every table and make all of them visible at once. Returns the record.
 
     The tables should be stored already, or cheap: they are written one after
-    the other. Facts of earlier records that are not named again stay. One
-    writer at a time: a second one fails at its record and changes nothing.
+    the other. A table may be a function of those of the batch that are stored
+    before it, so that what is dear to make is written once; so may the facts.
+    Facts of earlier records that are not named again stay. One writer at a
+    time: a second one fails at its record and changes nothing.
     """
     last = last_commit(spark, path)
     batch = last[BATCH] + 1
@@ -75,12 +86,14 @@ def commit(
         fs, rest = _files(spark, f"{path}/{name}/{BATCH}={batch}")
         if name[:1] not in "_." and fs.exists(rest):
             fs.delete(rest, True)
-    rows = {}
-    for name, df in tables.items():
+    rows, stored = {}, {}
+    for name, table in tables.items():
+        df = table(stored) if callable(table) else table
         at = f"{path}/{name}/{BATCH}={batch}"
-        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*(partition_by or {}).get(name, ())).parquet(at)
-        rows[name] = spark.read.schema(df.schema).parquet(at).count()  # from the footers
-    record = {BATCH: batch, "rows": rows, "facts": {**last["facts"], **(facts or {})}}
+        df.write.mode("overwrite").options(**STORED).partitionBy(*(partition_by or {}).get(name, ())).parquet(at)
+        stored[name] = spark.read.schema(df.schema).parquet(at)
+        rows[name] = stored[name].count()  # from the footers
+    record = {BATCH: batch, "rows": rows, "facts": {**last["facts"], **((facts(stored) if callable(facts) else facts) or {})}}
     _publish(spark, path, record)
     return record
 

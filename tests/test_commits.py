@@ -103,3 +103,18 @@ def test_the_cursor_moves_with_the_rows(spark, sf, monkeypatch):
     counted = PL.pool_positions(spark, pool).groupBy("bucket").agg(F.countDistinct("doc_id").alias("n"))
     assert {r["bucket"]: r["n"] for r in counted.collect()} == PL.pool_counts(spark, pool)
     assert commits.last_commit(spark, pool)["facts"][PL.CURSOR] > before[1]["facts"][PL.CURSOR]
+
+
+def test_a_table_made_of_another_is_written_after_it(spark):
+    path = new_table_path(spark, "test-commits")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        made.add(1)
+        return v
+
+    dear = numbers(spark, 1, 2, 3).select(F.udf(count, "long")("v").alias("v"))
+    record = commits.commit(spark, path, {"a": dear, "b": lambda stored: stored["a"].filter("v > 1")}, lambda stored: {"least": stored["b"].agg(F.min("v")).first()[0]})
+    assert record["rows"] == {"a": 3, "b": 2} and record["facts"] == {"least": 2}
+    assert held(spark, path, "a") == [1, 2, 3] and held(spark, path, "b") == [2, 3] and made.value == 3
+    assert commits.commit(spark, path, {"a": numbers(spark, 4)})["facts"] == {"least": 2}

@@ -187,6 +187,56 @@ def test_only_texts_that_come_again_meet(spark, monkeypatch):
     assert L.label(rows.filter(f"{L.TEXT} is not null"), Scripted(), text=False).columns == ["doc_id", "n_raw_tokens", "text_sha256", "api_explanation"]
 
 
+class Noted(Scripted):
+    """Keeps a line for every prompt it is asked."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def complete(self, prompts):
+        with open(self.path, "a") as f:
+            f.writelines(p.split("<begin_text>")[1].split("<end_text>")[0].strip() + "\n" for p in prompts)
+        return super().complete(prompts)
+
+
+@pytest.mark.parametrize("slices", [1, 2])
+def test_stored_positions_are_written_only_into_the_two_tables(spark, monkeypatch, tmp_path, slices):
+    texts = [f"good {k}" for k in range(40)] + ["good copy", "good copy", "thin", "none", "none"]
+    rows = L.materialize(positions(spark, *texts), "test-positions")
+    path, asked = new_table_path(spark, "test-labels"), tmp_path / "asked"
+    written, write = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, name: (written.append((name, df.columns)), write(df, name))[1])
+    assert L.label_into(spark, rows.filter("n_raw_tokens % 3 = 0"), path, Noted(str(asked)), stored=True) == {"explained": 14, "dropped": 1}
+    assert L.label_into(spark, rows, path, Noted(str(asked)), slices=slices, stored=True) == {"explained": 28, "dropped": 2}
+    assert written and not any({L.TEXT, "text"} & set(columns) for _, columns in written), written
+    lines = asked.read_text().splitlines()
+    again = [t for k, t in enumerate(texts) if (51 + k) % 3 == 0 and t in ("good copy", "none")]
+    assert sorted(lines) == sorted([*set(texts), *again])  # a text of both jobs is asked by both
+    explained, audit = L.labelled(spark, path), L.audited(spark, path)
+    assert explained.columns == [*rows.columns, "api_explanation"] and explained.filter("api_explanation = 'a\n\nb'").count() == 42
+    assert sorted(r["text"] for r in audit.collect()) == sorted(texts) and audit.filter("dropped").count() == 3
+    assert sorted(map(tuple, explained.select(*rows.columns).collect())) == sorted(map(tuple, rows.filter(f"{L.TEXT} like 'good%'").collect()))
+
+
+def test_rows_with_more_columns_keep_them(spark):
+    rows = L.materialize(positions(spark, "good 1", "good 2", "thin").withColumn("more", F.col("n_raw_tokens") * 2), "test-positions")
+    path = new_table_path(spark, "test-labels")
+    assert L.label_into(spark, rows, path, Scripted(), stored=True) == {"explained": 2, "dropped": 1}
+    assert sorted((r["n_raw_tokens"], r["more"]) for r in L.labelled(spark, path).collect()) == [(51, 102), (52, 104)]
+    assert "more" not in L.audited(spark, path).columns
+
+
+@pytest.mark.parametrize("words", [64, 1 << 18])
+def test_a_full_sketch_drops_no_open_row(spark, monkeypatch, words):
+    """With few words nearly every key passes by chance: rows are told apart by their keys, those with a null are open."""
+    monkeypatch.setattr(L, "words_for", lambda n: words)
+    data = [(f"d{k % 300}", k, f"text {k}") for k in range(900)] + [("d1", 1, "the same key"), (None, 3, "no document"), ("d7", None, "no place")]
+    rows = spark.createDataFrame(data, SCHEMA)
+    done = rows.filter("n_raw_tokens % 2 = 1 or n_raw_tokens is null")
+    got = sorted(r[L.TEXT] for r in L.skip_finished(rows, done, sketched=True).collect())
+    assert got == sorted([f"text {k}" for k in range(0, 900, 2)] + ["no document", "no place"])
+
+
 def test_finished_rows_behind_a_sketch(spark):
     rows = positions(spark, *[f"good {k}" for k in range(60)])
     done = rows.filter("n_raw_tokens % 3 = 0"), rows.filter("n_raw_tokens % 5 = 0")

@@ -88,6 +88,16 @@ def test_a_sketch_spares_the_shuffle(spark):
         undo()
 
 
+def test_a_sketch_grows_with_its_keys_as_far_as_it_may(spark):
+    assert [M.words_for(n) for n in (0, 1 << 20, 1 << 21, 1 << 22, 10**9)] == [1 << 18, 1 << 18, 1 << 19, 1 << 20, M.MOST_WORDS]
+    few = spark.range(40_000).select(F.col("id").alias("doc_id"))
+    others = spark.range(10**6, 10**6 + 20_000).select(F.col("id").alias("doc_id"))
+    marks = M.sketch(few, ["doc_id"], 10_000)
+    assert marks.count() <= -(-10_000 // M.ROW_WORDS) and M.may_match(few, marks, ["doc_id"], 10_000).count() == 40_000
+    passed = M.may_match(others, marks, ["doc_id"], 10_000).count()
+    assert passed <= 20_000 / 50 and passed + M.cannot_match(others, marks, ["doc_id"], 10_000).count() == 20_000
+
+
 @pytest.mark.parametrize("folder", ["plain", "with space %41"])
 def test_a_window_opens_its_files_alone(spark, tmp_path, folder):
     path = str(tmp_path / folder)
